@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import held_out, table
+from ledgerloom.llm.language_id import identify, train_languages
 from ledgerloom.llm.packing import pack
+from ledgerloom.llm.quality import quality_scores, train_quality
 from ledgerloom.llm.token_counts import token_counts
+from ledgerloom.llm.toxicity import toxicity_scores, train_toxicity
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +22,29 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = train_languages(docs.where(~held_out("doc_id", 3, 1)))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    model = train_quality(docs, labels.where(~held_out("doc_id", 4, 2)))
+    scored = quality_scores(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = train_toxicity(docs, labels.where(~held_out("doc_id", 5, 0)))
+    scored = toxicity_scores(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     packed = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -26,7 +52,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts, "op10_packing": op10_packing}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op2_language_id": op2_language_id,
+        "op5_quality": op5_quality,
+        "op7_toxicity": op7_toxicity,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
