@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -150,6 +151,12 @@ class PrefixCounter:
         return [True, True] + [self.table(word[:j])[1] for j in range(1, len(word) + 1)]
 
 
+@lru_cache(maxsize=2)
+def counter_of(model_path: str) -> PrefixCounter:
+    """One counter a worker process, so that the tasks it runs one after another share the tables of words."""
+    return PrefixCounter(model_path)
+
+
 def longest_prefix(counts: list[int], budget: int) -> int:
     """The longest prefix, in characters, of at most `budget` tokens, from the counts at all prefixes."""
     return max(i for i, n in enumerate(counts) if n <= budget)
@@ -163,7 +170,7 @@ def token_counts(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(model_path)
+        counter = counter_of(model_path)
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
             columns = [batch.column(0), batch.column(1)]
