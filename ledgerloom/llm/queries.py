@@ -12,6 +12,7 @@ from ledgerloom.llm.common import held_out, table
 from ledgerloom.llm.language_id import identify, train_languages
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import quality_scores, train_quality
+from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.token_counts import token_counts
 from ledgerloom.llm.toxicity import toxicity_scores, train_toxicity
 
@@ -45,6 +46,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     packed = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language_id": op2_language_id,
         "op5_quality": op5_quality,
         "op7_toxicity": op7_toxicity,
+        "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
     }
 
