@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import held_out, table
 from ledgerloom.llm.decontamination import decontaminate
+from ledgerloom.llm.html_extract import extract
 from ledgerloom.llm.language_id import identify, train_languages
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import quality_scores, train_quality
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.token_counts import token_counts
+from ledgerloom.llm.topk import top_k
 from ledgerloom.llm.toxicity import toxicity_scores, train_toxicity
 
 
@@ -31,6 +33,25 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
@@ -91,6 +112,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_language_id": op2_language_id,
+        "op3_html_extraction": op3_html_extraction,
+        "op4_top_k": op4_top_k,
         "op5_quality": op5_quality,
         "op7_toxicity": op7_toxicity,
         "op8_decontamination": op8_decontamination,
@@ -100,4 +123,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": OP8_SQL}
+    return {"op4_top_k": OP4_SQL, "op8_decontamination": OP8_SQL}
