@@ -18,6 +18,9 @@ from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.token_counts import token_counts
 from ledgerloom.llm.topk import top_k
 from ledgerloom.llm.toxicity import toxicity_scores, train_toxicity
+from ledgerloom.llm.url_filter import judge
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +63,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages", "page_id", "url"), RULES)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
@@ -115,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_html_extraction": op3_html_extraction,
         "op4_top_k": op4_top_k,
         "op5_quality": op5_quality,
+        "op6_url_filter": op6_url_filter,
         "op7_toxicity": op7_toxicity,
         "op8_decontamination": op8_decontamination,
         "op9_simhash": op9_simhash,
