@@ -38,15 +38,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, id_col
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
     """The id, the columns of `keep`, and the probability of label 1 for every row; null texts count as empty."""
     names = list(dict.fromkeys([id_col, *keep]))
-    given = docs.select(*names, F.col(text_col).alias("__scored"))
+    given = docs.select(*names, *([] if text_col in names else [text_col]))
+    at = given.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body, offsets = text_buffer(batch.column(len(names)))
+            body, offsets = text_buffer(batch.column(at))
             found = [shared.value.probabilities(body, offsets[a : b + 1]) for a, b in row_blocks(offsets)]
             out = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out)], names=[*names, name])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[: len(names)])
     return given.mapInArrow(run, f"{kinds}, `{name}` double")

@@ -108,27 +108,33 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return learn(rows["text_value"].to_pylist(), rows["lang_value"].to_pylist())
 
 
-def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The id, the columns of `keep`, lang_pred and score (the winner's part of all languages' shares) for every row."""
+def identify(
+    docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = ""
+) -> DataFrame:
+    """The id, the columns of `keep`, lang_pred, score and coverage for every row.
+
+    The score is the winner's part of all languages' corrected shares, coverage its share itself. A prefix keeps the
+    three names apart from those of kept columns.
+    """
     names = list(dict.fromkeys([id_col, *keep]))
-    given = docs.select(*names, F.col(text_col).alias("__read"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters")
+    given = docs.select(*names, *([] if text_col in names else [text_col]), letters)
+    at = given.columns.index(text_col)
+    made = [prefix + x for x in ("lang_pred", "score", "coverage")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            body, offsets = text_buffer(batch.column(len(names)))
-            found = [model.shares(body, offsets[a : b + 1]) for a, b in row_blocks(offsets)]
-            shares = np.concatenate(found) if found else np.zeros((0, len(model.languages)))
-            letters = batch.column(len(names) + 1).to_pylist()
-            if model.languages:
-                best = shares.argmax(axis=1)
-                score = shares.max(axis=1) / np.maximum(shares.sum(axis=1), 1e-12)
-                lang = [model.languages[b] if ok else "und" for b, ok in zip(best, letters)]
-                score = np.where(letters, score, 0.0) if len(letters) else score
-            else:
-                lang, score = ["und"] * len(letters), np.zeros(len(letters))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-2])
-    return given.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+            body, offsets = text_buffer(batch.column(at))
+            read = np.array(batch.columns[-1].to_pylist(), dtype=bool) & bool(model.languages)
+            found = [model.shares(body, offsets[a : b + 1]) for a, b in row_blocks(offsets)] if model.languages else []
+            shares = np.concatenate(found) if found else np.zeros((len(read), 1))
+            best, top = shares.argmax(axis=1), np.where(read, shares.max(axis=1), 0.0)
+            lang = [model.languages[b] if ok else "und" for b, ok in zip(best, read)]
+            score = top / np.maximum(shares.sum(axis=1), 1e-12)
+            out = [pa.array(lang, pa.string()), pa.array(score), pa.array(top)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *out], names=[*names, *made])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[: len(names)])
+    return given.mapInArrow(run, f"{kinds}, `{made[0]}` string, `{made[1]}` double, `{made[2]}` double")
