@@ -28,7 +28,7 @@ LONG = (1 << 63) - 1
 def quantised(vectors: pa.Array, scale: int) -> np.ndarray:
     """floor(scale * x), as whole doubles: exact while a score stays below 2**53."""
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return np.floor(flat * scale).reshape(len(vectors), -1)
+    return np.floor(flat * scale).reshape(len(vectors), len(flat) // max(len(vectors), 1))
 
 
 def features(x: np.ndarray, segments: int) -> np.ndarray:
@@ -101,6 +101,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     candidates = rows.select("width", F.explode(every(a)).alias("a"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(b)).cast("int").alias("b"), "id", "v")
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({x: pa.array([], pa.int64()) for x in ("query_id", "vec_id", "score")})
         q_ids, c_ids = (t["id"].to_numpy() for t in (left, right))
         q, c = (quantised(t["v"].combine_chunks(), scale) for t in (left, right))
         out = [np.zeros(0, np.int64)] * 3
