@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 #: Phrases of page furniture that end a narration.
 JUNK = ["rbi mandate", "important information", "account no.", "kotak mahindra bank", "statement generated"]
 
-BY_ROW = Window.partitionBy("account_id").orderBy("row_no")
-TO_HERE = BY_ROW.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def by_row():
+    """An account's rows in their order."""
+    return Window.partitionBy("account_id").orderBy("row_no")
+
+
+def to_here():
+    return by_row().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def signed(kind: str = "type", amount: str = "amount_c") -> Column:
@@ -24,7 +30,7 @@ def hundredth(amount: Column) -> Column:
 
 def repair_types(rows: DataFrame) -> DataFrame:
     """Adds fixed_type: the direction that the change of balance shows, where it shows one."""
-    prev = F.lag("balance_c").over(BY_ROW)
+    prev = F.lag("balance_c").over(by_row())
     amount, delta = F.col("amount_c"), F.col("balance_c") - F.col("prev_c")
     tolerance = F.greatest(F.lit(100), hundredth(amount))
     later = F.when(F.abs(delta - amount) <= tolerance, "CR").when(F.abs(delta + amount) <= tolerance, "DR")
@@ -50,7 +56,7 @@ def deduplicate(rows: DataFrame) -> DataFrame:
 
 def fill_balances(rows: DataFrame, opening: Column) -> DataFrame:
     """Adds filled_c: a lost balance is the last known one plus the signed amounts since, or the opening one plus all."""
-    island = F.count("balance_c").over(TO_HERE)
+    island = F.count("balance_c").over(to_here())
     rows = rows.withColumn("island", island)
     within = Window.partitionBy("account_id", "island")
     since = F.sum(F.when(F.col("balance_c").isNull(), signed()).otherwise(0)).over(within.orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -59,7 +65,7 @@ def fill_balances(rows: DataFrame, opening: Column) -> DataFrame:
 
 def validate(rows: DataFrame, opening: Column) -> DataFrame:
     """Adds status (verified, swapped, amount_fixed, unverified; uncheckable rows count as verified), new_type, new_amount_c."""
-    prev = F.when(F.col("row_no") == 1, opening).otherwise(F.lag("balance_c").over(BY_ROW))
+    prev = F.when(F.col("row_no") == 1, opening).otherwise(F.lag("balance_c").over(by_row()))
     rows = rows.withColumn("prev_c", prev)
     amount, balance, before = F.col("amount_c"), F.col("balance_c"), F.col("prev_c")
     up = F.col("type") == "CR"
@@ -100,7 +106,7 @@ def validation_summary(validated: DataFrame) -> DataFrame:
 
 def verify(rows: DataFrame) -> DataFrame:
     """Per account: fields that are missing, continuity errors beyond 1.00, percentages, and the closing balance's check."""
-    expected = F.lag("balance_c").over(BY_ROW) + signed()
+    expected = F.lag("balance_c").over(by_row()) + signed()
     off = F.coalesce(F.abs(expected - F.col("balance_c")) > 100, F.lit(False)) & F.col("type").isin("CR", "DR")
     out = rows.withColumn("off", off).groupBy("account_id").agg(
         F.count(F.lit(1)).alias("total"),

@@ -12,7 +12,8 @@ from ledgerloom.operators import ask, balances, consolidate, engine, gst, joins,
 from ledgerloom.sources import fixtures
 from ledgerloom.streaming import limits
 
-OPENING = F.lit(fixtures.OPENING_C)
+def opening():
+    return F.lit(fixtures.OPENING_C)
 
 
 def enriched(spark: SparkSession, d: str) -> DataFrame:
@@ -62,15 +63,15 @@ def deduplicated(spark, d):
 
 
 def filled_balances(spark, d):
-    return balances.fill_balances(fixtures.noisy_ledger(spark, d), OPENING).select("txn_id", "filled_c")
+    return balances.fill_balances(fixtures.noisy_ledger(spark, d), opening()).select("txn_id", "filled_c")
 
 
 def validated_rows(spark, d):
-    return balances.validate(fixtures.noisy_ledger(spark, d), OPENING).select("txn_id", "status", "new_type", "new_amount_c")
+    return balances.validate(fixtures.noisy_ledger(spark, d), opening()).select("txn_id", "status", "new_type", "new_amount_c")
 
 
 def validation_summary(spark, d):
-    return balances.validation_summary(balances.validate(fixtures.noisy_ledger(spark, d), OPENING))
+    return balances.validation_summary(balances.validate(fixtures.noisy_ledger(spark, d), opening()))
 
 
 def verification(spark, d):
