@@ -1,7 +1,8 @@
 """Hashed subword bags and a linear softmax over their averages, trained jointly by stochastic gradient descent.
 
 A word's vector is the mean of two: its own and the average of those of its hashed byte n-grams, which reach one
-space to either side; a span's vector is the mean of its words'. Two classes need one logit, which is linear in
+space to either side; a word without a vector of its own has the n-grams'. In training, words lose theirs at random,
+so that the n-grams learn to stand for unseen spellings. A span's vector is the mean of its words'. Two classes need one logit, which is linear in
 the vectors, so scoring a text is a sum over its n-grams of one learned number each.
 """
 
@@ -74,7 +75,7 @@ def word_buckets(hashes: np.ndarray) -> np.ndarray:
 
 
 def word_scores(text: np.ndarray, words: Words, space: np.ndarray, weight: np.ndarray, repeats: bool) -> np.ndarray:
-    """Half the weight of each word and half the mean weight of its n-grams."""
+    """Half the weight of each word and half the mean weight of its n-grams; of an unknown word the n-grams' alone."""
     if not len(words.at):
         return np.zeros(0)
     total, number = np.zeros(len(text)), np.zeros(len(text))
@@ -83,7 +84,8 @@ def word_scores(text: np.ndarray, words: Words, space: np.ndarray, weight: np.nd
         total[:n] += np.where(valid, weight[bucket], 0)
         number[:n] += valid
     score = np.add.reduceat(total, words.at) / np.maximum(np.add.reduceat(number, words.at), 1)
-    score = (score + weight[word_buckets(words.hash)]) / 2
+    own = weight[word_buckets(words.hash)]
+    score = np.where(own != 0, (score + own) / 2, score)
     if repeats:
         same = repeated(words)
         score[same] = weight[REPEAT]
@@ -147,6 +149,8 @@ def fit(
     rate: float = 0.5,
     batch: int = 256,
     reach: float = 300.0,
+    word_dropout: float = 0.0,
+    balance: float = 0.5,
     seed: int = 5,
 ) -> Model:
     """Train on whole texts. With a span, the gradient goes to a row's best-scoring windows after a start on means.
@@ -158,8 +162,12 @@ def fit(
     if not len(texts) or labels.min() == labels.max():
         empty.bias = float(np.clip(8 * (labels.mean() - 0.5) if len(texts) else -4.0, -4, 4))
         return empty
-    table: dict[int, np.ndarray] = {}
-    rows = []
+    place: dict[int, int] = {}
+    parts, lengths, docs = [], [], []
+    if repeats:
+        place[0] = 0
+        parts.append(np.array([REPEAT], np.int32))
+        lengths.append(1)
     for t in texts:
         raw = t.encode()
         text, marks = spread(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), case)
@@ -167,30 +175,41 @@ def fit(
         keys = words.hash.copy()
         if repeats:
             keys[repeated(words)] = 0
-        fresh, where = np.unique(keys, return_index=True)
-        fresh_at = [i for k, i in zip(fresh.tolist(), where) if k not in table]
-        if fresh_at:
+        fresh, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        at = [place.setdefault(k, len(place)) for k in fresh.tolist()]
+        new = [i for i, p in zip(where.tolist(), at) if p >= len(lengths)]
+        if new:
             per = list(grams(text, space))
             ends = np.append(words.at, len(text))
-            for i in fresh_at:
-                got = [b[ends[i] : ends[i + 1]][v[ends[i] : ends[i + 1]]] for b, v in per]
-                table[int(keys[i])] = np.concatenate([*got, word_buckets(words.hash[i : i + 1])]).astype(np.int32)
-        rows.append(keys)
-    if repeats:
-        table[0] = np.array([REPEAT], np.int32)
-    known = np.array(sorted(table), dtype=np.uint64)
-    bags = [table[k] for k in known.tolist()]
-    sizes = np.array([len(b) for b in bags])
-    flat, of_word = np.concatenate(bags), np.repeat(np.arange(len(bags)), sizes)
-    docs = [np.searchsorted(known, r) for r in rows]
+            own = word_buckets(words.hash)
+            for i in new:
+                bag = [b[ends[i] : ends[i + 1]][v[ends[i] : ends[i + 1]]] for b, v in per]
+                bag = np.concatenate([*bag, own[i : i + 1]]).astype(np.int32)
+                parts.append(bag)
+                lengths.append(len(bag))
+            if len(parts) > 4096:
+                parts = [np.concatenate(parts)]
+        docs.append(np.array(at, np.int32)[back])
+    del place
+    flat, sizes = np.concatenate(parts), np.array(lengths, np.int32)
+    del parts, lengths
+    first_of = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     seen = np.zeros(1 << BITS, dtype=np.int32)
     for d in docs:
-        if len(d):
-            seen[np.unique(np.concatenate([bags[w] for w in np.unique(d)]))] += 1
+        held = np.unique(d)
+        n = sizes[held]
+        if len(held):
+            inside = np.repeat(first_of[held] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            seen[np.unique(flat[inside])] += 1
     kept = seen[flat] >= least_rows
-    flat, of_word = flat[kept], of_word[kept]
-    each = np.concatenate([np.append(np.full(n - 1, 0.5 / max(n - 1, 1)), 0.5 if n > 1 else 1.0) for n in sizes])[kept]
-    del table, bags, rows, kept
+    of_word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[kept]
+    is_own = np.zeros(len(flat), bool)
+    is_own[first_of[1:] - 1] = True
+    flat, is_own = flat[kept], is_own[kept]
+    has_own = np.zeros(len(sizes), bool)
+    has_own[of_word[is_own]] = True
+    share_of_gram = (1 / np.maximum(sizes - 1, 1)).astype(np.float32)
+    del seen, kept, first_of
 
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
@@ -198,7 +217,7 @@ def fit(
     out = rng.normal(0, 1, dim).astype(np.float32)
     steps_v, steps_o, bias, steps_b = 1e-12, 1e-8, 0.0, 1e-8
     share = labels.mean()
-    cost = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
+    cost = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** balance
     for epoch in range(epochs):
         order = rng.permutation(len(docs))
         windows = span if span and epoch >= epochs // 3 else None
@@ -206,6 +225,8 @@ def fit(
             chosen = [i for i in order[at : at + batch] if len(docs[i])]
             if not chosen:
                 continue
+            bare = (~has_own | (rng.random(len(sizes)) < word_dropout)) & (sizes > 1)
+            each = np.where(is_own, np.where(sizes > 1, np.where(bare, 0, 0.5), 1)[of_word], (np.where(bare, 1, 0.5) * share_of_gram)[of_word]).astype(np.float32)
             weight = vectors @ out
             scores = np.bincount(of_word, weights=weight[flat] * each, minlength=len(sizes))
             used = np.concatenate([docs[i] for i in chosen])

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from ledgerloom.llm import labelled
 from ledgerloom.llm.subword import LOWER, Model
 
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 3000
 SPAN = 4
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = TRAIN_ROWS) -> Model:
-    return labelled.train(docs, labels, label, most_rows, case=LOWER, span=SPAN)
+    return labelled.train(docs, labels, label, most_rows, case=LOWER, span=SPAN, word_dropout=0.2)
 
 
 def toxicity_scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
