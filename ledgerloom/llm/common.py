@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -28,6 +29,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in Arrow batches bounded in rows and bytes: Spark's own default is by rows alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string column and its row offsets, without a copy; nulls are empty rows."""
     if isinstance(column, pa.ChunkedArray):
@@ -56,13 +63,13 @@ def held_out(column: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % folds == fold, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 7) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str, most: int, rows: int | None = None, seed: int = 7) -> DataFrame:
     """About `most` rows at most, chosen by a hash of the key; all rows if there are fewer.
 
-    The count is a job of its own. The share kept is 0.9 * most / count, so that the size stays below `most` but
+    The count is a job of its own unless it is given. The share kept is 0.9 * most / count, so that the size stays below `most` but
     for chance; callers that collect also cut at `most`.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     if rows <= most:
         return df
     share = 0.9 * most / rows

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import bounded_batches
+
 TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*\Z)|<(?P<raw>script|style|noscript|template|svg|textarea|iframe|title|select|math)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"""
     r"""|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<[a-z/][^<>]*\Z|(?P<text>[^<]+|<)""",
@@ -204,6 +206,7 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns of `keep`, and text, for every row."""
     names = list(keep)
+    bounded_batches(pages.sparkSession)
     given = pages.select(*names, F.col(html_col).alias("__page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,21 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_sample, row_blocks, text_buffer
+from ledgerloom.llm.common import bounded_batches, bounded_sample, row_blocks, text_buffer
 from ledgerloom.llm.subword import Model, fit
 
 #: Longest text, in bytes, that the training sample takes; longer ones are left to others of their label, never cut.
 TRAIN_BYTES = 100_000
+#: How far the bias goes from the sample's odds of the labels, on a log scale, to those of all labelled rows.
+ODDS_SHARE = 0.7
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, id_col: str = "doc_id", text_col: str = "text", **settings) -> Model:
-    """A model from at most `most_rows` labelled documents, chosen by a hash of their ids.
+    """A model from about `most_rows` labelled documents at most, half of each label where there are enough.
 
-    Labels other than 0 and 1 and null ids are left out; of several labels of one id the larger counts, of several
-    documents of one id each is used. `docs` and `labels` must already leave out what may not be learned from.
+    Documents are chosen by a hash of their ids; the model's bias is then moved towards the
+    odds of the labels among all labelled rows. Labels other than 0 and 1 and null ids are left out; of several labels of one id the larger counts,
+    of several documents of one id each is used. `docs` and `labels` must leave out what may not be learned from.
     """
-    given = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, label)
-    chosen = bounded_sample(given, id_col, most_rows).groupBy(id_col).agg(F.max(label).alias("label_value"))
+    given = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label).alias("label_value"))
+    counts = dict(given.groupBy("label_value").count().collect())
+    parts = [bounded_sample(given.where(F.col("label_value") == k), id_col, most_rows // 2, counts.get(k, 0)) for k in (0, 1)]
+    chosen = parts[0].unionByName(parts[1]).groupBy(id_col).agg(F.max("label_value").alias("label_value"))
     rows = (
         docs.select(id_col, F.col(text_col).alias("text_value"))
         .where((F.octet_length("text_value") <= TRAIN_BYTES))
@@ -32,7 +37,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, id_col
         .limit(most_rows)
         .toArrow()
     )
-    return fit(rows["text_value"].to_pylist(), np.array(rows["label_value"].to_pylist(), dtype=float), **settings)
+    model = fit(rows["text_value"].to_pylist(), np.array(rows["label_value"].to_pylist(), dtype=float), **settings)
+    used = [sum(x == k for x in rows["label_value"].to_pylist()) for k in (0, 1)]
+    if all(counts.get(k) and used[k] for k in (0, 1)):
+        model.bias += ODDS_SHARE * float(np.log(counts[1] / counts[0]) - np.log(used[1] / used[0]))
+    return model
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), name: str = "score") -> DataFrame:
@@ -40,6 +49,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     names = list(dict.fromkeys([id_col, *keep]))
     given = docs.select(*names, *([] if text_col in names else [text_col]))
     at = given.columns.index(text_col)
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

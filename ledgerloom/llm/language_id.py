@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_sample, row_blocks, text_buffer
+from ledgerloom.llm.common import bounded_batches, bounded_sample, row_blocks, text_buffer
 from ledgerloom.llm.subword import LOWER, spread
 
 TRAIN_ROWS = 4000
@@ -121,6 +121,7 @@ def identify(
     given = docs.select(*names, *([] if text_col in names else [text_col]), letters)
     at = given.columns.index(text_col)
     made = [prefix + x for x in ("lang_pred", "score", "coverage")]
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import checkpointed
+from ledgerloom.llm.common import bounded_batches, checkpointed
 
 #: The pattern that splits text before the merges of byte-level vocabularies, as their libraries state it.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -156,6 +156,7 @@ def pack(
             packer.seal(packer.open.pop()[1])
         return pa.Table.from_batches([batch(tails.schema.field("id").type, packer.sealed, True)])
 
+    bounded_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     made = checkpointed(given.mapInArrow(first, f"id {kind}, {SCHEMA}"))
     tails = made.where("tail").withColumn("piece", F.monotonically_increasing_id())

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import bounded_batches
+
 MARK = "▁"
 KEPT_WORDS = 600_000
 KEPT_LENGTH = 48
@@ -186,6 +188,7 @@ def token_counts(
             names = ["id", "n_bytes", "n_tokens"] + ["fits"] * bool(budgets) + ["prefix_tokens"] * prefixes
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    bounded_batches(docs.sparkSession)
     given = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text")
     )
