@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify, parsing
 from ledgerloom.operators import ask, balances, consolidate, engine, gst, joins, reports
-from ledgerloom.sources import fixtures
+from ledgerloom.sources import fixtures, printed, statements, tax_forms
 from ledgerloom.streaming import limits
 
 def opening():
@@ -332,7 +332,37 @@ def guarded_export(spark, d):
     return rows.select("txn_id", parsing.guarded(F.col("cell")).alias("cell"))
 
 
+def statement_routes(spark, d):
+    return printed.statement_pages(spark, d).where("page_no = 1").select("doc_id", statements.bank_of(F.col("text")).alias("bank"))
+
+
+def statement_headers(spark, d):
+    pages = printed.statement_pages(spark, d).where("page_no = 1")
+    return pages.select("doc_id", *[c.alias(k) for k, c in statements.header(F.col("text")).items()])
+
+
+def statement_transactions(spark, d):
+    return statements.transactions(printed.statement_pages(spark, d))
+
+
+def information_entries(spark, d):
+    return tax_forms.information_entries(printed.information_lines(spark, d))
+
+
+def information_summary(spark, d):
+    return tax_forms.information_summary(tax_forms.information_entries(printed.information_lines(spark, d)))
+
+
+def tax_credit_entries(spark, d):
+    return tax_forms.credit_entries(printed.credit_lines(spark, d))
+
+
+def tax_credit_summary(spark, d):
+    return tax_forms.credit_summary(tax_forms.credit_entries(printed.credit_lines(spark, d)))
+
+
 NAMES = [
+    statement_routes, statement_headers, statement_transactions, information_entries, information_summary, tax_credit_entries, tax_credit_summary,
     ledger, credit_classes, parser_categories, spend_categories, merchants, monthly_summary, class_totals, type_repair, deduplicated, filled_balances, validated_rows,
     validation_summary, verification, audit_mismatches, end_of_day, balance_kpis, engine_kpis, risk_flags, income_sources, expense_categories, top_merchants, cash_flow,
     compliance, tax_return, obligations, emi_months, supplies, payment_modes, red_flags, circular_pairs, circular_round_lots, circular_similar, same_day_groups,

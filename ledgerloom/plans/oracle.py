@@ -354,6 +354,38 @@ SQL = {
     "guarded_export": f"""WITH {LED}, c AS (SELECT txn_id, ['=', '+', '-', '@', '', 'a'][txn_id % 6 + 1] || "desc" AS cell FROM led) SELECT txn_id, CASE WHEN cell[1:1] IN ('=', '+', '-', '@') THEN '''' || cell ELSE cell END AS cell FROM c""",
 }
 
+_PAPER = """
+cu AS (SELECT c_custkey AS doc_id, abs(CAST(round(c_acctbal * 100) AS BIGINT)) AS c, c_custkey * 10 + 5 AS k FROM customer),
+sh AS (SELECT *, printf('%d.%02d', c // 100, c % 100) AS ca, printf('%d.%02d', k // 100, k % 100) AS ka FROM cu)"""
+_INFO = _PAPER + """,
+info AS (SELECT doc_id, 1 AS line_no, 'other_income' AS section, 'Opening line ' || ka AS description, k AS amount_c, 0 AS modified_c, '' AS date FROM sh
+  UNION ALL SELECT doc_id, 3, 'salary', 'Employer paid ' || ca || ' ' || ka || ' 01-04-2024', c, k, '01-04-2024' FROM sh
+  UNION ALL SELECT doc_id, 5, 'interest', 'Branch one ' || ka, k, 0, '' FROM sh UNION ALL SELECT doc_id, 6, 'interest', 'Branch two ' || ka, k, 0, '' FROM sh
+  UNION ALL SELECT doc_id, 7, 'dividend', 'Dividend of shares ' || ca, c, 0, '' FROM sh UNION ALL SELECT doc_id, 8, 'gst_turnover', 'GST turnover ' || ca, c, 0, '' FROM sh
+  UNION ALL SELECT doc_id, 10, 'rent', 'Rent received ' || ka, k, 0, '' FROM sh)"""
+_CREDIT = _PAPER + """,
+cred AS (SELECT doc_id, 3 AS line_no, 'A' AS part, 'ABCD12345E' AS tan, '192' AS section, c AS paid_c, k AS deducted_c, k AS deposited_c, '' AS date FROM cu
+  UNION ALL SELECT doc_id, 4, 'A', 'WXYZ54321K', CASE WHEN contains(printf('%d.%02d', k // 100, k % 100), '192') THEN '192' ELSE '194J' END, k, k, 0, '' FROM cu
+  UNION ALL SELECT doc_id, 8, 'B', '', '', c, k, 0, '' FROM cu
+  UNION ALL SELECT doc_id, 10, 'C', '', '', c, k, 0, '' FROM cu UNION ALL SELECT doc_id, 12, 'D', '', '', k, 0, 0, '05-06-2024' FROM cu UNION ALL SELECT doc_id, 14, 'E', '', '', c, 0, 0, '' FROM cu)"""
+_BANK = "['hdfc', 'icici', 'axis', 'canara', 'saraswat', '{}'][account_id % 6 + 1]"
+SQL |= {
+    "statement_routes": f"WITH {LED} SELECT DISTINCT account_id AS doc_id, {_BANK.format('kotak')} AS bank FROM led",
+    "statement_headers": f"""WITH {LED} SELECT DISTINCT account_id AS doc_id, lpad(CAST(account_id AS VARCHAR), 10, '0') AS account_number, 'Current' AS account_type, DATE '2005-04-01' AS start_date,
+        DATE '2006-03-31' AS end_date FROM led""",
+    "statement_transactions": f"""WITH {LED}, b AS (SELECT *, {_BANK.format('none')} AS bank FROM led) SELECT account_id AS doc_id, CAST(row_no AS INTEGER) AS row_no, CAST(date + INTERVAL 120 MONTH AS DATE) AS date,
+        trim("desc") || CASE WHEN bank IN ('hdfc', 'icici', 'canara') THEN ' note ' || row_no ELSE '' END AS "desc",
+        CASE WHEN bank = 'icici' AND contains(lower("desc"), 'int.pd:') THEN 'CR' ELSE type END AS type, amount_c, balance_c + 100000000000 AS balance_c, bank FROM b WHERE bank <> 'none'""",
+    "information_entries": f"WITH {_INFO} SELECT * FROM info",
+    "information_summary": f"WITH {_INFO}, s AS (SELECT doc_id, " + ", ".join(
+        f"CAST(coalesce(sum(amount_c) FILTER (section = '{x}'), 0) AS BIGINT) AS {x}_c" for x in ("salary", "interest", "dividend", "securities", "mutual_fund", "foreign", "gst_turnover", "rent", "other_income", "tds_tcs")
+    ) + " FROM info GROUP BY ALL) SELECT *, salary_c + interest_c + dividend_c + rent_c AS income_c FROM s",
+    "tax_credit_entries": f"WITH {_CREDIT} SELECT * FROM cred",
+    "tax_credit_summary": f"""WITH {_CREDIT} SELECT doc_id, CAST(sum(paid_c) FILTER (part = 'A') AS BIGINT) AS declared_c, CAST(sum(deducted_c) FILTER (part = 'A') AS BIGINT) AS tds_c,
+        CAST(sum(deposited_c) FILTER (part = 'A') AS BIGINT) AS deposited_c, CAST(sum(deducted_c) FILTER (part = 'A' AND section = '192') AS BIGINT) AS salary_tds_c,
+        CAST(sum(deducted_c) FILTER (part = 'C') AS BIGINT) AS tcs_c, CAST(sum(paid_c) FILTER (part = 'D') AS BIGINT) AS refund_c, CAST(sum(paid_c) FILTER (part = 'E') AS BIGINT) AS reported_c FROM cred GROUP BY ALL""",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
