@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import classify, parsing
+from ledgerloom.functions import classify, parsing, rules
 from ledgerloom.operators import ask, balances, consolidate, engine, gst, joins, reports
-from ledgerloom.sources import fixtures, printed, statements, tax_forms
+from ledgerloom.sources import fixtures, printed, statements, tables, tax_forms
 from ledgerloom.streaming import limits
 
 def opening():
@@ -361,7 +361,82 @@ def tax_credit_summary(spark, d):
     return tax_forms.credit_summary(tax_forms.credit_entries(printed.credit_lines(spark, d)))
 
 
+def table_columns(spark, d):
+    found = tables.columns_by_header(printed.table_rows(spark, d))
+    return found.select("doc_id", "header_no", *[F.coalesce(F.col(r), F.lit(-1)).alias(f"at_{r}") for r in tables.ROLE_WORDS])
+
+
+def table_transactions(spark, d):
+    return tables.generic(printed.table_rows(spark, d))
+
+
+def online_transactions(spark, d):
+    rows = printed.online_rows(spark, d)
+    opening = rows.select("doc_id").distinct().withColumn("opening_c", F.lit(fixtures.OPENING_C + printed.LIFT_C))
+    return tables.sbi_online(rows, opening)
+
+
+def merged_cell_transactions(spark, d):
+    return tables.bob(printed.merged_rows(spark, d))
+
+
+def recognised_rows(spark, d):
+    return tables.word_rows(printed.page_words(spark, d)).select("doc_id", "page_no", "line")
+
+
+def recognised_columns(spark, d):
+    return tables.amount_columns(printed.page_words(spark, d))
+
+
+def amounts_filled(spark, d):
+    rows = fixtures.ledger(spark, d).withColumn("doc_id", F.col("account_id")).withColumns({"amount_c": F.when(F.col("txn_id") % 6 != 0, F.col("amount_c")), "balance_c": F.when(F.col("txn_id") % 7 != 0, F.col("balance_c"))})
+    return tables.fill_amounts(rows.withColumn("type", F.when(F.col("amount_c").isNotNull(), F.col("type")))).select("txn_id", "type", "amount_c")
+
+
+def running_continuity(spark, d):
+    rows = fixtures.noisy_ledger(spark, d).withColumn("doc_id", F.col("account_id")).withColumn("signed_c", balances.signed())
+    return tables.continuity(rows, fixtures.OPENING_C)
+
+
+def loan_report(spark, d):
+    e = engine.engine(enriched(spark, d))
+    cover = F.when(F.col("monthly_emi_c") > 0, F.col("avg_real_c") / F.col("monthly_emi_c"))
+    return e.select("account_id", "avg_real_c", "monthly_emi_c", "loan_eligible_c", "remaining_emi_c", cover.alias("dscr"), (F.col("base_c") == F.col("avg_real_c")).alias("by_real_income"))
+
+
+def consistency(spark, d):
+    """Checks that must hold of every account's figures: ranges, and class totals against credits."""
+    e = engine.engine(enriched(spark, d))
+    classes = sum((F.col(f"{c}_c") for c in engine.CLASSES), F.lit(0))
+    failed = [(~F.col("foir").between(0, 200), "foir"), (~F.col("loan_dep_pct").between(0, 100), "loan_dependency"), (F.col("loan_eligible_c") < 0, "eligible"), (classes != F.col("total_cr_c"), "classes")]
+    return e.select("account_id", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(k)) for c, k in failed])), ",").alias("failed"))
+
+
+def risk_section(spark, d):
+    """The engine's risk joined with half the score of gambling and penalties, and its sentence."""
+    rows = enriched(spark, d)
+    e = engine.engine(rows).select("account_id", "risk_score", "risk_level", "risk_flags")
+    f = reports.red_flags(rows).select("account_id", F.least(F.col("gambling") * 10 + F.col("penalties") * 5, F.lit(100)).alias("flag_score"))
+    j = e.join(f, "account_id").withColumn("combined", F.greatest(F.col("risk_score"), F.bround(F.col("flag_score") / 2, 0).cast("int")))
+    level = F.when(F.col("combined") >= 50, "High").when(F.col("combined") >= 20, "Medium").otherwise("Low")
+    level = F.when((F.col("flag_score") >= 50) & (level == "Low"), "High").otherwise(level)
+    said = F.concat_ws(" ", F.upper("risk_level"), F.concat(F.lit("("), F.col("risk_score").cast("string"), F.lit("/100)")), F.array_join(F.slice("risk_flags", 1, F.when(F.col("risk_level") == "High", 3).when(F.col("risk_level") == "Medium", 2).otherwise(0)), "; "))
+    return j.select("account_id", F.col("combined").alias("combined_score"), level.alias("overall"), F.trim(said).alias("explanation"))
+
+
+def return_estimates(spark, d):
+    """Outward tax and input credit of an account without invoices, estimated from its bank statement."""
+    rows = enriched(spark, d)
+    keyword = rules.contains_any(F.col("lowered"), ["gst", "igst", "cgst", "sgst", "tax invoice", "gstin", "bill"])
+    sums = rows.groupBy("account_id").agg(engine.total(F.col("type") == "CR").alias("cr_c"), engine.total((F.col("type") == "DR") & keyword).alias("gst_c"))
+    value = engine.nearest(F.col("cr_c") / F.lit(1.18))
+    half = engine.nearest(value * F.lit(0.09))
+    return sums.select("account_id", value.alias("taxable_c"), half.alias("cgst_c"), half.alias("sgst_c"), engine.nearest(F.col("gst_c") * F.lit(0.18) / F.lit(1.18)).alias("credit_c"))
+
+
 NAMES = [
+    table_columns, table_transactions, online_transactions, merged_cell_transactions, recognised_rows, recognised_columns, amounts_filled, running_continuity, loan_report,
+    consistency, risk_section, return_estimates,
     statement_routes, statement_headers, statement_transactions, information_entries, information_summary, tax_credit_entries, tax_credit_summary,
     ledger, credit_classes, parser_categories, spend_categories, merchants, monthly_summary, class_totals, type_repair, deduplicated, filled_balances, validated_rows,
     validation_summary, verification, audit_mismatches, end_of_day, balance_kpis, engine_kpis, risk_flags, income_sources, expense_categories, top_merchants, cash_flow,

@@ -386,6 +386,34 @@ SQL |= {
         CAST(sum(deducted_c) FILTER (part = 'C') AS BIGINT) AS tcs_c, CAST(sum(paid_c) FILTER (part = 'D') AS BIGINT) AS refund_c, CAST(sum(paid_c) FILTER (part = 'E') AS BIGINT) AS reported_c FROM cred GROUP BY ALL""",
 }
 
+_LIFTED = """SELECT account_id AS doc_id, {no} AS row_no, CAST(date + INTERVAL 120 MONTH AS DATE) AS date, {words} AS "desc", type, amount_c, balance_c + 100000000000 AS balance_c FROM led"""
+SQL |= {
+    "table_columns": f"""WITH {LED} SELECT DISTINCT account_id AS doc_id, 2::BIGINT AS header_no, [0, 2, 0][account_id % 4 + 1] AS at_date, [1, 1, 4][account_id % 4 + 1] AS at_description, [2, -1, 3][account_id % 4 + 1] AS at_debit,
+        [3, -1, 2][account_id % 4 + 1] AS at_credit, [4, 3, 5][account_id % 4 + 1] AS at_balance, [-1, 4, -1][account_id % 4 + 1] AS at_amount, [-1, -1, 1][account_id % 4 + 1] AS at_reference FROM led WHERE account_id % 4 < 3""",
+    "table_transactions": f"""WITH {LED} {_LIFTED.format(no='row_no', words="""trim("desc") || CASE WHEN account_id % 4 = 0 AND row_no % 5 = 0 THEN ' overflow' WHEN account_id % 4 = 3 THEN ' long enough' ELSE '' END""")}""",
+    "online_transactions": f"WITH {LED} {_LIFTED.format(no='CAST(row_no AS INTEGER)', words='trim(\"desc\")')}",
+    "merged_cell_transactions": f"WITH {LED} {_LIFTED.format(no='CAST(row_no AS INTEGER)', words='trim(\"desc\") || \' text\'')}",
+    "recognised_rows": f"""WITH {LED} SELECT account_id AS doc_id, row_no // 20 AS page_no, concat_ws(' ', strftime(date + INTERVAL 120 MONTH, '%d-%m-%Y'), 'word', printf('%d.%02d', amount_c // 100, amount_c % 100),
+        printf('%d.%02d', (balance_c + 100000000000) // 100, (balance_c + 100000000000) % 100)) AS line FROM led""",
+    "recognised_columns": f"WITH {LED} SELECT DISTINCT account_id AS doc_id, row_no // 20 AS page_no, 900::BIGINT AS balance_left, 700::BIGINT AS amount_left FROM led",
+    "amounts_filled": f"""WITH {LED}, a AS (SELECT account_id, txn_id, row_no, CASE WHEN txn_id % 6 <> 0 THEN amount_c END AS a, CASE WHEN txn_id % 6 <> 0 THEN type END AS t, CASE WHEN txn_id % 7 <> 0 THEN balance_c END AS b FROM led),
+        p AS (SELECT *, b - last_value(b IGNORE NULLS) OVER (PARTITION BY account_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS d FROM a)
+        SELECT txn_id, CASE WHEN a IS NULL AND d < 0 THEN 'DR' WHEN a IS NULL AND d > 0 THEN 'CR' ELSE t END AS type, coalesce(a, abs(d)) AS amount_c FROM p""",
+    "running_continuity": f"""WITH RECURSIVE {NOISY}, f AS (SELECT account_id, 0::BIGINT AS row_no, 50000000::BIGINT AS run, FALSE AS off, NULL::BIGINT AS computed_c, NULL::BIGINT AS printed_c FROM (SELECT DISTINCT account_id FROM noisy)
+        UNION ALL SELECT n.account_id, n.row_no, CASE WHEN abs(f.run + s.s - n.balance_c) > 1 THEN n.balance_c ELSE f.run + s.s END, coalesce(abs(f.run + s.s - n.balance_c) > 1, FALSE), f.run + s.s, n.balance_c
+        FROM f JOIN noisy n ON n.account_id = f.account_id AND n.row_no = f.row_no + 1, LATERAL (SELECT CASE n.type WHEN 'CR' THEN n.amount_c ELSE -n.amount_c END AS s) s)
+        SELECT account_id AS doc_id, row_no, computed_c, printed_c FROM f WHERE off""",
+    "loan_report": f"""WITH {ENGINE} SELECT account_id, avg_real_c, monthly_emi_c, loan_eligible_c, remaining_emi_c, CASE WHEN monthly_emi_c > 0 THEN CAST(avg_real_c AS DOUBLE) / monthly_emi_c END AS dscr, base_c = avg_real_c AS by_real_income FROM kpi""",
+    "consistency": f"""WITH {ENGINE} SELECT account_id, concat_ws(',', CASE WHEN foir > 200 THEN 'foir' END, CASE WHEN dep > 100 THEN 'loan_dependency' END) AS failed FROM kpi""",
+    "risk_section": f"""WITH {ENGINE}, r AS (SELECT account_id, least(count(*) FILTER ({has('l', R.GAMBLING)}) * 10 + count(*) FILTER ({has('l', R.PENALTY)}) * 5, 100) AS fs FROM enr GROUP BY ALL),
+        c AS (SELECT *, CAST(greatest(risk_score, round_even(fs / 2, 0)) AS INTEGER) AS combined_score FROM kpi JOIN r USING (account_id))
+        SELECT account_id, combined_score, CASE WHEN combined_score >= 50 THEN 'High' WHEN combined_score >= 20 THEN 'Medium' WHEN fs >= 50 THEN 'High' ELSE 'Low' END AS overall,
+        trim(upper(risk_level) || ' (' || risk_score || '/100) ' || array_to_string(flags[1 : CASE risk_level WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 0 END], '; ')) AS explanation FROM c""",
+    "return_estimates": f"""WITH {ENR}, s AS (SELECT account_id, {_sum("type = 'CR'")} AS cr_c, {_sum("type = 'DR' AND " + anywhere('l', ['gst', 'tax invoice', 'bill']))} AS gst_c FROM enr GROUP BY ALL),
+        v AS (SELECT *, {R0.format('cr_c / 1.18::DOUBLE')} AS taxable_c FROM s)
+        SELECT account_id, taxable_c, {R0.format('taxable_c * 0.09::DOUBLE')} AS cgst_c, {R0.format('taxable_c * 0.09::DOUBLE')} AS sgst_c, {R0.format('gst_c * 0.18::DOUBLE / 1.18::DOUBLE')} AS credit_c FROM v""",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

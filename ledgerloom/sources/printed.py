@@ -83,3 +83,54 @@ def credit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Part - D refunds"), f(F.lit("Refund "), k, F.lit(" 05-06-2024")), F.lit("PART E"), f(F.lit("Deposit reported "), a), F.lit("PART G"), f(F.lit("Default "), a),
     ]
     return _lines(rows, texts)
+
+
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions as table rows: three headers and one table without; an overflow row after every fifth."""
+    rows = statement_rows(spark, sf_dir)
+    amount, balance, cr = rupees(F.col("amount_c")), rupees(F.col("balance_c")), F.col("type") == "CR"
+    d, kind, none = F.date_format("date", "dd/MM/yyyy"), F.col("doc_id") % 4, F.lit("")
+    left, right = F.when(cr, "").otherwise(amount), F.when(cr, amount).otherwise("")
+    cells = (
+        F.when(kind == 0, F.array(d, F.col("desc"), left, right, balance))
+        .when(kind == 1, F.array(F.col("row_no").cast("string"), F.col("desc"), d, balance, F.concat_ws(" ", amount, "type")))
+        .when(kind == 2, F.array(d, F.col("txn_id").cast("string"), right, left, F.col("desc"), balance))
+        .otherwise(F.array(d, F.concat("desc", F.lit(" long enough")), F.when(cr, "0.00").otherwise(amount), F.when(cr, amount).otherwise("0.00"), balance))
+    )
+    body = rows.select("doc_id", (F.col("row_no") * 10).alias("row_no"), cells.alias("cells"))
+    over = F.array(none, F.lit("overflow"), none, none, none)
+    more = rows.where("row_no % 5 = 0 and doc_id % 4 = 0").select("doc_id", (F.col("row_no") * 10 + 1).alias("row_no"), over.alias("cells"))
+    heads = [["Txn Date", "Narration", "Withdrawal (Dr.)", "Deposit (Cr.)", "Closing Balance"], ["Sr No", "Particulars", "Value Date", "Balance(INR)", "Amount(Rs)"], ["Date", "Chq/Ref No", "Credit", "Debit", "Details", "Bal"]]
+    ids = rows.select("doc_id").distinct()
+    named = F.element_at(F.array(*[F.array(*[F.lit(x) for x in h]) for h in heads]), (F.col("doc_id") % 4 + 1).cast("int"))
+    head = ids.where("doc_id % 4 < 3").select("doc_id", F.lit(2).cast("long").alias("row_no"), named.alias("cells"))
+    title = ids.select("doc_id", F.lit(1).cast("long").alias("row_no"), F.array(F.lit("Statement of account"), none, none, none, none).alias("cells"))
+    foot = ids.select("doc_id", F.lit(10_000_000).cast("long").alias("row_no"), F.array(none, F.lit("Closing balance"), none, none, F.lit("1.00")).alias("cells"))
+    return body.unionByName(more).unionByName(head).unionByName(title.where("doc_id % 4 < 3")).unionByName(foot)
+
+
+def online_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven-cell rows with every eleventh direction and every thirteenth amount wrong."""
+    rows = statement_rows(spark, sf_dir)
+    wrong = F.when(F.col("txn_id") % 13 == 0, F.col("amount_c") + 77_700).otherwise(F.col("amount_c"))
+    cr = (F.col("type") == "CR") != (F.col("txn_id") % 11 == 0)
+    a, e = rupees(wrong), F.lit("")
+    cells = F.array(F.date_format("date", "ddMMM yyyy"), e, F.concat_ws(" ", "desc", F.lpad(F.col("txn_id").cast("string"), 12, "0")), e, F.when(cr, e).otherwise(a), F.when(cr, a).otherwise(e), rupees(F.col("balance_c")))
+    return rows.select("doc_id", "row_no", cells.alias("cells"))
+
+
+def merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = statement_rows(spark, sf_dir)
+    d = F.when(F.col("row_no") % 3 == 0, F.date_format("date", "dd-MMyyyy")).otherwise(F.date_format("date", "dd-MM-yyyy"))
+    first = F.concat(F.col("desc"), F.lit(" text\n"), F.col("row_no").cast("string"), F.lit(" "), d, F.lit(" "), d)
+    a, cr = rupees(F.col("amount_c")), F.col("type") == "CR"
+    return rows.select("doc_id", "row_no", F.array(first, F.lit(""), F.when(cr, "-").otherwise(a), F.when(cr, a).otherwise("-"), rupees(F.col("balance_c"))).alias("cells"))
+
+
+def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as recognised on pages: each transaction a row 60 apart, words up to 9 lower than the first."""
+    rows = statement_rows(spark, sf_dir)
+    top = (F.col("row_no") % 20) * 60
+    w = lambda text, left, low: F.struct(text.alias("text"), F.lit(left).alias("left"), (top + low).alias("top"))
+    words = F.array(w(F.date_format("date", "dd-MM-yyyy"), 100, 0), w(F.lit("word"), 300, 9), w(rupees(F.col("amount_c")), 700, 4), w(rupees(F.col("balance_c")), 900, 2))
+    return rows.select("doc_id", F.floor(F.col("row_no") / 20).alias("page_no"), F.inline(words))
