@@ -34,7 +34,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
 )
 #: Elements that are never part of a main text.
-APART = frozenset("nav header footer aside form button dialog menu head select option fieldset object audio video canvas figcaption".split())
+APART = frozenset("nav header footer aside form button dialog menu head select option fieldset object audio video canvas".split())
 #: Words of class, id or role that mark such elements.
 APART_WORDS = frozenset(
     """ad ads adv advert advertisement adsense banner sponsor sponsored promo promotion popup modal overlay nav navbar navigation menu sidebar sidenav aside
@@ -42,7 +42,12 @@ APART_WORDS = frozenset(
     commentlist disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar
     complementary contentinfo dialog form skip hidden""".split()
 )
+#: Words that name a page's header, or an article's own heading within it.
+HEADING_WORDS = frozenset(["header", "masthead"])
+#: Words that mark an article element as something other than the page's article.
+OTHER_ARTICLES = frozenset("ad advert advertisement comment reply promo sponsored related teaser".split())
 MAIN = frozenset(["article", "main"])
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CLOSED_BY = {
     "p": frozenset(
         "address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt td th tr".split()
@@ -65,17 +70,19 @@ class Block:
         self.path, self.text, self.linked, self.main = path, text, linked, main
 
 
-def _attributes(attrs: str) -> tuple[bool, bool, str]:
+def _attributes(attrs: str, tag: str = "", inside: int = 0) -> tuple[bool, bool, str]:
     """Whether an element is apart, whether it says it is the main one, and its class for the path."""
     if not attrs or attrs.isspace():
         return False, False, ""
-    apart = main = False
+    main = False
+    apart = bool(HIDDEN.search(attrs))
+    marks = OTHER_ARTICLES if tag in MAIN else APART_WORDS - HEADING_WORDS if inside else APART_WORDS
     shown = ""
     for name, *values in ATTRIBUTE.findall(attrs):
         value = "".join(values).lower()
         name = name.lower()
         words = re.split(r"[^a-z]+", value)
-        if name == "hidden" or name == "aria-hidden" and value == "true" or APART_WORDS.intersection(words):
+        if name == "hidden" or name == "aria-hidden" and value == "true" or marks.intersection(words):
             apart = True
         if name == "role" and value in ("main", "article"):
             main = True
@@ -145,7 +152,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in INLINE:
             flush()
-        off, says, shown = _attributes(m["attrs"])
+        off, says, shown = _attributes(m["attrs"], tag, main)
         if tag in ("html", "body"):
             off = False
         within = main

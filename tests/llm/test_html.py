@@ -18,6 +18,8 @@ TEXT = "This is a paragraph of some length, with commas, and stops. It goes on f
         (f"<article><ul><li>one<li>two</ul><table><tr><td>a<td>b</table><p>{TEXT}</article>", f"one\ntwo\na\nb\n{TEXT}"),
         (f"<article><p>{TEXT}</p><p>cut off in a <a hre", f"{TEXT}\ncut off in a"),
         (f"<article><p>1 < 2 and 3 > 2</p><p>{TEXT}</p></article>", f"1 < 2 and 3 > 2\n{TEXT}"),
+        (f"<article class='post has-comments'><div class='article-header'><h1>T</h1></div><figure><figcaption>Cap</figcaption></figure><p>{TEXT}</p></article>", f"T\nCap\n{TEXT}"),
+        (f"<main><p>{TEXT}</p><p style='display: none'>unseen</p><article class=comment><p>I, too.</p></article></main>", TEXT),
         (f"<article><header><h1>T</h1></header><p>{TEXT} <a href='/x'>link</a> end.</p></article>", f"T\n{TEXT} link end."),
     ],
 )
