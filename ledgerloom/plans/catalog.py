@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify, parsing, rules
 from ledgerloom.operators import ask, balances, consolidate, engine, gst, joins, reports
-from ledgerloom.sources import fixtures, printed, statements, tables, tax_forms
+from ledgerloom.sources import fixtures, invoices as sheets, printed, statements, tables, tax_forms
 from ledgerloom.streaming import limits
 
 def opening():
@@ -434,7 +434,17 @@ def return_estimates(spark, d):
     return sums.select("account_id", value.alias("taxable_c"), half.alias("cgst_c"), half.alias("sgst_c"), engine.nearest(F.col("gst_c") * F.lit(0.18) / F.lit(1.18)).alias("credit_c"))
 
 
+def invoices_cleaned(spark, d):
+    return sheets.cleaned(printed.invoice_cells(spark, d))
+
+
+def taxpayers(spark, d):
+    pages = printed.taxpayer_pages(spark, d)
+    return pages.select("doc_id", *[c.alias(k) for k, c in tax_forms.taxpayer(F.col("text")).items()])
+
+
 NAMES = [
+    invoices_cleaned, taxpayers,
     table_columns, table_transactions, online_transactions, merged_cell_transactions, recognised_rows, recognised_columns, amounts_filled, running_continuity, loan_report,
     consistency, risk_section, return_estimates,
     statement_routes, statement_headers, statement_transactions, information_entries, information_summary, tax_credit_entries, tax_credit_summary,

@@ -368,14 +368,14 @@ cred AS (SELECT doc_id, 3 AS line_no, 'A' AS part, 'ABCD12345E' AS tan, '192' AS
   UNION ALL SELECT doc_id, 4, 'A', 'WXYZ54321K', CASE WHEN contains(printf('%d.%02d', k // 100, k % 100), '192') THEN '192' ELSE '194J' END, k, k, 0, '' FROM cu
   UNION ALL SELECT doc_id, 8, 'B', '', '', c, k, 0, '' FROM cu
   UNION ALL SELECT doc_id, 10, 'C', '', '', c, k, 0, '' FROM cu UNION ALL SELECT doc_id, 12, 'D', '', '', k, 0, 0, '05-06-2024' FROM cu UNION ALL SELECT doc_id, 14, 'E', '', '', c, 0, 0, '' FROM cu)"""
-_BANK = "['hdfc', 'icici', 'axis', 'canara', 'saraswat', '{}'][account_id % 6 + 1]"
+_BANK = "['hdfc', 'icici', 'axis', 'canara', 'saraswat', '{}', 'sbi'][account_id % 7 + 1]"
 SQL |= {
     "statement_routes": f"WITH {LED} SELECT DISTINCT account_id AS doc_id, {_BANK.format('kotak')} AS bank FROM led",
     "statement_headers": f"""WITH {LED} SELECT DISTINCT account_id AS doc_id, lpad(CAST(account_id AS VARCHAR), 10, '0') AS account_number, 'Current' AS account_type, DATE '2005-04-01' AS start_date,
         DATE '2006-03-31' AS end_date FROM led""",
     "statement_transactions": f"""WITH {LED}, b AS (SELECT *, {_BANK.format('none')} AS bank FROM led) SELECT account_id AS doc_id, CAST(row_no AS INTEGER) AS row_no, CAST(date + INTERVAL 120 MONTH AS DATE) AS date,
         trim("desc") || CASE WHEN bank IN ('hdfc', 'icici', 'canara') THEN ' note ' || row_no ELSE '' END AS "desc",
-        CASE WHEN bank = 'icici' AND contains(lower("desc"), 'int.pd:') THEN 'CR' ELSE type END AS type, amount_c, balance_c + 100000000000 AS balance_c, bank FROM b WHERE bank <> 'none'""",
+        CASE WHEN bank = 'icici' AND contains(lower("desc"), 'int.pd:') THEN 'CR' WHEN bank = 'sbi' AND contains(lower("desc"), 'cash deposit') THEN 'CR' ELSE type END AS type, amount_c, balance_c + 100000000000 AS balance_c, bank FROM b WHERE bank <> 'none'""",
     "information_entries": f"WITH {_INFO} SELECT * FROM info",
     "information_summary": f"WITH {_INFO}, s AS (SELECT doc_id, " + ", ".join(
         f"CAST(coalesce(sum(amount_c) FILTER (section = '{x}'), 0) AS BIGINT) AS {x}_c" for x in ("salary", "interest", "dividend", "securities", "mutual_fund", "foreign", "gst_turnover", "rent", "other_income", "tds_tcs")
@@ -414,6 +414,13 @@ SQL |= {
         SELECT account_id, taxable_c, {R0.format('taxable_c * 0.09::DOUBLE')} AS cgst_c, {R0.format('taxable_c * 0.09::DOUBLE')} AS sgst_c, {R0.format('gst_c * 0.18::DOUBLE / 1.18::DOUBLE')} AS credit_c FROM v""",
 }
 
+SQL |= {
+    "invoices_cleaned": f"""WITH {INV}, dt AS (SELECT concat('INV-', l_orderkey, '-', l_linenumber, '-', l_suppkey, '-', l_partkey) AS invoice_no, CAST(o_orderdate AS DATE) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+        SELECT invoice_no, CASE WHEN year(d) BETWEEN 2000 AND 2035 THEN d END AS date, party, gstin_raw, CASE WHEN h % 4 = 1 THEN {R0.format('total_c / 1.18::DOUBLE')} ELSE taxable_c END AS taxable_c, cgst_c, sgst_c, igst_c,
+        total_c, TRUE AS itc_eligible FROM inv JOIN dt USING (invoice_no)""",
+    "taxpayers": "SELECT c_custkey AS doc_id, 'ABCDE' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || 'F' AS pan, 'JANE DOE' AS name, '1 Main Road' AS address, '2024-25' AS year FROM customer",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.sources import fixtures
 
 LIFT_C = 100_000_000_000
-BANKS = ["hdfc", "icici", "axis", "canara", "saraswat", "kotak"]
+BANKS = ["hdfc", "icici", "axis", "canara", "saraswat", "kotak", "sbi"]
 
 
 def rupees(paise):
@@ -20,7 +20,7 @@ def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.ledger(spark, sf_dir)
     return rows.select(
         F.col("account_id").alias("doc_id"), "row_no", "txn_id", F.add_months("date", 120).alias("date"), F.trim("desc").alias("desc"), "type", "amount_c",
-        (F.col("balance_c") + LIFT_C).alias("balance_c"), F.element_at(F.array(*[F.lit(b) for b in BANKS]), (F.col("account_id") % 6 + 1).cast("int")).alias("bank"),
+        (F.col("balance_c") + LIFT_C).alias("balance_c"), F.element_at(F.array(*[F.lit(b) for b in BANKS]), (F.col("account_id") % 7 + 1).cast("int")).alias("bank"),
     )
 
 
@@ -37,6 +37,7 @@ def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(bank == "axis", F.concat_ws(" ", d("dd-MM-yyyy"), d("dd-MM-yyyy"), "desc", amount, "type", balance, F.lit("BR12")))
         .when(bank == "canara", F.concat_ws("\n", "desc", note, F.concat_ws(" ", d("d-MM-yyyy"), F.concat(F.when(cr, "-").otherwise(""), amount), balance)))
         .when(bank == "saraswat", F.concat_ws("\n", F.concat_ws(" ", d("dd/MM/yyyy"), F.lit("123456"), F.concat(F.when(cr, "").otherwise("-"), amount), balance), "desc"))
+        .when(bank == "sbi", F.concat_ws("\n", F.concat_ws(" ", d("dd/MM/yyyy"), "desc"), F.concat(F.lit("CIF: 8812-"), F.lpad(F.col("txn_id").cast("string"), 11, "7")), F.concat_ws(" ", amount, balance)))
         .otherwise(F.concat_ws(" ", d("dd/MM/yyyy"), "desc", amount, balance))
     )
     page = F.when(bank == "saraswat", F.floor((100_000 - F.col("row_no")) / 20)).otherwise(F.floor((F.col("row_no") - 1) / 20))
@@ -52,6 +53,7 @@ def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(bank == "axis", F.lit("IFSC UTIB0000001\nTran Date Value Date Transaction Particulars Amount DR/CR"))
         .when(bank == "canara", F.lit("IFSC Code CNRB0001\nDate Particulars Deposits Withdrawals Balance"))
         .when(bank == "saraswat", F.lit(labels))
+        .when(bank == "sbi", F.concat(F.lit("IFSC SBIN0001\nPost Date Value Date Description Debit Credit Balance\nOpening Balance "), opened))
         .otherwise(F.lit("IFSC KKBK0001\nDate Description Amount Balance"))
     )
     number = F.concat(F.lit("A/c No: "), F.lpad(F.col("doc_id").cast("string"), 10, "0"), F.lit(" Current account\nStatement period 01/04/2005 to 31/03/2006"))
@@ -134,3 +136,21 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = lambda text, left, low: F.struct(text.alias("text"), F.lit(left).alias("left"), (top + low).alias("top"))
     words = F.array(w(F.date_format("date", "dd-MM-yyyy"), 100, 0), w(F.lit("word"), 300, 9), w(rupees(F.col("amount_c")), 700, 4), w(rupees(F.col("balance_c")), 900, 2))
     return rows.select("doc_id", F.floor(F.col("row_no") / 20).alias("page_no"), F.inline(words))
+
+
+def invoice_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices as a spreadsheet's strings: grouped digits and signs, some totals and taxable values left blank."""
+    rows = fixtures.invoices(spark, sf_dir)
+    shown = lambda c: F.concat(F.format_number(F.floor(F.col(c) / 100), 0), F.lit("."), F.lpad((F.col(c) % 100).cast("string"), 2, "0"))
+    k = F.col("h") % 4
+    return rows.select(
+        F.col("invoice_no").alias("Invoice No"), F.date_format("date", "dd-MM-yyyy").alias("Invoice Date"), F.col("party").alias("Customer Name"), F.lower("gstin_raw").alias("Customer GSTIN"),
+        F.when(k == 1, "").otherwise(F.concat(F.lit("₹ "), shown("taxable_c"))).alias("Taxable Value"), shown("cgst_c").alias("CGST Amount"), shown("sgst_c").alias("SGST"),
+        F.when(F.col("igst_c") == 0, F.lit(None)).otherwise(shown("igst_c")).alias("IGST"), F.when(k == 2, "nan").otherwise(shown("total_c")).alias("Invoice Value"),
+    )
+
+
+def taxpayer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
+    number = F.concat(F.lit("ABCDE"), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"), F.lit("F"))
+    return rows.select("doc_id", F.concat(F.lit("Form\nPAN "), number, F.lit("\nName : JANE DOE\nAddress: 1 Main Road\nAssessment Year: 2024 - 25\n")).alias("text"))

@@ -83,3 +83,13 @@ def credit_summary(entries: DataFrame) -> DataFrame:
         s("paid_c", a).alias("declared_c"), s("deducted_c", a).alias("tds_c"), s("deposited_c", a).alias("deposited_c"), s("deducted_c", a & (F.col("section") == "192")).alias("salary_tds_c"),
         s("deducted_c", F.col("part") == "C").alias("tcs_c"), s("paid_c", F.col("part") == "D").alias("refund_c"), s("paid_c", F.col("part") == "E").alias("reported_c"),
     )
+
+
+def taxpayer(text: Column) -> dict[str, Column]:
+    """Account number, name, address and assessment year of a form's text."""
+    pick = lambda pattern: F.trim(F.regexp_extract(text, pattern, 1))
+    year = F.regexp_replace(pick(r"(?i)Assessment\s*Year\s*[:\-]?\s*(\d{4}\s*-\s*\d{2,4})"), " ", "")
+    return {
+        "pan": pick(r"\b([A-Z]{5}\d{4}[A-Z])\b"), "name": F.substring(pick(r"Name\s*[:\-]\s*([A-Z][A-Z .]+)"), 1, 60), "address": F.substring(pick(r"(?i)Address\s*[:\-]\s*(.+?)(?:\n|PAN|Assessment)"), 1, 200),
+        "year": F.when(year != "", year).otherwise(pick(r"\b(20\d{2}-\d{2,4})\b")),
+    }
