@@ -21,6 +21,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64))
 REPEAT = 1
 SIZES = (3, 4, 5, 6)
+#: N-grams that one step of training has in hand at a time.
+SLAB = 1 << 20
 
 
 def spread(body: np.ndarray, offsets: np.ndarray, case: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,6 +213,8 @@ def fit(
     share_of_gram = (1 / np.maximum(sizes - 1, 1)).astype(np.float32)
     del seen, kept, first_of
 
+    slabs = [slice(i, i + SLAB) for i in range(0, len(flat), SLAB)]
+    shares = lambda c, own, gram: np.where(is_own[c], own[of_word[c]], gram[of_word[c]])
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     vectors[np.bincount(flat, minlength=1 << BITS) == 0] = 0
@@ -226,9 +230,12 @@ def fit(
             if not chosen:
                 continue
             bare = (~has_own | (rng.random(len(sizes)) < word_dropout)) & (sizes > 1)
-            each = np.where(is_own, np.where(sizes > 1, np.where(bare, 0, 0.5), 1)[of_word], (np.where(bare, 1, 0.5) * share_of_gram)[of_word]).astype(np.float32)
+            own_share = np.where(bare, 0, np.where(sizes > 1, 0.5, 1)).astype(np.float32)
+            gram_share = np.where(bare, 1, 0.5).astype(np.float32) * share_of_gram
             weight = vectors @ out
-            scores = np.bincount(of_word, weights=weight[flat] * each, minlength=len(sizes))
+            scores = np.zeros(len(sizes))
+            for c in slabs:
+                scores += np.bincount(of_word[c], weights=weight[flat[c]] * shares(c, own_share, gram_share), minlength=len(sizes))
             used = np.concatenate([docs[i] for i in chosen])
             first = np.concatenate([[0], np.cumsum([len(docs[i]) for i in chosen])])
             s = scores[used]
@@ -247,7 +254,9 @@ def fit(
             p = 1 / (1 + np.exp(-np.clip(logit + bias, -40, 40)))
             wrong = (p - labels[chosen]) * cost[chosen] / len(chosen)
             per_word = np.bincount(used, weights=share_of * np.repeat(wrong, np.diff(first)), minlength=len(sizes))
-            pull = np.bincount(flat, weights=per_word[of_word] * each, minlength=1 << BITS)
+            pull = np.zeros(1 << BITS)
+            for c in slabs:
+                pull += np.bincount(flat[c], weights=per_word[of_word[c]] * shares(c, own_share, gram_share), minlength=1 << BITS)
             moved = np.flatnonzero(pull)
             grad_out = pull[moved] @ vectors[moved]
             steps_v += (pull[moved] ** 2).sum() * (out @ out)
