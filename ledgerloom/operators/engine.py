@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import rules as R
-from ledgerloom.operators.balances import end_of_day
-
 CLASSES = [
     "salary", "business", "interest", "dividend", "rental", "loan_disbursal", "family_transfer", "self_transfer", "refund", "reimbursement",
     "non_income", "cash_deposit", "needs_verification",
@@ -27,16 +25,45 @@ def total(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col("amount_c"))), F.lit(0))
 
 
-def months(rows: DataFrame) -> DataFrame:
-    """Per account and month with any credit or debit: credits, debits, real income; the lowest balance of the month."""
-    out = rows.groupBy("account_id", "month").agg(
+#: Sums and extremes that go from days to months to accounts unchanged.
+SUMS = ["txns", "flows", "cr_c", "dr_c", "real_c", "loans", "family_transfers", "emi_c", "bounces", "balance_sum_c", "balances", *[f"{c}_c" for c in CLASSES]]
+
+
+def days(rows: DataFrame) -> DataFrame:
+    """Per account, month and day: counts, sums by class and direction, lowest, highest and last known balance."""
+    klass = lambda name: F.col("credit_class") == name
+    dated = F.col("balance_c").isNotNull() & F.col("date").isNotNull()
+    return rows.groupBy("account_id", "month", "date").agg(
+        F.count(F.lit(1)).alias("txns"),
         F.count("flow").alias("flows"),
         total(F.col("flow") == "CR").alias("cr_c"),
         total(F.col("flow") == "DR").alias("dr_c"),
         total(F.col("credit_class").isin(R.TAXABLE)).alias("real_c"),
+        F.count_if(klass("loan_disbursal")).alias("loans"),
+        F.count_if(klass("family_transfer")).alias("family_transfers"),
+        total((F.col("flow") == "DR") & F.col("is_emi")).alias("emi_c"),
+        F.count_if((F.col("flow") == "DR") & F.col("is_bounce")).alias("bounces"),
+        F.coalesce(F.sum("balance_c"), F.lit(0)).alias("balance_sum_c"),
+        F.count("balance_c").alias("balances"),
+        *[total(klass(c)).alias(f"{c}_c") for c in CLASSES],
         F.min("balance_c").alias("min_balance_c"),
+        F.max("balance_c").alias("max_balance_c"),
+        F.max_by("balance_c", F.when(dated, F.col("row_no"))).alias("eod_c"),
+    )
+
+
+def months(rows: DataFrame) -> DataFrame:
+    """The same per account and month, and of its days: the last balance, the sum of last balances, negative days."""
+    known = F.col("eod_c").isNotNull()
+    return days(rows).groupBy("account_id", "month").agg(
+        *[F.sum(c).alias(c) for c in SUMS],
+        F.min("min_balance_c").alias("min_balance_c"),
+        F.max("max_balance_c").alias("max_balance_c"),
+        F.max_by("eod_c", F.when(known, F.col("date"))).alias("month_end_c"),
+        F.sum("eod_c").alias("eod_sum_c"),
+        F.count("eod_c").alias("days"),
+        F.count_if(F.col("eod_c") < 0).alias("negative_days"),
     )
-    return out
 
 
 def stability(n: Column, s: Column, top: Column, squares: Column, poor: Column) -> tuple[Column, Column]:
@@ -55,36 +82,25 @@ def stability(n: Column, s: Column, top: Column, squares: Column, poor: Column)
 
 
 def engine(rows: DataFrame) -> DataFrame:
-    """One row per account. `rows` are enriched; every grouping is by account first, so one partitioning serves all."""
-    rows = rows.repartition("account_id")
-    klass = lambda name: F.col("credit_class") == name
-    totals = rows.groupBy("account_id").agg(
-        F.count(F.lit(1)).alias("txns"),
-        *[total(klass(c)).alias(f"{c}_c") for c in CLASSES],
-        F.count_if(klass("loan_disbursal")).alias("loans"),
-        F.count_if(klass("family_transfer")).alias("family_transfers"),
-        total((F.col("flow") == "DR") & F.col("is_emi")).alias("emi_c"),
-        F.count_if((F.col("flow") == "DR") & F.col("is_bounce")).alias("bounces"),
-        F.sum("balance_c").alias("balance_sum_c"),
-        F.count("balance_c").alias("balances"),
-        F.min("balance_c").alias("min_balance_c"),
-        F.max("balance_c").alias("max_balance_c"),
-    )
-    monthly = months(rows)
-    live = monthly.where("flows > 0")
-    per = live.groupBy("account_id").agg(
-        F.count(F.lit(1)).alias("n_months"),
+    """One row per account. `rows` are enriched; days are pre-aggregated before any shuffle, so that a busy account spreads; months and accounts are grouped from days."""
+    live = F.col("flows") > 0
+    e = months(rows).groupBy("account_id").agg(
+        *[F.sum(c).alias(c) for c in SUMS if c not in ("cr_c", "dr_c", "real_c")],
+        F.min("min_balance_c").alias("min_balance_c"),
+        F.max("max_balance_c").alias("max_balance_c"),
+        F.count_if(live).alias("n_months"),
         F.sum("cr_c").alias("total_cr_c"),
         F.sum("dr_c").alias("total_dr_c"),
         F.sum("real_c").alias("real_c"),
-        F.max("real_c").alias("top_real_c"),
-        F.sum(F.col("real_c").cast("double") * F.col("real_c").cast("double")).alias("real_squares"),
-        F.collect_list("real_c").alias("reals"),
+        F.max(F.when(live, F.col("real_c"))).alias("top_real_c"),
+        F.sum(F.when(live, F.col("real_c").cast("double") * F.col("real_c").cast("double"))).alias("real_squares"),
+        F.collect_list(F.when(live, F.col("real_c"))).alias("reals"),
         F.collect_list(F.when(F.col("dr_c") > 0, F.col("dr_c"))).alias("drs"),
+        F.count_if(F.col("min_balance_c") < 0).alias("negative_months"),
+        F.sum("negative_days").alias("negative_days"),
+        F.sum("days").alias("days_tracked"),
     )
-    below = monthly.groupBy("account_id").agg(F.count_if(F.col("min_balance_c") < 0).alias("negative_months"))
-    days = end_of_day(rows).groupBy("account_id").agg(F.count_if(F.col("eod_c") < 0).alias("negative_days"), F.count(F.lit(1)).alias("days_tracked"))
-    e = totals.join(per, "account_id").join(below, "account_id", "left").join(days, "account_id", "left").na.fill(0, ["negative_months", "negative_days", "days_tracked"])
+    e = e.where("n_months > 0")
 
     n = F.col("n_months")
     e = e.withColumns(

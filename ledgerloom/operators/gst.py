@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import rules as R
+from ledgerloom.operators.lineage import stored
 
 GSTIN = r"^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z][Z][0-9A-Z]$"
 # States by the first two digits of a registration, goods codes by keyword (the first wins), tax slabs.
@@ -126,7 +127,7 @@ def reconcile(statement: DataFrame, register: DataFrame) -> DataFrame:
         .otherwise(F.lit(0))
     )
     diff = F.when(F.col("status") == "Matched", F.lit(0)).when(F.col("hit").isNull(), a).otherwise(a - b)
-    rows = found.select("s_row", F.col("hit.r_row").alias("r_row"), "status", diff.alias("itc_diff_c"), claim.alias("claim_c"))
+    rows = stored(found.select("s_row", F.col("hit.r_row").alias("r_row"), "status", diff.alias("itc_diff_c"), claim.alias("claim_c")))
     used = rows.where("r_row is not null").select("r_row").distinct()
     unused = r.join(used, "r_row", "left_anti").select(
         F.lit(None).cast("long").alias("s_row"), "r_row", F.lit("In Purchase Register only").alias("status"), (-F.col("r_itc")).alias("itc_diff_c"), F.lit(0).cast("long").alias("claim_c")

@@ -18,19 +18,17 @@ def top(rows: DataFrame, k: int, by: str, name: str) -> DataFrame:
 
 
 def month_ends(rows: DataFrame) -> DataFrame:
-    days = end_of_day(rows).withColumn("month", F.date_format("date", "yyyy-MM"))
-    return days.groupBy("account_id", "month").agg(
+    """Last balance, sum and number of last balances of the days, per month."""
+    daily = end_of_day(rows).withColumn("month", F.date_format("date", "yyyy-MM"))
+    return daily.groupBy("account_id", "month").agg(
         F.max_by("eod_c", "date").alias("month_end_c"), F.sum("eod_c").alias("eod_sum_c"), F.count(F.lit(1)).alias("days")
     )
 
 
 def monthly_summary(rows: DataFrame) -> DataFrame:
-    """Income, expenses, savings and closing balance of every month with a credit or debit."""
-    rows = rows.repartition("account_id")
-    live = months(rows).where("flows > 0")
-    joined = live.join(month_ends(rows).select("account_id", "month", "month_end_c"), ["account_id", "month"], "left")
+    """Income, expenses, savings and closing balance of every month with a credit or debit: one pass over the ledger."""
     saved = F.col("real_c") - F.col("dr_c")
-    return joined.select(
+    return months(rows).where("flows > 0").select(
         "account_id", "month", F.col("real_c").alias("income_c"), F.col("dr_c").alias("expenses_c"), saved.alias("savings_c"),
         F.coalesce("month_end_c", F.lit(0)).alias("closing_c"), (saved >= 0).alias("surplus"),
     )
@@ -63,7 +61,6 @@ def top_merchants(rows: DataFrame, k: int = 15) -> DataFrame:
 
 def cash_flow(rows: DataFrame) -> DataFrame:
     """Average balances over the last 3, 6 and 12 months and all, months in surplus, net flow, and the trend of month ends."""
-    rows = rows.repartition("account_id")
     m = rows.groupBy("account_id", "month").agg(
         total(F.col("type") == "CR").alias("cr_c"),
         F.sum(F.when(F.coalesce(F.col("type") != "CR", F.lit(True)), F.col("amount_c")).otherwise(0)).alias("dr_c"),
@@ -100,7 +97,6 @@ def cash_flow(rows: DataFrame) -> DataFrame:
 
 def compliance(rows: DataFrame) -> DataFrame:
     """High values, cash, days of much cash, a year's cash, days of large credits and amounts just below a threshold."""
-    rows = rows.repartition("account_id")
     c = 100
     high, near = F.col("amount_c") >= R.HIGH_VALUE * c, F.col("amount_c").between(R.STRUCTURING[0] * c, R.STRUCTURING[1] * c - 1)
     counts = rows.groupBy("account_id").agg(F.count_if(high).alias("high_value"), F.count_if("is_cash").alias("cash"), F.count_if(near).alias("structured"))

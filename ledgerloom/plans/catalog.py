@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify, parsing, rules
-from ledgerloom.operators import ask, balances, consolidate, engine, gst, joins, reports
+from ledgerloom.operators import ask, balances, consolidate, engine, gst, joins, lineage, reports
 from ledgerloom.sources import fixtures, invoices as sheets, printed, statements, tables, tax_forms
 from ledgerloom.streaming import limits
 
@@ -87,7 +87,7 @@ def end_of_day(spark, d):
 
 
 def balance_kpis(spark, d):
-    return reports.month_ends(fixtures.ledger(spark, d).repartition("account_id"))
+    return reports.month_ends(fixtures.ledger(spark, d))
 
 
 ENGINE_COLUMNS = [
@@ -287,7 +287,8 @@ def gstr3b_set_off(spark, d):
 
 
 def _two_sides(spark, d):
-    rows = gst.derived(fixtures.invoices(spark, d)).withColumns({"gstin": F.col("gstin_raw"), "row_no": F.xxhash64("invoice_no")})
+    rows = gst.derived(fixtures.invoices(spark, d)).select("h", "invoice_no", "itc_c", F.col("gstin_raw").alias("gstin"), F.xxhash64("invoice_no").alias("row_no"))
+    rows = lineage.stored(rows)
     statement = rows.where("h % 11 <> 0").select("row_no", "invoice_no", "gstin", "itc_c", (F.col("h") % 5 != 0).alias("itc_eligible"))
     changed = F.when(F.col("h") % 19 == 0, F.concat(F.lit("29"), F.substring("gstin", 3, 13))).otherwise(F.col("gstin"))
     register = rows.where("h % 13 <> 0").select(
