@@ -194,5 +194,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select("fp", "least_id")
     of = leaves.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    of = of.repartition("component_id")  # by another key, so that both sides of the join are shuffled and a hot fingerprint can be split
+    of = of.repartition(F.xxhash64("fp"))  # by another key, so that both sides of the join are shuffled and a hot fingerprint can be split
     return rows.join(of, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
