@@ -22,6 +22,8 @@ SEGMENTS = (4, 16)
 QUERY_ROWS = (256, 4096)
 CANDIDATE_ROWS = (1024, 32768)
 TASKS = 48
+#: Queries of a block that are compared with its candidates at a time: memory is bounded by this times a block.
+STEP = 64
 LONG = (1 << 63) - 1
 
 
@@ -53,13 +55,19 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.array([max(-LONG - 1, min(LONG, s)) for s in sums], dtype=np.int64)
 
 
-def best_of(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its k best candidates: positions of the query and the candidate, and scores."""
+def best_of(
+    q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, levels: list[np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query its k best candidates: positions of the query and the candidate, and scores.
+
+    `levels` are the candidates' features, coarse to fine, where the caller has them for several calls.
+    """
+    levels = levels or [features(c, s) for s in SEGMENTS]
     if not len(q) or not len(c):
         none = np.zeros(0, np.int64)
         return none, none, none
     own = q_ids[:, None] == c_ids[None, :]
-    coarse = features(q, SEGMENTS[0]) @ features(c, SEGMENTS[0]).T
+    coarse = features(q, SEGMENTS[0]) @ levels[0].T
     coarse[own] = -np.inf
     some = min(k, len(c))
     seeds = np.argpartition(-coarse, some - 1, axis=1)[:, :some]
@@ -69,12 +77,12 @@ def best_of(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray,
     least = seed_scores.min(axis=1) if some == k else np.full(len(q), -np.inf)
     slack = 1 + 1e-9 * (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((c * c).sum(axis=1))[None, :])
     alive = ~own & (coarse + slack >= least[:, None])
-    for segments in SEGMENTS[1:]:
+    for segments, fine_c in zip(SEGMENTS[1:], levels[1:]):
         i, j = np.nonzero(alive)
         if len(i) > alive.size // 8:
-            alive &= features(q, segments) @ features(c, segments).T + slack >= least[:, None]
+            alive &= features(q, segments) @ fine_c.T + slack >= least[:, None]
         else:
-            fine_q, fine_c = features(q, segments), features(c, segments)
+            fine_q = features(q, segments)
             gone = np.einsum("ij,ij->i", fine_q[i], fine_c[j]) + slack[i, j] < least[i]
             alive[i[gone], j[gone]] = False
     i, j = np.nonzero(alive)
@@ -106,8 +114,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
         q_ids, c_ids = (t["id"].to_numpy() for t in (left, right))
         q, c = (quantised(t["v"].combine_chunks(), scale) for t in (left, right))
         out = [np.zeros(0, np.int64)] * 3
-        for at in range(0, len(q), 512):
-            i, j, s = best_of(q[at : at + 512], q_ids[at : at + 512], c, c_ids, k)
+        levels = [features(c, s) for s in SEGMENTS]
+        for at in range(0, len(q), STEP):
+            i, j, s = best_of(q[at : at + STEP], q_ids[at : at + STEP], c, c_ids, k, levels)
             out = [np.concatenate(x) for x in zip(out, (q_ids[at + i] if len(i) else i, c_ids[j] if len(j) else j, s))]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), out)))
 
