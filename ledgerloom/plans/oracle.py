@@ -321,7 +321,7 @@ SQL = {
         count(*) AS invoices FROM invd GROUP BY ALL""",
     "gstr3b_states": f"WITH {INV} SELECT state, CAST(sum(taxable_c) AS BIGINT) AS taxable_c, CAST(sum(igst_c) AS BIGINT) AS igst_c, count(*) AS invoices FROM invd WHERE interstate GROUP BY ALL",
     "gstr3b_credit": f"""WITH {INV} SELECT gstin_valid AS eligible, CAST(sum(igst_c) AS BIGINT) AS igst_c, CAST(sum(cgst_c) AS BIGINT) AS cgst_c, CAST(sum(sgst_c) AS BIGINT) AS sgst_c,
-        CAST(sum(taxable_c) AS BIGINT) AS taxable_c, count(*) AS purchases FROM invd WHERE h % 3 = 0 GROUP BY ALL""",
+        CAST(sum(taxable_c) AS BIGINT) AS taxable_c, count(*) AS purchases FROM invd GROUP BY ALL""",
     "gstr3b_set_off": f"""WITH {INV}, a AS (SELECT account_id, h % 3 = 0 AND nature <> 'exempt' AS sold, h % 3 <> 0 AND gstin_valid AS bought, igst_c, cgst_c, sgst_c FROM invd),
         t AS (SELECT account_id, CAST(coalesce(sum(igst_c) FILTER (sold), 0) AS BIGINT) AS out_igst_c, CAST(coalesce(sum(cgst_c) FILTER (sold), 0) AS BIGINT) AS out_cgst_c, CAST(coalesce(sum(sgst_c) FILTER (sold), 0) AS BIGINT) AS out_sgst_c,
         CAST(coalesce(sum(igst_c) FILTER (bought), 0) AS BIGINT) AS itc_igst_c, CAST(coalesce(sum(cgst_c) FILTER (bought), 0) AS BIGINT) AS itc_cgst_c, CAST(coalesce(sum(sgst_c) FILTER (bought), 0) AS BIGINT) AS itc_sgst_c FROM a GROUP BY ALL),
@@ -331,7 +331,7 @@ SQL = {
         SELECT *, net_igst_c + net_cgst_c + net_sgst_c AS net_payable_c FROM n""",
     "gstr2b_rows": f"WITH {RECON} SELECT * FROM recon",
     "gstr2b_summary": f"WITH {RECON} SELECT status, count(*) AS invoices, CAST(sum(claim_c) AS BIGINT) AS claim_c, CAST(sum(abs(itc_diff_c)) AS BIGINT) AS diff_c FROM recon GROUP BY ALL",
-    "bank_matches": f"""WITH {INV}, {LED}, m AS (SELECT i.invoice_no, l.row_no, l.amount_c FROM invd i JOIN led l USING (account_id) WHERE i.h % 5 = 0 AND l.type = 'CR' AND l.amount_c > 0
+    "bank_matches": f"""WITH {INV}, {LED}, m AS (SELECT i.invoice_no, l.row_no, l.amount_c FROM invd i JOIN led l USING (account_id) WHERE l.type = 'CR' AND l.amount_c > 0
         AND abs(l.amount_c - i.total_c) <= greatest(i.total_c, 100) * 0.01::DOUBLE) SELECT invoice_no, min(row_no) AS bank_row, arg_min(amount_c, row_no) AS bank_c FROM m GROUP BY ALL""",
     "consolidation": f"""WITH {ENR}, b AS (SELECT account_id, {_sum("type = 'CR' AND parser_category = 'Salary'")} AS salary_c, {_sum("type = 'CR' AND parser_category = 'Interest'")} AS interest_c,
         {_sum("type = 'CR' AND parser_category IN ('Freelance Income', 'Marketplace Income')")} AS business_c, {_sum("type = 'DR'")} AS debits_c, {_sum("type = 'DR' AND parser_category = 'EMI/Loan Repayment'")} AS emi_c,
