@@ -138,3 +138,10 @@ def end_of_day(rows: DataFrame) -> DataFrame:
     """The last known balance of each account and day."""
     known = rows.where(F.col("balance_c").isNotNull() & F.col("date").isNotNull())
     return known.groupBy("account_id", "date").agg(F.max_by("balance_c", "row_no").alias("eod_c"))
+
+
+def inferred_opening(rows: DataFrame) -> DataFrame:
+    """Per account what the balance was before its first row, where that row tells and the result isn't negative."""
+    first = rows.groupBy("account_id").agg(F.min_by(F.struct("type", "amount_c", "balance_c"), "row_no").alias("f"))
+    before = F.col("f.balance_c") - F.when(F.col("f.type") == "CR", F.col("f.amount_c")).otherwise(-F.col("f.amount_c"))
+    return first.select("account_id", before.alias("opening_c")).where((F.col("opening_c") >= 0))

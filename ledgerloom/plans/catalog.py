@@ -444,7 +444,18 @@ def taxpayers(spark, d):
     return pages.select("doc_id", *[c.alias(k) for k, c in tax_forms.taxpayer(F.col("text")).items()])
 
 
+def opening_inferred(spark, d):
+    return balances.inferred_opening(fixtures.noisy_ledger(spark, d).where("balance_c is not null"))
+
+
+def table_openings(spark, d):
+    rows = fixtures.table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.abs(F.round(F.col("c_acctbal") * 100).cast("long")).alias("c"))
+    cells = F.array(F.array(F.lit(""), F.lit("Opening Balance"), F.lit(None).cast("string"), printed.rupees(F.col("c"))), F.array(F.lit("opening balance again"), F.lit("1.00")))
+    return tables.opening_balances(rows.select("doc_id", F.posexplode(cells).alias("row_no", "cells")))
+
+
 NAMES = [
+    opening_inferred, table_openings,
     invoices_cleaned, taxpayers,
     table_columns, table_transactions, online_transactions, merged_cell_transactions, recognised_rows, recognised_columns, amounts_filled, running_continuity, loan_report,
     consistency, risk_section, return_estimates,

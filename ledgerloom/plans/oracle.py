@@ -418,6 +418,9 @@ SQL |= {
     "invoices_cleaned": f"""WITH {INV}, dt AS (SELECT concat('INV-', l_orderkey, '-', l_linenumber, '-', l_suppkey, '-', l_partkey) AS invoice_no, CAST(o_orderdate AS DATE) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
         SELECT invoice_no, CASE WHEN year(d) BETWEEN 2000 AND 2035 THEN d END AS date, party, gstin_raw, CASE WHEN h % 4 = 1 THEN {R0.format('total_c / 1.18::DOUBLE')} ELSE taxable_c END AS taxable_c, cgst_c, sgst_c, igst_c,
         total_c, TRUE AS itc_eligible FROM inv JOIN dt USING (invoice_no)""",
+    "opening_inferred": f"""WITH {NOISY}, f AS (SELECT * FROM noisy WHERE balance_c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY row_no) = 1),
+        o AS (SELECT account_id, CASE type WHEN 'CR' THEN balance_c - amount_c ELSE balance_c + amount_c END AS opening_c FROM f) SELECT * FROM o WHERE opening_c >= 0""",
+    "table_openings": "SELECT c_custkey AS doc_id, CASE WHEN c_acctbal = 0 THEN 100 ELSE abs(CAST(round(c_acctbal * 100) AS BIGINT)) END AS opening_c FROM customer",
     "taxpayers": "SELECT c_custkey AS doc_id, 'ABCDE' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || 'F' AS pan, 'JANE DOE' AS name, '1 Main Road' AS address, '2024-25' AS year FROM customer",
 }
 

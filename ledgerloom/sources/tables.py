@@ -191,3 +191,11 @@ def continuity(rows: DataFrame, opening_c: int, tolerance_c: int = 1) -> DataFra
     zero = f"struct(cast({opening_c} as bigint) as run, cast(array() as array<struct<row_no: bigint, computed_c: bigint, printed_c: bigint>>) as off)"
     folded = ordered.select("doc_id", F.expr(f"aggregate(rows, {zero}, (acc, x) -> {step.format(t=tolerance_c)}).off").alias("off"))
     return folded.select("doc_id", F.inline("off"))
+
+
+def opening_balances(rows: DataFrame) -> DataFrame:
+    """Per document the first amount of the first row that says opening balance."""
+    said = rows.where(F.lower(F.array_join("cells", " ")).contains("opening balance"))
+    known = F.filter(F.transform("cells", parse_amount_c), lambda c: c > 0)
+    found = said.withColumn("opening_c", F.get(known, F.lit(0))).where("opening_c is not null")
+    return found.groupBy("doc_id").agg(F.min_by("opening_c", "row_no").alias("opening_c"))
