@@ -13,7 +13,7 @@ from ledgerloom.llm.common import bounded_batches, bounded_sample, row_blocks, t
 from ledgerloom.llm.subword import Model, fit
 
 #: Longest text, in bytes, that the training sample takes; longer ones are left to others of their label, never cut.
-TRAIN_BYTES = 100_000
+TRAIN_BYTES = 20_000
 #: How far the bias goes from the sample's odds of the labels, on a log scale, to those of all labelled rows.
 ODDS_SHARE = 0.7
 

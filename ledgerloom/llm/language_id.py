@@ -2,7 +2,7 @@
 
 Each slot holds one bit per language; the languages that know an n-gram are the bits set in all its slots. A text's
 popcount per language, as a share of its n-grams and freed of the filter's false positives, decides. Learning takes at
-most `TRAIN_ROWS` labelled rows by a hash of their ids; an n-gram goes to each language that has it at `RIVAL` of the
+most `TRAIN_ROWS` labelled rows of up to `TRAIN_BYTES` by a hash of their ids; an n-gram goes to each language that has it at `RIVAL` of the
 rate of the language richest in it or more, so that stray foreign lines teach nothing.
 
 Null texts and texts without a letter are `und` with score 0, as is every text where no language was learned. Ties go
@@ -24,7 +24,7 @@ from ledgerloom.llm.common import bounded_batches, bounded_sample, row_blocks, t
 from ledgerloom.llm.subword import LOWER, spread
 
 TRAIN_ROWS = 4000
-TRAIN_BYTES = 100_000
+TRAIN_BYTES = 20_000
 GRAM = 5
 SLOT_BITS = 20
 RIVAL = 0.25
