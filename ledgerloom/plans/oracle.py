@@ -368,7 +368,7 @@ cred AS (SELECT doc_id, 3 AS line_no, 'A' AS part, 'ABCD12345E' AS tan, '192' AS
   UNION ALL SELECT doc_id, 4, 'A', 'WXYZ54321K', CASE WHEN contains(printf('%d.%02d', k // 100, k % 100), '192') THEN '192' ELSE '194J' END, k, k, 0, '' FROM cu
   UNION ALL SELECT doc_id, 8, 'B', '', '', c, k, 0, '' FROM cu
   UNION ALL SELECT doc_id, 10, 'C', '', '', c, k, 0, '' FROM cu UNION ALL SELECT doc_id, 12, 'D', '', '', k, 0, 0, '05-06-2024' FROM cu UNION ALL SELECT doc_id, 14, 'E', '', '', c, 0, 0, '' FROM cu)"""
-_BANK = "['hdfc', 'icici', 'axis', 'canara', 'saraswat', '{}', 'sbi'][account_id % 7 + 1]"
+_BANK = "['hdfc', 'icici', 'axis', 'canara', 'saraswat', '{}', 'sbi', 'pnb'][account_id % 8 + 1]"
 SQL |= {
     "statement_routes": f"WITH {LED} SELECT DISTINCT account_id AS doc_id, {_BANK.format('kotak')} AS bank FROM led",
     "statement_headers": f"""WITH {LED} SELECT DISTINCT account_id AS doc_id, lpad(CAST(account_id AS VARCHAR), 10, '0') AS account_number, 'Current' AS account_type, DATE '2005-04-01' AS start_date,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.sources import fixtures
 
 LIFT_C = 100_000_000_000
-BANKS = ["hdfc", "icici", "axis", "canara", "saraswat", "kotak", "sbi"]
+BANKS = ["hdfc", "icici", "axis", "canara", "saraswat", "kotak", "sbi", "pnb"]
 
 
 def rupees(paise):
@@ -20,7 +20,7 @@ def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.ledger(spark, sf_dir)
     return rows.select(
         F.col("account_id").alias("doc_id"), "row_no", "txn_id", F.add_months("date", 120).alias("date"), F.trim("desc").alias("desc"), "type", "amount_c",
-        (F.col("balance_c") + LIFT_C).alias("balance_c"), F.element_at(F.array(*[F.lit(b) for b in BANKS]), (F.col("account_id") % 7 + 1).cast("int")).alias("bank"),
+        (F.col("balance_c") + LIFT_C).alias("balance_c"), F.element_at(F.array(*[F.lit(b) for b in BANKS]), (F.col("account_id") % 8 + 1).cast("int")).alias("bank"),
     )
 
 
@@ -38,6 +38,7 @@ def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(bank == "canara", F.concat_ws("\n", "desc", note, F.concat_ws(" ", d("d-MM-yyyy"), F.concat(F.when(cr, "-").otherwise(""), amount), balance)))
         .when(bank == "saraswat", F.concat_ws("\n", F.concat_ws(" ", d("dd/MM/yyyy"), F.lit("123456"), F.concat(F.when(cr, "").otherwise("-"), amount), balance), "desc"))
         .when(bank == "sbi", F.concat_ws("\n", F.concat_ws(" ", d("dd/MM/yyyy"), "desc"), F.concat(F.lit("CIF: 8812-"), F.lpad(F.col("txn_id").cast("string"), 11, "7")), F.concat_ws(" ", amount, balance)))
+        .when(bank == "pnb", F.concat_ws(" ", d("dd/MM/yyyy"), F.when(cr, "0.00").otherwise(amount), F.when(cr, amount).otherwise("0.00"), F.concat(balance, F.lit(" Cr.")), "desc"))
         .otherwise(F.concat_ws(" ", d("dd/MM/yyyy"), "desc", amount, balance))
     )
     page = F.when(bank == "saraswat", F.floor((100_000 - F.col("row_no")) / 20)).otherwise(F.floor((F.col("row_no") - 1) / 20))
@@ -54,6 +55,7 @@ def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(bank == "canara", F.lit("IFSC Code CNRB0001\nDate Particulars Deposits Withdrawals Balance"))
         .when(bank == "saraswat", F.lit(labels))
         .when(bank == "sbi", F.concat(F.lit("IFSC SBIN0001\nPost Date Value Date Description Debit Credit Balance\nOpening Balance "), opened))
+        .when(bank == "pnb", F.lit("IFSC Code PUNB0001\nTransaction Date Cheque Number Withdrawal Deposit Balance Narration"))
         .otherwise(F.lit("IFSC KKBK0001\nDate Description Amount Balance"))
     )
     number = F.concat(F.lit("A/c No: "), F.lpad(F.col("doc_id").cast("string"), 10, "0"), F.lit(" Current account\nStatement period 01/04/2005 to 31/03/2006"))
