@@ -53,8 +53,8 @@ class LanguageFilter:
     masks: np.ndarray
     false_rate: np.ndarray
 
-    def shares(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per row and language, the corrected share of the row's n-grams that the language knows."""
+    def shares(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per row and language, the corrected share of the row's n-grams that the language knows; per row, its n-grams."""
         text, marks = spread(body, offsets, LOWER)
         h = gram_hashes(text)
         known = self.masks[slots(h, 0)] & self.masks[slots(h, 1)]
@@ -65,7 +65,7 @@ class LanguageFilter:
             hits = np.concatenate([[0], np.cumsum((known >> np.uint64(i)) & np.uint64(1))]).astype(np.int64)
             out[:, i] = hits[last] - hits[first]
         rate = self.false_rate
-        return np.clip((out / np.maximum(last - first, 1)[:, None] - rate) / (1 - rate), 0, 1)
+        return np.clip((out / np.maximum(last - first, 1)[:, None] - rate) / (1 - rate), 0, 1), last - first
 
 
 def learn(texts: list[str], languages: list[str]) -> LanguageFilter:
@@ -111,16 +111,17 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def identify(
     docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = ""
 ) -> DataFrame:
-    """The id, the columns of `keep`, lang_pred, score and coverage for every row.
+    """The id, the columns of `keep`, lang_pred, score, coverage and grams for every row.
 
-    The score is the winner's part of all languages' corrected shares, coverage its share itself. A prefix keeps the
-    three names apart from those of kept columns.
+    The score is the winner's part of all languages' corrected shares, coverage its share itself, of so many n-grams as
+    grams says: where they are few, a low coverage is no evidence. A prefix keeps the four names apart from those of
+    kept columns.
     """
     names = list(dict.fromkeys([id_col, *keep]))
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters")
     given = docs.select(*names, *([] if text_col in names else [text_col]), letters)
     at = given.columns.index(text_col)
-    made = [prefix + x for x in ("lang_pred", "score", "coverage")]
+    made = [prefix + x for x in ("lang_pred", "score", "coverage", "grams")]
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -130,12 +131,13 @@ def identify(
             body, offsets = text_buffer(batch.column(at))
             read = np.array(batch.columns[-1].to_pylist(), dtype=bool) & bool(model.languages)
             found = [model.shares(body, offsets[a : b + 1]) for a, b in row_blocks(offsets)] if model.languages else []
-            shares = np.concatenate(found) if found else np.zeros((len(read), 1))
+            shares = np.concatenate([x for x, _ in found]) if found else np.zeros((len(read), 1))
+            grams = np.concatenate([x for _, x in found]) if found else np.zeros(len(read))
             best, top = shares.argmax(axis=1), np.where(read, shares.max(axis=1), 0.0)
             lang = [model.languages[b] if ok else "und" for b, ok in zip(best, read)]
             score = top / np.maximum(shares.sum(axis=1), 1e-12)
-            out = [pa.array(lang, pa.string()), pa.array(score), pa.array(top)]
+            out = [pa.array(lang, pa.string()), pa.array(score), pa.array(top), pa.array(grams.astype(np.int64))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *out], names=[*names, *made])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[: len(names)])
-    return given.mapInArrow(run, f"{kinds}, `{made[0]}` string, `{made[1]}` double, `{made[2]}` double")
+    return given.mapInArrow(run, f"{kinds}, `{made[0]}` string, `{made[1]}` double, `{made[2]}` double, `{made[3]}` long")

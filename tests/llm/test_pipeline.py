@@ -65,3 +65,11 @@ def test_repeated_ids_and_null_ids(spark, folder):
     assert sorted((r.doc_id or -1) for r in got) == [-1, 1, 3]
     assert corpus_pipeline.drop_near_copies(spark, df.where("false"), path).collect() == []
     assert corpus_pipeline.drop_contaminated(spark, df.where("false"), path).collect() == []
+
+
+def test_texts_too_short_for_evidence_stay(spark, folder):
+    path, *_ = folder
+    rows = [(9000, "A.", "xx"), (9001, "Qx", "xx"), (9002, "Wq zj", "xx"), (9003, "1.", "xx"), (9004, "", "xx"), (9005, "wqzj pfgb vwxk hjqz " * 9, "xx")]
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text", "lang").where("doc_id < 400")
+    kept = corpus_pipeline.keep_known_languages(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), path)
+    assert sorted(r.doc_id for r in kept.where("doc_id >= 9000").collect()) == [9000, 9001, 9002]
