@@ -52,12 +52,24 @@ def circular_flows(rows: DataFrame, least_c: int = 500_000, days: int = 8) -> Da
     return credits.join(debits, ["account_id", "bucket"]).where(close).drop("bucket")
 
 
+def is_round_lot():
+    return (F.col("cr_c") >= 5_000_000) & (F.col("cr_c") % 500_000 == 0)
+
+
 def round_lot(pairs: DataFrame) -> DataFrame:
     """The pairs whose credit is a large round amount, one per dates and rounded amount."""
-    kept = pairs.where((F.col("cr_c") >= 5_000_000) & (F.col("cr_c") % 500_000 == 0))
+    kept = pairs.where(is_round_lot())
     return kept.select("account_id", "credit_date", "debit_date", F.bround(F.col("cr_c") / 100, 0).alias("amount")).distinct()
 
 
+def circular_counts(rows: DataFrame) -> DataFrame:
+    """Per account its circular flows, one per dates and rounded amount: alike narrations, or a large round amount."""
+    pairs = similar(circular_flows(rows), F.col("credit_desc"), F.col("debit_desc"), -1.0)
+    kept = pairs.where((F.col("similarity") > 0.45) | is_round_lot())
+    flows = kept.select("account_id", "credit_date", "debit_date", F.bround(F.col("cr_c") / 100, 0).alias("amount")).distinct()
+    return flows.groupBy("account_id").agg(F.count(F.lit(1)).alias("circular"))
+
+
 def same_day_groups(rows: DataFrame) -> DataFrame:
     """Rows that share account, date, type and rounded amount with another: suspects of a double entry."""
     keyed = rows.withColumn("rounded", F.bround(F.col("amount_c") / 100, 0))

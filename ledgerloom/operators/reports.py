@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify
 from ledgerloom.functions import rules as R
+from ledgerloom.operators import joins
 from ledgerloom.operators.balances import end_of_day
 from ledgerloom.operators.engine import months, ratio, total
 
@@ -172,6 +173,12 @@ def red_flags(rows: DataFrame) -> DataFrame:
     return rows.groupBy("account_id").agg(F.count_if(game).alias("gambling"), total(game).alias("gambling_c"), F.count_if(late).alias("penalties"), total(late).alias("penalty_c"))
 
 
+def flag_scores(rows: DataFrame) -> DataFrame:
+    """The red flags with circular flows, and their score: 15 points per circular flow, 10 per gambling row, 5 per penalty, 100 at most."""
+    out = red_flags(rows).join(joins.circular_counts(rows), "account_id", "left").withColumn("circular", F.coalesce("circular", F.lit(0)))
+    return out.withColumn("flag_score", F.least(F.col("circular") * 15 + F.col("gambling") * 10 + F.col("penalties") * 5, F.lit(100)))
+
+
 def search(rows: DataFrame, word: str) -> DataFrame:
     """Rows whose narration, date, amount or balance holds the word."""
     word = word.lower()

@@ -149,6 +149,10 @@ def red_flags(spark, d):
     return reports.red_flags(enriched(spark, d))
 
 
+def flag_scores(spark, d):
+    return reports.flag_scores(enriched(spark, d))
+
+
 def _rounded(spark, d):
     """The ledger with amounts in whole thousands, so that equal amounts meet."""
     return fixtures.ledger(spark, d).withColumn("amount_c", ((F.col("amount_c") - F.col("amount_c") % 2_500_000) + 500_000).cast("long"))
@@ -414,10 +418,10 @@ def consistency(spark, d):
 
 
 def risk_section(spark, d):
-    """The engine's risk joined with half the score of gambling and penalties, and its sentence."""
+    """The engine's risk joined with half the score of circular flows, gambling and penalties, and its sentence."""
     rows = enriched(spark, d)
     e = engine.engine(rows).select("account_id", "risk_score", "risk_level", "risk_flags")
-    f = reports.red_flags(rows).select("account_id", F.least(F.col("gambling") * 10 + F.col("penalties") * 5, F.lit(100)).alias("flag_score"))
+    f = reports.flag_scores(rows).select("account_id", "flag_score")
     j = e.join(f, "account_id").withColumn("combined", F.greatest(F.col("risk_score"), F.bround(F.col("flag_score") / 2, 0).cast("int")))
     level = F.when(F.col("combined") >= 50, "High").when(F.col("combined") >= 20, "Medium").otherwise("Low")
     level = F.when((F.col("flag_score") >= 50) & (level == "Low"), "High").otherwise(level)
@@ -462,7 +466,7 @@ NAMES = [
     statement_routes, statement_headers, statement_transactions, information_entries, information_summary, tax_credit_entries, tax_credit_summary,
     ledger, credit_classes, parser_categories, spend_categories, merchants, monthly_summary, class_totals, type_repair, deduplicated, filled_balances, validated_rows,
     validation_summary, verification, audit_mismatches, end_of_day, balance_kpis, engine_kpis, risk_flags, income_sources, expense_categories, top_merchants, cash_flow,
-    compliance, tax_return, obligations, emi_months, supplies, payment_modes, red_flags, circular_pairs, circular_round_lots, circular_similar, same_day_groups,
+    compliance, tax_return, obligations, emi_months, supplies, payment_modes, red_flags, flag_scores, circular_pairs, circular_round_lots, circular_similar, same_day_groups,
     duplicate_suspects, search_page, latest, sql_summary, sql_anomalies, accounts_rollup, row_errors, dates_parsed, amounts_parsed, rate_limits, invoices, gstr1_hsn,
     gstr1_summary, gstr1_b2c_large, gstr3b_nature, gstr3b_states, gstr3b_credit, gstr3b_set_off, gstr2b_rows, gstr2b_summary, bank_matches, consolidation, guarded_export,
 ]
