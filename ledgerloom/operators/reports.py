@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import classify
 from ledgerloom.functions import rules as R
 from ledgerloom.operators import joins
-from ledgerloom.operators.balances import end_of_day
+from ledgerloom.operators.balances import audit_mismatches, end_of_day
 from ledgerloom.operators.engine import months, ratio, total
 
 
@@ -147,6 +147,33 @@ def emi_months(rows: DataFrame) -> DataFrame:
     return out.where((F.col("emi_c") > 0) | (F.col("cards") > 0)).withColumn("card_pattern", pattern)
 
 
+def lenders(rows: DataFrame, k: int = 8) -> DataFrame:
+    """The k lenders that each account's instalments go to most, named by the first keyword that fits."""
+    named = R.first_match([(R.mentions(F.col("lowered"), [word]), word) for word in R.EMI if len(word) > 4], F.lit(None).cast("string"))
+    debits = rows.where((F.col("type") == "DR") & (F.col("amount_c") != 0) & F.col("is_emi")).withColumn("lender", named).where("lender is not null")
+    return top(debits.groupBy("account_id", "lender").agg(F.sum("amount_c").alias("total_c"), F.count(F.lit(1)).alias("debits")), k, "total_c", "lender")
+
+
+def destinations(rows: DataFrame, k: int = 10) -> DataFrame:
+    """The k counterparties that most of each account's debits go to, without cash and own accounts."""
+    debits = rows.where((F.col("type") == "DR") & (F.col("amount_c") != 0) & ~R.contains_any(F.col("lowered"), ["atm", "cash", "self", "own account"]))
+    out = debits.withColumn("destination", classify.merchant(F.coalesce("desc", F.lit("")))).groupBy("account_id", "destination")
+    return top(out.agg(F.sum("amount_c").alias("total_c"), F.count(F.lit(1)).alias("debits")), k, "total_c", "destination")
+
+
+def audit_scores(rows: DataFrame) -> DataFrame:
+    """Balance mismatches, bounces and duplicates of each account, the score they leave of 100, and instalments as a share of credits."""
+    emi = (F.col("type") == "DR") & F.col("is_emi")
+    out = rows.groupBy("account_id").agg(
+        F.count_if((F.col("flow") == "DR") & F.col("is_bounce")).alias("bounces"), F.count_if(emi).alias("emis"), total(emi).alias("emi_c"), total(F.col("flow") == "CR").alias("total_cr_c")
+    )
+    for found, name in ((audit_mismatches(rows), "mismatches"), (joins.duplicate_suspects(rows), "duplicates")):
+        out = out.join(found.groupBy("account_id").agg(F.count(F.lit(1)).alias(name)), "account_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    lost = F.least(F.col("mismatches") * 5, F.lit(30)) + F.least(F.col("bounces") * 10, F.lit(30)) + F.least(F.col("duplicates") * 3, F.lit(15))
+    share = F.when(F.col("total_cr_c") > 0, F.bround(F.col("emi_c") * 100.0 / F.col("total_cr_c"), 1)).otherwise(0.0)
+    return out.withColumns({"emi_to_income": share, "reconciliation_score": F.greatest(F.lit(100) - lost, F.lit(0))})
+
+
 def supplies(rows: DataFrame) -> DataFrame:
     """Monthly outward supplies estimated from credits: nil, export, to businesses, to consumers."""
     text = F.col("lowered")

@@ -137,6 +137,18 @@ def emi_months(spark, d):
     return reports.emi_months(enriched(spark, d))
 
 
+def lenders(spark, d):
+    return reports.lenders(enriched(spark, d))
+
+
+def destinations(spark, d):
+    return reports.destinations(enriched(spark, d))
+
+
+def audit_scores(spark, d):
+    return reports.audit_scores(classify.enriched(fixtures.noisy_ledger(spark, d)))
+
+
 def supplies(spark, d):
     return reports.supplies(enriched(spark, d))
 
@@ -191,6 +203,10 @@ def latest(spark, d):
     return reports.top(fixtures.ledger(spark, d).withColumn("neg", -F.col("row_no")), 5, "row_no", "neg").select("account_id", "txn_id", "rank")
 
 
+def latest_hundred(spark, d):
+    return reports.top(fixtures.ledger(spark, d).withColumn("neg", -F.col("row_no")), 100, "row_no", "neg").select("account_id", "txn_id", "rank")
+
+
 def sql_summary(spark, d):
     query = ask.SafeQuery(spark, ask.view(fixtures.noisy_ledger(spark, d)))
     return query.run(
@@ -466,8 +482,8 @@ NAMES = [
     statement_routes, statement_headers, statement_transactions, information_entries, information_summary, tax_credit_entries, tax_credit_summary,
     ledger, credit_classes, parser_categories, spend_categories, merchants, monthly_summary, class_totals, type_repair, deduplicated, filled_balances, validated_rows,
     validation_summary, verification, audit_mismatches, end_of_day, balance_kpis, engine_kpis, risk_flags, income_sources, expense_categories, top_merchants, cash_flow,
-    compliance, tax_return, obligations, emi_months, supplies, payment_modes, red_flags, flag_scores, circular_pairs, circular_round_lots, circular_similar, same_day_groups,
-    duplicate_suspects, search_page, latest, sql_summary, sql_anomalies, accounts_rollup, row_errors, dates_parsed, amounts_parsed, rate_limits, invoices, gstr1_hsn,
+    compliance, tax_return, obligations, emi_months, lenders, destinations, audit_scores, supplies, payment_modes, red_flags, flag_scores, circular_pairs, circular_round_lots, circular_similar, same_day_groups,
+    duplicate_suspects, search_page, latest, latest_hundred, sql_summary, sql_anomalies, accounts_rollup, row_errors, dates_parsed, amounts_parsed, rate_limits, invoices, gstr1_hsn,
     gstr1_summary, gstr1_b2c_large, gstr3b_nature, gstr3b_states, gstr3b_credit, gstr3b_set_off, gstr2b_rows, gstr2b_summary, bank_matches, consolidation, guarded_export,
 ]
 

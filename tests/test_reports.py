@@ -1,7 +1,9 @@
 from difflib import SequenceMatcher
 
-from ledgerloom.functions import classify
+from ledgerloom.functions import classify, rules
+from ledgerloom.operators import reports
 from ledgerloom.plans import catalog
+from ledgerloom.sources import fixtures
 
 #: account, date, narration, type, amount in paise
 FLOWS = []
@@ -36,3 +38,34 @@ def test_circular_flows_score(spark, monkeypatch):
     assert got == {a: (n := brute_circular(FLOWS, a), 15 * n + 10 * (a == 3)) for a in (1, 2, 3, 4)}
     assert got[1] == (4, 60)
     assert {r.account_id: r.combined_score for r in catalog.risk_section(spark, "").collect()}[1] >= 30
+
+
+def test_lenders_and_destinations(spark):
+    rows = [(1, f"2024-01-{1 + i % 28:02d}", f"{word} x", "DR", 1_000 * (i + 1)) for i, word in enumerate(rules.EMI)]
+    rows += [(1, "2024-02-01", "snapmint again", "CR", 9_000_000), (1, "2024-02-01", "atm withdrawal", "DR", 8_000_000), (1, "2024-02-01", "to own account", "DR", 8_000_000)]
+    rows += [(2, "2024-02-01", f"{name} bill", "DR", 100 * (k + 1)) for k, name in enumerate(["alpha", "bravo", "charlie", "delta", "echoes", "foxtrot", "golfer", "hotel", "india", "juliet", "kilos"])]
+    df = frame(spark, rows)
+    sums = {}
+    for _, _, text, t, c in rows:
+        word = next((w for w in rules.EMI if w in text), None)
+        if t == "DR" and word:
+            sums[word] = sums.get(word, 0) + c
+    got = [(r.lender, r.total_c) for r in reports.lenders(df).where("account_id = 1").orderBy("rank").collect()]
+    assert got == sorted(sums.items(), key=lambda x: (-x[1], x[0]))[:8]
+    found = reports.destinations(df).orderBy("account_id", "rank").collect()
+    assert len([r for r in found if r.account_id == 1]) == 10 and max(r.total_c for r in found) < 8_000_000
+    assert [(r.total_c, r.debits) for r in found if r.account_id == 2] == [(100 * k, 1) for k in range(11, 1, -1)]
+
+
+def test_audit_score(spark):
+    rows = [(1, "2024-01-01", "salary", "CR", 100_000), (1, "2024-01-02", "cheque bounce", "DR", 10_000), (1, "2024-01-02", "cheque bounce", "DR", 10_000), (1, "2024-01-05", "home loan", "DR", 33_333), (2, "2024-01-01", "x", "DR", 5)]
+    got = {r.account_id: r for r in reports.audit_scores(frame(spark, rows)).collect()}
+    assert (got[1].mismatches, got[1].bounces, got[1].duplicates, got[1].emi_to_income) == (2, 2, 2, 33.3)
+    assert got[1].reconciliation_score == 100 - 10 - 20 - 6
+    assert (got[2].reconciliation_score, got[2].emi_to_income) == (100, 0.0)
+
+
+def test_latest_hundred(spark, monkeypatch):
+    rows = spark.range(120).selectExpr("1L as account_id", "id as row_no", "id as txn_id")
+    monkeypatch.setattr(fixtures, "ledger", lambda spark, d: rows)
+    assert {r.txn_id for r in catalog.latest_hundred(spark, "").collect()} == set(range(20, 120))
