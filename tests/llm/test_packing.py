@@ -1,3 +1,4 @@
+import json
 import os
 import random
 from collections import defaultdict
@@ -7,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ledgerloom.llm.packing import byte_level_encoding, pack
+from ledgerloom.llm.packing import Encoder, merges_alone, pack
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,12 +19,12 @@ def library_ids(text):
 
 
 def test_ids_are_the_librarys():
-    library, own = Tokenizer.from_file(PATH), byte_level_encoding(PATH)
+    library, own = Tokenizer.from_file(PATH), Encoder(PATH)
     rng = random.Random(3)
     points = [rng.randrange(0x20, 0x3000) for _ in range(4000)] + [0x1F600, 0x85, 0xA0, 0x2003, 0x180E]
     for at in range(0, len(points), 50):
         text = "".join(map(chr, points[at : at + 50])) + " it's <|endoftext|> 12\n\n  x"
-        assert own.encode_to_numpy(text, allowed_special="all").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert own.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("length,most_open,parts", [(32, 4, 3), (64, 1, 5), (2048, 32, 2)])
@@ -60,3 +61,25 @@ def test_repeated_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     assert sum(r.length for r in pack(df, PATH).collect()) == 2 * len(library_ids("a b")) + len(library_ids("c"))
     assert pack(df.where("false"), PATH).collect() == []
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "x" + "\n\t" * 600_000 + "y", "a" * 100_000], ids=["spaces", "lines", "letters"])
+def test_very_long_runs(text):
+    assert np.array_equal(Encoder(PATH).ids(text), np.array(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids))
+
+
+def test_very_long_runs_are_packed(spark):
+    rows = [(1, " " * 1_100_000), (2, "plain words")]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    for key, text in rows:
+        pieces = sorted((r.start, r.ids) for r in got if r.doc_id == key)
+        assert np.array_equal(np.concatenate([np.frombuffer(x, "<u4") for _, x in pieces]), np.array(library_ids(text)))
+
+
+def test_settings_that_merges_do_not_cover():
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert merges_alone(spec)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [dict(spec["added_tokens"][0], lstrip=True)]}):
+        assert not merges_alone(spec | change)
+    assert not merges_alone(spec | {"model": spec["model"] | {"ignore_merges": True}})
