@@ -14,12 +14,15 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def library_ids(text):
-    return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 1]
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def test_ids_are_the_librarys():
-    library, own = Tokenizer.from_file(PATH), Encoder(PATH)
+    library, own = LIBRARY, Encoder(PATH)
     rng = random.Random(3)
     points = [rng.randrange(0x20, 0x3000) for _ in range(4000)] + [0x1F600, 0x85, 0xA0, 0x2003, 0x180E]
     for at in range(0, len(points), 50):
@@ -65,7 +68,7 @@ def test_repeated_ids_and_empty_tables(spark):
 
 @pytest.mark.parametrize("text", [" " * 2_000_000, "x" + "\n\t" * 600_000 + "y", "a" * 100_000], ids=["spaces", "lines", "letters"])
 def test_very_long_runs(text):
-    assert np.array_equal(Encoder(PATH).ids(text), np.array(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids))
+    assert np.array_equal(Encoder(PATH).ids(text), np.array(LIBRARY.encode(text, add_special_tokens=False).ids))
 
 
 def test_very_long_runs_are_packed(spark):
