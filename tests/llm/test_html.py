@@ -1,5 +1,11 @@
+import random
+import re
+import time
+import tracemalloc
+
 import pytest
 
+from ledgerloom.llm import html_extract as H
 from ledgerloom.llm.html_extract import extract, main_text
 
 TEXT = "This is a paragraph of some length, with commas, and stops. It goes on for a while; long enough to count."
@@ -48,3 +54,106 @@ def test_rows(spark):
     got = extract(df).collect()
     assert sorted((r.page_id or 0, r.text) for r in got) == [(0, ""), (1, TEXT), (1, TEXT), (2, "")]
     assert extract(df.where("false")).collect() == []
+
+
+def test_all_articles_and_prose_around_them():
+    lead = f"{TEXT} {TEXT} {TEXT} {TEXT} {TEXT}"
+    page = (
+        f"<body><nav><a href=/>Home</a></nav><div><p>{lead}</p></div><article><h1>One</h1><p>{TEXT}</p></article>"
+        f"<article><h2>Two</h2><p>{TEXT} {TEXT}</p><p>Short.</p></article><div class=c9><p>We sell: buy, now.</p></div><footer><p>{TEXT}</p></footer></body>"
+    )
+    assert main_text(page) == f"{lead}\nOne\n{TEXT}\nTwo\n{TEXT} {TEXT}\nShort."
+
+
+def test_without_articles_and_helpful_classes():
+    menu = "".join(f"<div class=c3><a href=/{i}>Item number {i}, and more</a></div>" for i in range(30))
+    page = (
+        f"<body><div class=c1>{menu}</div><div class=c4><h2>Head</h2><p>{TEXT}</p><ul><li>one<li>two</ul><p>{TEXT} {TEXT}</p></div>"
+        f"<div class=c5><div class=c6>Sign up</div><div class=c7>Follow us</div></div><div class=c8>© 2024</div></body>"
+    )
+    assert main_text(page) == f"Head\n{TEXT}\none\ntwo\n{TEXT} {TEXT}"
+
+
+def test_class_words_do_not_decide_alone():
+    prose = " ".join([TEXT] * 5)
+    assert main_text(f"<body><div class='search result'><p>{prose}</p><p>{prose}</p></div><footer>© us</footer></body>") == f"{prose}\n{prose}"
+    assert main_text("<body><nav><a href=/>Home</a></nav><div class=ad>Buy this, now.</div><article></article><footer>© us, 2024.</footer></body>") == ""
+
+
+def test_hidden_and_inline_elements_do_not_cut_a_block():
+    assert main_text(f"<article><p>one <span hidden>two <span>three</span> four</span>five<!-- six --><b>sev</b>en {TEXT}</p></article>") == f"one fiveseven {TEXT}"
+
+
+def scores_by_definition(page):
+    """The path scores stated on path strings, each from all blocks anew."""
+    found = H.read(page)
+
+    def name(p):
+        return name(found.parent[p]) + ((found.tag[p], p),) if p else ((found.tag[0], 0),)
+
+    blocks = [(name(p), text, linked) for p, text, linked in found.blocks]
+    place, inside = {name(p): x for p, x in enumerate(found.place)}, {name(p): x for p, x in enumerate(found.inside)}
+
+    def ratio(member):
+        held = [(t, k) for p, t, k in blocks if member(p)]
+        if not held:
+            return 0.0
+        text = sum(len(t) - 0.9 * k for t, k in held) / len(held)
+        marks = sum(len(re.findall(r"[.,;:!?。、،؛؟]", t)) for t, _ in held) / len(held)
+        return (text * (0.5 + marks)) ** 0.5
+
+    paths = list(dict.fromkeys(p for p, _, _ in blocks))
+    own = [ratio(lambda x, p=p: x == p) for p in paths]
+
+    def step(p):
+        return 0.85 if p[-1][0] in H.COMPANION else 0.4
+
+    def support(p):
+        here = ratio(lambda x: x == p or x[:-1] == p and place[x] == place[p])
+        return max(here, step(p) * support(p[:-1])) if len(p) > 1 else here
+
+    out = {}
+    for i, p in enumerate(paths):
+        near = [own[j] * place[paths[j]] for j in (i - 1, i + 1) if 0 <= j < len(paths)]
+        smooth = (6 * own[i] + sum(near)) / (6 + len(near))
+        held = [(len(t), k) for x, t, k in blocks if x == p]
+        unlinked = sum(n - 0.9 * k for n, k in held) / sum(n for n, _ in held)
+        around = step(p) * support(p[:-1]) * unlinked if len(p) > 1 else 0.0
+        outside = any(inside[x] for x in paths) and not inside[p]
+        out[p[-1][1]] = max(smooth, around) * place[p] * (0.4 if outside else 1.0)
+    return out
+
+
+def test_scores_are_those_of_the_definition():
+    rng = random.Random(4)
+    tags = ["div", "p", "ul", "li", "h2", "article", "section", "nav", "table", "td", "footer", "div class=ad", "div class=x", "span", "a href=/"]
+    for _ in range(60):
+        page, stack = [], []
+        for _ in range(rng.randrange(5, 60)):
+            if stack and rng.random() < 0.35:
+                page.append(f"</{stack.pop().split()[0]}>")
+            else:
+                stack.append(rng.choice(tags))
+                page.append(f"<{stack[-1]}>")
+            if rng.random() < 0.6:
+                page.append(" ".join(rng.choice(["word", "another,", "end.", "x"]) for _ in range(rng.randrange(1, 30))))
+        html = "".join(page)
+        got, want = H.path_scores(H.read(html)), scores_by_definition(html)
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<div>" * 100_000 + TEXT, "<div>" * 50_000 + TEXT + "</div>" * 50_000, "<b" * 500_000, "< " * 500_000, "<a b=\"x>\" '" * 80_000, "<span hidden>" * 70_000 + "x", "<!-- " * 200_000],
+    ids=["open tags", "nested", "closed", "names", "signs", "quotes", "hidden", "comments"],
+)
+def test_hostile_pages_take_time_and_memory_in_proportion(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 5
+    tracemalloc.start()
+    main_text(page[: len(page) // 4])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20
