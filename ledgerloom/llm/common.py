@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.lineage import stored as checkpointed
 
-__all__ = ["bounded_batches", "bounded_sample", "checkpointed", "held_out", "row_blocks", "table", "text_buffer"]
+__all__ = ["bounded_batches", "bounded_sample", "bounded_texts", "checkpointed", "held_out", "row_blocks", "table", "text_buffer"]
 
 CHUNK_BYTES = 1 << 20
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
@@ -67,3 +67,27 @@ def bounded_sample(df: DataFrame, key: str, most: int, rows: int | None = None,
         return df
     share = 0.9 * most / rows
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def bounded_texts(rows: DataFrame, group: str, text: str, most_rows: int, most_bytes: int) -> DataFrame:
+    """Whole texts for training, a fair share of them for each group: about `most_rows` and `most_bytes` in all at most.
+
+    Per group, distinct texts are counted and weighed first; those chosen by a hash of the text are so many that a
+    group keeps within its share of rows and bytes (all, if they are few). Every text of up to its group's share of
+    bytes has the same chance, whatever its length; repeated rows count once. A row that an overlong text or chance
+    brings over the share in bytes is left out, in the order of the hash, so the bounds hold. Returns `group`, `text`.
+    """
+    rows = rows.select(group, text).where(F.col(group).isNotNull() & F.col(text).isNotNull())
+    rows = rows.withColumns({"__hash": F.xxhash64(F.lit(7), text), "__bytes": F.octet_length(text).cast("long")})
+    some = F.avg(F.least("__bytes", F.lit(most_bytes))).alias("__mean")
+    weighed = checkpointed(rows.groupBy(group).agg(F.approx_count_distinct("__hash").alias("__texts"), some))
+    groups = max(weighed.count(), 1)
+    each_rows, each_bytes = max(most_rows // groups, 1), max(most_bytes // groups, 1)
+    share = F.least(0.9 * each_rows / F.col("__texts"), 0.9 * each_bytes / (F.col("__texts") * F.greatest("__mean", F.lit(1.0))), F.lit(1.0))
+    weighed = weighed.select(group, (share * (1 << 30)).cast("long").alias("__share"))
+    rows = rows.where(F.col("__bytes") <= each_bytes)
+    chosen = rows.join(F.broadcast(weighed), group).where(F.pmod("__hash", F.lit(1 << 30)) < F.col("__share"))
+    chosen = chosen.groupBy(group, "__hash").agg(F.first(text).alias(text), F.first("__bytes").alias("__bytes"))
+    order = Window.partitionBy(group).orderBy("__hash")
+    held = chosen.withColumns({"__nth": F.row_number().over(order), "__sum": F.sum("__bytes").over(order)})
+    return held.where((F.col("__nth") <= each_rows) & (F.col("__sum") <= each_bytes)).orderBy(group, "__hash").select(group, text)

@@ -1,9 +1,13 @@
 """Language identification with language bitmasks in one bit-sliced Bloom filter.
 
-Each slot holds one bit per language; the languages that know an n-gram are the bits set in all its slots. A text's
-popcount per language, as a share of its n-grams and freed of the filter's false positives, decides. Learning takes at
-most `TRAIN_ROWS` labelled rows of up to `TRAIN_BYTES` by a hash of their ids; an n-gram goes to each language that has it at `RIVAL` of the
-rate of the language richest in it or more, so that stray foreign lines teach nothing.
+Each slot holds one bit per language, in as many mask words of 64 as there are languages; the languages that know an
+n-gram are the bits set in all its slots. A text's popcount per language, as a share of its n-grams and freed of the
+filter's false positives, decides. Learning takes whole texts within `TRAIN_ROWS` rows and `TRAIN_BYTES` bytes in all,
+an equal share of both for each language, so that a rare language is learned at any size. An n-gram goes to every
+language that has it `LEAST` times or more.
+
+An n-gram is `GRAM` bytes: five letters of Latin script, two or three of Cyrillic or Greek, and a character of Chinese
+with two thirds of the next, where single characters already tell much.
 
 Null texts and texts without a letter are `und` with score 0, as is every text where no language was learned. Ties go
 to the first language in alphabetical order. Texts are taken whole; rows are neither merged nor dropped; an empty
@@ -20,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, bounded_sample, row_blocks, text_buffer
+from ledgerloom.llm.common import bounded_batches, bounded_texts, row_blocks, text_buffer
 from ledgerloom.llm.subword import LOWER, spread
 
+#: Most texts, and most bytes of text, that all languages together are learned from.
 TRAIN_ROWS = 4000
-TRAIN_BYTES = 20_000
+TRAIN_BYTES = 24 << 20
+#: Languages of one mask word.
+WORD = 64
 GRAM = 5
 SLOT_BITS = 20
-RIVAL = 0.25
 LEAST = 3
 HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -50,26 +56,29 @@ def slots(h: np.ndarray, k: int) -> np.ndarray:
 @dataclass
 class LanguageFilter:
     languages: list[str]
-    masks: np.ndarray
+    masks: np.ndarray  # slots x mask words
     false_rate: np.ndarray
 
     def shares(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per row and language, the corrected share of the row's n-grams that the language knows; per row, its n-grams."""
         text, marks = spread(body, offsets, LOWER)
         h = gram_hashes(text)
-        known = self.masks[slots(h, 0)] & self.masks[slots(h, 1)]
+        at = [slots(h, k) for k in range(len(HASHES))]
         first = np.minimum(marks[:-1], len(h))
         last = np.clip(marks[1:] + 2 - GRAM, first, len(h))
         out = np.zeros((len(first), len(self.languages)))
         for i in range(len(self.languages)):
-            hits = np.concatenate([[0], np.cumsum((known >> np.uint64(i)) & np.uint64(1))]).astype(np.int64)
+            if i % WORD == 0:
+                word = self.masks[:, i // WORD]
+                known = word[at[0]] & word[at[1]]
+            hits = np.concatenate([[0], np.cumsum((known >> np.uint64(i % WORD)) & np.uint64(1))]).astype(np.int64)
             out[:, i] = hits[last] - hits[first]
         rate = self.false_rate
         return np.clip((out / np.maximum(last - first, 1)[:, None] - rate) / (1 - rate), 0, 1), last - first
 
 
 def learn(texts: list[str], languages: list[str]) -> LanguageFilter:
-    names = sorted(set(languages))[:64]
+    names = sorted(set(languages))
     size = 1 << SLOT_BITS
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for name in names:
@@ -84,27 +93,21 @@ def learn(texts: list[str], languages: list[str]) -> LanguageFilter:
             counts = np.bincount(where, weights=np.concatenate([counts, n])).astype(np.int64)
             keys = both
         found.append((keys, counts))
-    everything = np.unique(np.concatenate([k for k, _ in found])) if found else np.zeros(0, np.uint64)
-    rates = np.zeros((len(names), len(everything)))
-    enough = np.zeros_like(rates, dtype=bool)
+    masks = np.zeros((size, max(1, -(-len(names) // WORD))), np.uint64)
+    fill = np.zeros(len(names))
     for i, (keys, counts) in enumerate(found):
-        at = np.searchsorted(everything, keys)
-        rates[i, at] = counts / max(counts.sum(), 1)
-        enough[i, at] = counts >= LEAST
-    masks = np.zeros(size, np.uint64)
-    for i in range(len(names)):
-        own = everything[(rates[i] >= RIVAL * rates.max(axis=0)) & enough[i]]
+        own = keys[counts >= LEAST]
+        bit = np.uint64(1 << (i % WORD))
         for k in range(len(HASHES)):
-            np.bitwise_or.at(masks, slots(own, k), np.uint64(1 << i))
-    fill = np.array([((masks >> np.uint64(i)) & np.uint64(1)).mean() for i in range(len(names))])
+            masks[np.unique(slots(own, k)), i // WORD] |= bit
+        fill[i] = ((masks[:, i // WORD] & bit) != 0).mean()
     return LanguageFilter(names, masks, fill ** len(HASHES))
 
 
-def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = TRAIN_ROWS) -> LanguageFilter:
+def train_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> LanguageFilter:
     """`docs` must already leave out what may not be learned from."""
-    given = docs.select(id_col, F.col(text_col).alias("text_value"), F.col(lang_col).alias("lang_value"))
-    given = given.where("lang_value is not null and text_value is not null").where(F.octet_length("text_value") <= TRAIN_BYTES)
-    rows = bounded_sample(given, id_col, most_rows).orderBy(id_col, "text_value").limit(most_rows).toArrow()
+    given = docs.select(F.col(text_col).alias("text_value"), F.col(lang_col).alias("lang_value"))
+    rows = bounded_texts(given, "lang_value", "text_value", most_rows, most_bytes).toArrow()
     return learn(rows["text_value"].to_pylist(), rows["lang_value"].to_pylist())
 
 
