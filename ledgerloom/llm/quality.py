@@ -1,7 +1,7 @@
 """Text quality by learned hashed word and character n-gram vectors, averaged per document, with a softmax output.
 
-Case is kept, and a word that repeats the one before it is a feature of its own, so shouting and stuttering can be
-learned. Null and empty texts have no words and score as the model's bias; texts are scored whole; rows are neither
+Case is kept, and a word that repeats the one before it has the vector of repetition besides its own, so shouting and
+stuttering can be learned. Null and empty texts have no words and score as the model's bias; texts are scored whole; rows are neither
 merged nor dropped; without labels of both kinds the score is one constant; an empty table gives an empty result.
 """
 
