@@ -33,16 +33,16 @@ MOST_IN_GROUP = 4000
 MOST_PAIRS = 1 << 21
 
 
-def fingerprint(text: str) -> int:
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()
     if not words:
         return 0
-    if len(words) < SHINGLE:
+    if len(words) < shingle:
         hashes = [xxh64_intdigest(b" ".join(words), SEED)]
     else:
-        hashes = [xxh64_intdigest(b" ".join(t), SEED) for t in zip(*(words[i:] for i in range(SHINGLE)))]
+        hashes = [xxh64_intdigest(b" ".join(t), SEED) for t in zip(*(words[i:] for i in range(shingle)))]
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):
         part = np.array(hashes[i : i + (1 << 15)], dtype="<u8")
@@ -50,13 +50,13 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Per row its id and fingerprint, as a signed long of the same bits."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py() or "") for t in batch.column(1)], dtype=np.uint64)
+            found = np.array([fingerprint(t.as_py() or "", shingle) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
     bounded_batches(docs.sparkSession)
@@ -184,9 +184,9 @@ def link_forest(fps: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_join_groups, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, fingerprint (16 hex digits), component_id (the smallest id reachable over links)."""
-    rows = checkpointed(fingerprints(docs, id_col, text_col))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """Per row: id, fingerprint (16 hex digits), component_id (the smallest id reachable over links). Any type that has an order can be the id."""
+    rows = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     leaves = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
     tied = components(link_forest(leaves.select("fp")))
     roots = tied.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(tied.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
