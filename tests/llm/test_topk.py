@@ -24,8 +24,9 @@ def vectors(rng, n, dim):
 
 @pytest.mark.parametrize("seed,n,dim,blocks", [(1, 900, 16, 64), (2, 350, 3, 4096), (3, 1500, 40, 128)])
 def test_brute_force(spark, monkeypatch, seed, n, dim, blocks):
-    monkeypatch.setattr(topk, "QUERY_ROWS", (4, 4))
-    monkeypatch.setattr(topk, "CANDIDATE_ROWS", (blocks, blocks))
+    monkeypatch.setattr(topk, "QUERY_ROWS", 4)
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", blocks)
+    monkeypatch.setattr(topk, "LEAST_ROWS", 32)
     rng = random.Random(seed)
     rows = vectors(rng, n, dim)
     rows[5] = (5, None)
@@ -55,3 +56,21 @@ def test_scores_beyond_doubles(spark):
     hold = lambda s: max(-(2**63), min(2**63 - 1, s))
     want = [(q, r, i, hold(s)) for q, r, i, s in brute(rows)]
     assert sorted(tuple(r) for r in top_k(df, F.col("vec_id") == 0).collect()) == want
+
+
+def test_clusters_are_pruned_and_survivors_told(spark):
+    rng = random.Random(4)
+    centres = [[rng.gauss(0, 1) for _ in range(32)] for _ in range(8)]
+    rows = [(i, [x + rng.gauss(0, 0.15) for x in centres[rng.randrange(8)]]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = top_k(df, F.col("vec_id") % 100 == 0, report=True).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute(rows)
+    assert sum({r.query_id: r.scored for r in got}.values()) < 0.05 * 30 * 2999
+
+
+def test_a_repeated_row_is_a_candidate_each_time(spark):
+    rng = random.Random(5)
+    rows = vectors(rng, 150, 6) + [(77, [3.0] * 6)] * 40 + [(100, [1.0] * 6)] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k(df.where("vec_id != 100"), F.col("vec_id") % 100 == 0).collect())
+    assert got == brute([x for x in rows if x[0] != 100])
