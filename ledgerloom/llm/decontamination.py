@@ -1,13 +1,16 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
-A text's fingerprints are the smallest `GRAM`-word hash of each run of `WINDOW` such grams, hence of each stretch of
-`SPAN` = 13 words. Equal stretches have equal fingerprints, so joining the two sides' fingerprints finds every shared
-stretch of `SPAN` words or more; each find is then extended: the 13 words themselves are compared, and overlapping
-hits add up to whole shared passages. Items too short for a window are looked up by all grams of their own length.
+A text's fingerprints are the smallest `GRAM`-word hashes of its windows of `WINDOW` such grams, hence of its stretches
+of `SPAN` = 13 words; neighbouring windows mostly share their minimum, and each run of equal minima is kept once, with
+the stretches it stands for. Equal stretches have equal fingerprints, so joining the two sides' fingerprints finds
+every shared stretch of `SPAN` words or more; each find is then extended: the 13 words of its run's stretches are
+compared, and overlapping hits add up to whole shared passages. Items too short for a window are looked up by all
+grams of their own length.
 
 Defined results: a null or empty text has no words, is never hit and has no items. Repeated documents and ids each
 give a row; repeated benchmark items each count, null item ids never do. Words longer than any limit are words still.
-The benchmark side is broadcast only when its rows number at most `MOST_BROADCAST`; else both joins shuffle.
+The benchmark side is broadcast only when its windows take at most `MOST_BROADCAST` bytes; else both joins shuffle, of
+the documents' side only ids, places and fingerprints. The items of one window, and of one document, are one list.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from ledgerloom.llm.common import checkpointed
 SPAN = 13
 GRAM = 8
 WINDOW = SPAN - GRAM + 1
-MOST_BROADCAST = 500_000
+#: Bytes of windows, words and item ids included, that a broadcast may hold.
+MOST_BROADCAST = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -57,19 +61,29 @@ def _windows(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
     return distinct.select(F.xxhash64("len", "window").alias("found"), "len", "window", "items")
 
 
+def with_runs(rows: DataFrame) -> DataFrame:
+    """`runs` in place of `mins`: the winnowed fingerprints, each with the stretches (`from` to `to`, from 1) whose minimum it is."""
+    starts = "filter(sequence(1, size(mins)), i -> i = 1 or mins[i - 1] != mins[i - 2])"
+    rows = rows.withColumn("starts", F.expr(f"if(size(mins) = 0, cast(array() as array<int>), {starts})"))
+    runs = "transform(starts, (s, k) -> struct(s as from, coalesce(get(starts, k + 1), size(mins) + 1) - 1 as to, mins[s - 1] as print))"
+    return rows.withColumn("runs", F.expr(runs)).drop("starts", "mins")
+
+
 def _near(rows: DataFrame, keys: DataFrame, bounded: bool) -> DataFrame:
-    """Stretches whose fingerprint an item has, and the first of each row in any case."""
-    window = F.expr(f"slice(words, at, {SPAN})")
-    each = rows.select("id", "same", "n_words", "words", F.posexplode_outer("mins").alias("pos", "print")).withColumn("at", F.col("pos") + 1)
+    """Stretches whose fingerprint an item has, and one row of each document in any case."""
+    window = F.expr(f"slice(words, at, {SPAN})").alias("window")
+    at = F.explode(F.expr("sequence(run.from, run.to)")).alias("at")
+    each = rows.select("id", "same", "n_words", "words", F.posexplode_outer("runs").alias("pos", "run")).withColumn("first", F.coalesce(F.col("pos"), F.lit(0)) == 0)
     if bounded:
-        found = each.join(F.broadcast(keys.withColumn("hit", F.lit(True))), "print", "left")
-        found = found.withColumn("first", F.coalesce(F.col("at"), F.lit(1)) == 1).where("hit or first")
-        return found.select("id", "same", "n_words", "first", "at", F.when(F.col("hit"), window).alias("window"))
-    found = each.select("id", "same", "at", "print").join(keys, "print").groupBy("id", "same").agg(F.collect_set("at").alias("ats"))
-    found = found.withColumnsRenamed({"id": "id2", "same": "same2"})
+        found = each.join(F.broadcast(keys.withColumn("hit", F.lit(True))), F.col("run.print") == F.col("print"), "left").where("hit or first")
+        places = F.expr("if(hit, sequence(run.from, run.to), array(cast(null as int)))")
+        found = found.select("id", "same", "n_words", "words", "first", "hit", F.posexplode(places).alias("nth", "at"))
+        return found.select("id", "same", "n_words", (F.col("first") & (F.col("nth") == 0)).alias("first"), "at", F.when(F.col("at").isNotNull(), window).alias("window"))
+    found = each.where("run is not null").select("id", "same", "run").join(keys, F.col("run.print") == F.col("print")).select("id", "same", at)
+    found = found.groupBy("id", "same").agg(F.collect_set("at").alias("ats")).withColumnsRenamed({"id": "id2", "same": "same2"})
     back = rows.join(found, F.col("id").eqNullSafe(F.col("id2")) & (F.col("same") == F.col("same2")), "left")
     return back.select("id", "same", "n_words", "words", F.posexplode_outer("ats").alias("pos", "at")).select(
-        "id", "same", "n_words", (F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("first"), "at", window.alias("window")
+        "id", "same", "n_words", (F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("first"), "at", window
     )
 
 
@@ -91,13 +105,14 @@ def decontaminate(
 ) -> DataFrame:
     """Per document: id, n_words, spans (hit words from and to, counted from 1, merged), n_hit, item_ids (sorted as strings)."""
     windows = checkpointed(_windows(benchmark, item_id, item_text))
-    size = windows.agg(F.coalesce(F.sum(F.size("items")), F.lit(0)), F.sort_array(F.collect_set(F.when(F.col("len") < SPAN, F.col("len"))))).first()
+    taken = F.octet_length(F.array_join("window", "")) + 16 * F.col("len") + F.octet_length(F.array_join("items", "")) + 16 * F.size("items") + 64
+    size = windows.agg(F.coalesce(F.sum(taken), F.lit(0)), F.sort_array(F.collect_set(F.when(F.col("len") < SPAN, F.col("len"))))).first()
     bounded, short = size[0] <= MOST_BROADCAST, size[1]
     keys = with_fingerprints(windows.where(F.col("len") == SPAN).select(F.col("window").alias("words"))).select(F.explode("mins").alias("print")).distinct()
 
     rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
     rows = rows.withColumn("n_words", F.size("words")).withColumn("same", F.xxhash64("words"))
-    near = _near(with_fingerprints(rows), keys, bounded)
+    near = _near(with_runs(with_fingerprints(rows)), keys, bounded)
     if short:
         near = near.unionByName(_near_short(rows, windows, short, bounded))
     near = near.withColumn("found", F.when(F.col("window").isNotNull(), F.xxhash64(F.size("window"), "window")))

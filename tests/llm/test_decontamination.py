@@ -74,3 +74,14 @@ def test_main_path_is_native(spark):
     b = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     plan = decontaminate(d, b)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_fingerprints_are_one_for_each_run_of_equal_minima(spark):
+    rng = random.Random(9)
+    rows = [(i, [f"w{rng.randrange(500)}" for _ in range(n)]) for i, n in enumerate((0, 5, 13, 14, 3000))]
+    df = decontamination.with_fingerprints(spark.createDataFrame(rows, "id int, words array<string>"))
+    for full, thin in zip(df.orderBy("id").collect(), decontamination.with_runs(df).orderBy("id").collect()):
+        spread = [r.print for r in thin.runs for _ in range(r["from"], r.to + 1)]
+        assert spread == full.mins and [r["from"] for r in thin.runs] == [1, *[r.to + 1 for r in thin.runs][:-1]][: len(thin.runs)]
+        assert all(a.print != b.print for a, b in zip(thin.runs, thin.runs[1:]))
+    assert len(thin.runs) < 0.4 * len(full.mins)
