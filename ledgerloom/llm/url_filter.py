@@ -1,14 +1,20 @@
 """URL verdicts from fixed rules and, where none fits, from a tree of path templates per host.
 
 Urls that a rule fits are the labelled ones. Paths are cut into segments whose digits and hex ids become wildcards at
-once; then, level by level from the root of each host, a node's segments become one wildcard when more than
-`MOST_BRANCHES` differ. Sibling templates whose labelled shares don't differ significantly are merged into their
-parent's common branch. A template's purity is its blocked share of labelled urls, smoothed by `PRIOR` pseudo-urls at
-the share of what stands above it (branch, host, all); it is rejected from `REJECT` on.
+once; then the tree of each host grows level by level from its root, as deep as `LEAST_ROWS` urls of all hosts share
+the path so far: a segment that holds less than `RARE` of its node's urls joins the node's wildcard, whose branches are
+told apart further down. Leaves are the templates. Sibling templates whose labelled shares don't differ significantly are merged
+into their parent's common branch, those without labels among them.
+
+A template's purity is its blocked share of labelled urls, smoothed by `PRIOR` pseudo-urls at the share expected
+there: that of its parent's branch and that of the same template on other hosts, each weighed by how many labels it
+rests on, with the share of all urls behind them. So evidence reaches templates and hosts without labels. A template is
+rejected from `REJECT` on: two blocked urls to be expected for each allowed one.
 
 Null urls and ones without `://` have an empty host and path and the template of an empty host; the method's verdict
 without evidence is allow. Counts, never urls, are grouped: repeated urls and hosts with a third of all rows add up
-before they are shuffled. Rows are neither merged nor dropped; an empty table gives an empty result.
+before they are shuffled. Urls and paths are read whole at any length. Rows are neither merged nor dropped; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,11 +25,14 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import checkpointed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DEPTH = 4
-MOST_BRANCHES = 32
+#: Urls of all hosts that a path must have to be divided further, and the share of a node's below which a segment is a variable one.
+LEAST_ROWS = 8
+RARE = 1 / 32
 PRIOR = 8.0
-REJECT = 0.8
+REJECT = 2 / 3
 SIGNIFICANT = 2.0
+#: Templates that a broadcast may hold; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 
 
 def host_of(url: Column) -> Column:
@@ -46,38 +55,64 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
 
 
 def segments(path: Column) -> Column:
-    """Path segments with numbers and hex ids generalised, at most `DEPTH`; what lies deeper becomes one `**`."""
+    """Path segments with numbers and hex ids generalised."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    shaped = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"\A[0-9a-fA-F-]{12,}(?=\.|\z)", "*"), r"[0-9]+", "*"))
-    return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit("**")))).otherwise(shaped)
+    return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"\A[0-9a-fA-F-]{12,}(?=\.|\z)", "*"), r"[0-9]+", "*"))
+
+
+def grown(labelled: DataFrame) -> DataFrame:
+    """From host, shape (segments), n, allowed, blocked per distinct shape: the same with its template and parent.
+
+    One round a level, of the shapes that are still to be divided; a leaf's template ends in `/**` if it stands for
+    deeper paths.
+    """
+    done = None
+    open_ = labelled.withColumns({"template": F.lit(""), "parent": F.lit("")})
+    depth = 0
+    while True:
+        held = open_.groupBy("host", "template").agg(F.sum("n").alias("held"))
+        shared = checkpointed(held.groupBy("template").agg(F.sum("held").alias("shared")))
+        open_ = open_.join(held, ["host", "template"]).join(F.broadcast(shared) if shared.count() <= MOST_BROADCAST else shared, "template")
+        ends = F.size("shape") <= depth
+        leaf = ends | (F.col("shared") < LEAST_ROWS)
+        # "/." marks the node's own page, so that it isn't the parent of what lies below it
+        name = F.when(ends, F.concat("template", F.lit("/." if depth else ""))).otherwise(F.concat("template", F.lit("/**")))
+        leaves = open_.where(leaf).withColumns({"parent": F.when(ends, F.col("parent")).otherwise(F.col("template")), "template": name}).drop("held", "shared")
+        open_ = open_.where(~leaf).withColumn("part", F.get("shape", F.lit(depth)))
+        done = leaves if done is None else done.unionByName(leaves)
+        parts = open_.groupBy("host", "template", "part").agg(F.sum("n").alias("in_part"))
+        open_ = open_.join(parts, ["host", "template", "part"])
+        step = F.when(F.col("in_part") < RARE * F.col("held"), F.lit("/*")).otherwise(F.concat(F.lit("/"), "part"))
+        open_ = open_.withColumns({"parent": F.col("template"), "template": F.concat("template", step)}).drop("held", "shared", "part", "in_part")
+        open_ = checkpointed(open_)
+        if open_.isEmpty():
+            return checkpointed(done)
+        depth += 1
 
 
 def template_tree(labelled: DataFrame) -> DataFrame:
-    """From host, shape (segments), n, allowed, blocked per distinct shape: the same with its template and purity."""
-    nodes = labelled.withColumn("node", F.lit(""))
-    for depth in range(1, DEPTH + 1):
-        here = F.get("shape", F.lit(depth - 1))
-        kids = nodes.where(here.isNotNull()).groupBy("host", "node", here.alias("part")).agg(F.sum("n").alias("n"))
-        wide = kids.groupBy("host", "node").agg((F.count(F.lit(1)) > MOST_BRANCHES).alias("wide")).where("wide")
-        nodes = nodes.join(wide, ["host", "node"], "left")
-        part = F.when(here.isNull(), F.lit("")).when(F.col("wide"), F.lit("/*")).otherwise(F.concat(F.lit("/"), here))
-        nodes = nodes.withColumn("parent", F.when(here.isNotNull(), F.col("node")).otherwise(F.col("parent") if depth > 1 else F.lit(""))).withColumn("node", F.concat("node", part)).drop("wide")
-    nodes = checkpointed(nodes.withColumnRenamed("node", "template"))
+    """Per distinct host and shape its template, whether it is merged, and its purity."""
+    nodes = grown(labelled)
     sums = [F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")]
-    leaves = nodes.groupBy("host", "parent", "template").agg(*sums)
+    leaves = checkpointed(nodes.groupBy("host", "parent", "template").agg(*sums))
     above = leaves.groupBy("host", "parent").agg(F.sum("allowed").alias("a1"), F.sum("blocked").alias("b1"))
-    hosts = above.groupBy("host").agg(F.sum("a1").alias("a2"), F.sum("b1").alias("b2"))
-    total = hosts.agg(F.coalesce(F.sum("a2"), F.lit(0)).alias("a3"), F.coalesce(F.sum("b2"), F.lit(0)).alias("b3"))
-    smooth = lambda b, a, prior: (b + PRIOR * prior) / (a + b + PRIOR)
+    anywhere = leaves.groupBy("template").agg(F.sum("allowed").alias("a2"), F.sum("blocked").alias("b2"))
+    total = leaves.agg(F.coalesce(F.sum("allowed"), F.lit(0)).alias("a3"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("b3"))
+    tree = leaves.join(above, ["host", "parent"]).join(anywhere, "template").join(F.broadcast(total))
+
     every = F.col("b3") / F.greatest(F.col("a3") + F.col("b3"), F.lit(1))
-    tree = leaves.join(above, ["host", "parent"]).join(hosts, "host").join(F.broadcast(total))
-    tree = tree.withColumn("host_share", smooth(F.col("b2"), F.col("a2"), every)).withColumn("branch_share", smooth(F.col("b1"), F.col("a1"), F.col("host_share")))
     seen, around = F.col("allowed") + F.col("blocked"), F.col("a1") + F.col("b1")
-    share, pooled = F.try_divide("blocked", seen), F.try_divide("b1", around)
-    apart = F.abs(share - pooled) > SIGNIFICANT * F.sqrt(F.greatest(pooled * (1 - pooled) / seen, F.lit(0.0)))
-    tree = tree.withColumn("merged", ~F.coalesce(apart, F.lit(False)))
-    purity = F.when(F.col("merged"), F.col("branch_share")).otherwise(smooth(F.col("blocked"), F.col("allowed"), F.col("branch_share")))
-    tree = tree.select("host", "template", "merged", purity.alias("purity"))
+    elsewhere, blocked_elsewhere = F.col("a2") + F.col("b2") - seen, F.col("b2") - F.col("blocked")
+    # of the branch, of the template on other hosts, and of all: shares, weighed by n / (n + PRIOR), the last by what is left
+    w1, w2 = around / (around + PRIOR), elsewhere / (elsewhere + PRIOR)
+    w3 = PRIOR / (around + elsewhere + PRIOR)
+    share = lambda b, n: F.coalesce(F.try_divide(b, n), F.lit(0.0))
+    expected = (w1 * share(F.col("b1"), around) + w2 * share(blocked_elsewhere, elsewhere) + w3 * every) / (w1 + w2 + w3)
+    pooled = share(F.col("b1"), around)
+    apart = F.abs(share(F.col("blocked"), seen) - pooled) > SIGNIFICANT * F.sqrt(F.greatest(F.try_divide(pooled * (1 - pooled), seen), F.lit(0.0)))
+    tree = tree.withColumn("merged", ~((seen > 0) & F.coalesce(apart, F.lit(False))))
+    own = F.when(F.col("merged"), F.lit(0)).otherwise(F.col("blocked")), F.when(F.col("merged"), F.lit(0)).otherwise(seen)
+    tree = tree.select("host", "template", "merged", ((own[0] + PRIOR * expected) / (own[1] + PRIOR)).alias("purity"))
     return nodes.select("host", "shape", "template").join(tree, ["host", "template"])
 
 

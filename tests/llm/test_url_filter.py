@@ -1,3 +1,8 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.queries import RULES
@@ -40,6 +45,89 @@ def test_hosts_paths_and_rules(spark):
         assert got[i].verdict == (action or "allow")
 
 
+def brute_tree(rows):
+    """Template, merged and purity per (host, shape) from all rows' (host, shape, label), level by level."""
+    at = [("", "") for _ in rows]
+    final, depth = [None] * len(rows), 0
+    while any(x is None for x in final):
+        count = lambda key: Counter(key(i) for i in range(len(rows)) if final[i] is None)
+        held = count(lambda i: (rows[i][0], at[i][0]))
+        shared = count(lambda i: at[i][0])
+        part = count(lambda i: (rows[i][0], at[i][0], rows[i][1][depth] if len(rows[i][1]) > depth else None))
+        moved = list(at)
+        for i, (host, shape, _) in enumerate(rows):
+            if final[i] is not None:
+                continue
+            node, parent = at[i]
+            if len(shape) <= depth:
+                final[i] = (node + ("/." if depth else ""), parent)
+            elif shared[node] < 8:
+                final[i] = (node + "/**", node)
+            else:
+                rare = part[host, node, shape[depth]] < held[host, node] / 32
+                moved[i] = (node + ("/*" if rare else "/" + shape[depth]), node)
+        at, depth = moved, depth + 1
+    n = defaultdict(lambda: [0, 0])
+    for (host, _, label), (template, parent) in zip(rows, final):
+        for key in ((0, host, template), (1, host, parent), (2, template), (3,)):
+            n[key][0] += label == "block"
+            n[key][1] += label is not None
+    out = {}
+    for (host, shape, _), (template, parent) in zip(rows, final):
+        b, k = n[0, host, template]
+        (b1, k1), (b2, k2), (b3, k3) = n[1, host, parent], n[2, template], n[(3,)]
+        b2, k2 = b2 - b, k2 - k
+        w1, w2, w3 = k1 / (k1 + 8), k2 / (k2 + 8), 8 / (k1 + k2 + 8)
+        expected = (w1 * (b1 / k1 if k1 else 0) + w2 * (b2 / k2 if k2 else 0) + w3 * b3 / max(k3, 1)) / (w1 + w2 + w3)
+        pooled = b1 / k1 if k1 else 0
+        merged = not (k and abs(b / k - pooled) > 2 * (pooled * (1 - pooled) / k) ** 0.5)
+        b, k = (0, 0) if merged else (b, k)
+        out[host, shape] = (template, merged, (b + 8 * expected) / (k + 8))
+    return out
+
+
+def test_tree_is_that_of_the_definition(spark):
+    rng = random.Random(3)
+    words = ["a", "b", "cc", "item", "de", "es", "x.html"]
+    urls = []
+    for _ in range(3000):
+        depth = rng.choice([0, 1, 2, 3, 6])
+        parts = [rng.choice([*words, f"u{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}", str(rng.randrange(99))]) for _ in range(depth)]
+        urls.append(f"http://{rng.choice(['', '', 'm.'])}h{rng.choice('111234')}.test/" + "/".join(parts))
+    rules = [("block", "h1.test/de"), ("allow", "h1.test/a/"), ("block", "h2.test/item/1"), ("allow", "h3.test/")]
+    got = judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3), rules).collect()
+    rows = []
+    for u in urls:
+        host, path = split(u)
+        best = max(((act, rule) for act, rule in rules if path.startswith("/" + rule.partition("/")[2]) and (host == rule.partition("/")[0] or host.endswith("." + rule.partition("/")[0]))), key=lambda r: len(r[1]), default=(None, None))
+        rows.append((host, tuple(re.sub("[0-9]+", "*", p) for p in path.split("/") if p), best[0]))
+    want = brute_tree(rows)
+    for r in got:
+        host, shape, label = rows[r.page_id]
+        template, _, purity = want[host, shape]
+        assert (r.template, r.purity) == (template, pytest.approx(purity)), urls[r.page_id]
+        assert r.verdict == (label or ("block" if purity >= 2 / 3 else "allow"))
+
+
+def test_deep_branches_of_opposite_purity_stay_apart(spark):
+    rules = [("block", "d.test/a/b/c/d/e/bad/9"), ("allow", "d.test/a/b/c/d/e/good/9")]
+    rows = [f"http://d.test/a/b/c/d/e/{kind}/{k}" for kind in ("bad", "good") for k in range(50, 100)] + [f"http://d.test/a/b/c/d/e/{kind}/1" for kind in ("bad", "good")]
+    got = {r.path: r for r in judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules).collect()}
+    assert got["/a/b/c/d/e/bad/1"].verdict == "block" and got["/a/b/c/d/e/good/1"].verdict == "allow"
+
+
+def test_very_long_and_deep_urls(spark):
+    rows = [(0, "http://x.test/" + "s/" * 20_000), (1, "http://x.test/" + "y" * 500_000), (2, "http://" + "h" * 300_000)]
+    got = judge(spark.createDataFrame(rows, "page_id long, url string"), RULES).collect()
+    assert len(got) == 3 and all(r.verdict == "allow" for r in got)
+
+
+def test_the_method_blocks_on_the_tables(spark):
+    """Where only rules label urls, those without a rule are judged by the same paths of other hosts."""
+    got = judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url"), RULES).where("rule is null")
+    assert {r.verdict for r in got.select("verdict").distinct().collect()} == {"allow", "block"}
+
+
 def test_templates_take_the_verdict_of_their_neighbours(spark):
     rules = [("block", "shop.test/item/9"), ("allow", "shop.test/help/")]
     rows = [f"http://shop.test/item/9{i}" for i in range(60)] + [f"http://shop.test/item/1{i}" for i in range(5)]
@@ -48,13 +136,13 @@ def test_templates_take_the_verdict_of_their_neighbours(spark):
     got = judge(df, rules)
     assert got.count() == len(rows)
     by_method = {(r.template, r.verdict) for r in got.where("rule is null").collect()}
-    assert by_method == {("/item/*", "block"), ("/about/*", "allow")}
+    assert {(t.split("/")[1], v) for t, v in by_method} == {("item", "block"), ("about", "allow")}
 
 
 def test_many_branches_become_a_wildcard(spark):
     words = [chr(97 + i % 26) + chr(97 + i // 26) + "name" for i in range(120)]
     df = spark.createDataFrame([(i, f"http://h.test/user/{w}/posts") for i, w in enumerate(words)], "page_id long, url string")
-    assert {r.template for r in judge(df, RULES).collect()} == {"/user/*/posts"}
+    assert {r.template for r in judge(df, RULES).collect()} == {"/user/*/posts/."}
 
 
 def test_empty(spark):
