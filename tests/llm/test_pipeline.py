@@ -13,7 +13,7 @@ from tests.llm.test_simhash import brute_fingerprint
 
 
 def brute_near_copies(docs):
-    """Ids that stay: the smallest of each group over two fingerprint bits, then of each over a similarity of 0.8."""
+    """Ids that stay: the smallest of each group over two fingerprint bits or a similarity of 0.8."""
     assert all(fingerprint(t, 3) == brute_fingerprint(t) for t in list(docs.values())[:20])
 
     def least(ids, linked):
@@ -28,8 +28,8 @@ def brute_near_copies(docs):
     prints = {i: fingerprint(t, 5) for i, t in docs.items()}
     words = {i: t.encode().lower().split() for i, t in docs.items()}
     sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for i, w in words.items()}
-    first = least(sorted(docs), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
-    return set(least(first, lambda i, j: 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])))
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2 or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+    return set(least(sorted(docs), near))
 
 
 @pytest.fixture(scope="module")
