@@ -373,9 +373,9 @@ SQL |= {
     "statement_routes": f"WITH {LED} SELECT DISTINCT account_id AS doc_id, {_BANK.format('kotak')} AS bank FROM led",
     "statement_headers": f"""WITH {LED} SELECT DISTINCT account_id AS doc_id, lpad(CAST(account_id AS VARCHAR), 10, '0') AS account_number, 'Current' AS account_type, DATE '2005-04-01' AS start_date,
         DATE '2006-03-31' AS end_date FROM led""",
-    "statement_transactions": f"""WITH {LED}, b AS (SELECT *, {_BANK.format('none')} AS bank FROM led) SELECT account_id AS doc_id, CAST(row_no AS INTEGER) AS row_no, CAST(date + INTERVAL 120 MONTH AS DATE) AS date,
+    "statement_transactions": f"""WITH {LED}, b AS (SELECT *, {_BANK.format('kotak')} AS bank FROM led) SELECT account_id AS doc_id, CAST(row_no AS INTEGER) AS row_no, CAST(date + INTERVAL 120 MONTH AS DATE) AS date,
         trim("desc") || CASE WHEN bank IN ('hdfc', 'icici', 'canara') THEN ' note ' || row_no ELSE '' END AS "desc",
-        CASE WHEN bank = 'icici' AND contains(lower("desc"), 'int.pd:') THEN 'CR' WHEN bank = 'sbi' AND contains(lower("desc"), 'cash deposit') THEN 'CR' ELSE type END AS type, amount_c, balance_c + 100000000000 AS balance_c, bank FROM b WHERE bank <> 'none'""",
+        CASE WHEN bank = 'icici' AND contains(lower("desc"), 'int.pd:') THEN 'CR' WHEN bank = 'sbi' AND contains(lower("desc"), 'cash deposit') THEN 'CR' ELSE type END AS type, amount_c, balance_c + 100000000000 AS balance_c, bank FROM b""",
     "information_entries": f"WITH {_INFO} SELECT * FROM info",
     "information_summary": f"WITH {_INFO}, s AS (SELECT doc_id, " + ", ".join(
         f"CAST(coalesce(sum(amount_c) FILTER (section = '{x}'), 0) AS BIGINT) AS {x}_c" for x in ("salary", "interest", "dividend", "securities", "mutual_fund", "foreign", "gst_turnover", "rent", "other_income", "tds_tcs")

@@ -56,7 +56,7 @@ def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(bank == "saraswat", F.lit(labels))
         .when(bank == "sbi", F.concat(F.lit("IFSC SBIN0001\nPost Date Value Date Description Debit Credit Balance\nOpening Balance "), opened))
         .when(bank == "pnb", F.lit("IFSC Code PUNB0001\nTransaction Date Cheque Number Withdrawal Deposit Balance Narration"))
-        .otherwise(F.lit("IFSC KKBK0001\nDate Description Amount Balance"))
+        .otherwise(F.concat(F.lit("IFSC KKBK0001\nDate Description Amount Balance\nOpening Balance "), opened))
     )
     number = F.concat(F.lit("A/c No: "), F.lpad(F.col("doc_id").cast("string"), 10, "0"), F.lit(" Current account\nStatement period 01/04/2005 to 31/03/2006"))
     return flat.select("doc_id", (F.col("at") + 1).alias("page_no"), F.when(F.col("at") == 0, F.concat_ws("\n", head, number, body)).otherwise(body).alias("text"))
