@@ -3,10 +3,24 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Functions that a question about a ledger needs; all others are refused, those that reach the JVM, files or the session among them.
+FUNCTIONS = frozenset(
+    """abs any_value approx_count_distinct avg bool_and bool_or bround cast ceil ceiling coalesce collect_list collect_set concat concat_ws contains count count_if cume_dist
+    current_date date_add date_format date_sub date_trunc dateadd datediff day dayofmonth dayofweek dayofyear dense_rank endswith every exp extract first first_value floor format_number
+    greatest hour if ifnull ilike initcap instr isnotnull isnull lag last last_day last_value lead least left len length like listagg ln locate log log10 lower lpad ltrim make_date max
+    max_by mean median min min_by mod month months_between nth_value ntile nullif nvl nvl2 percent_rank percentile position pow power quarter rank regexp_extract regexp_like
+    regexp_replace replace reverse right rlike round row_number rpad rtrim sign some split sqrt startswith std stddev stddev_pop stddev_samp string_agg substr substring sum to_date
+    trim trunc try_divide try_to_date upper var_pop variance weekday weekofyear width_bucket year and or not in between is case when unresolvedstar outer within""".split()
+)
+LITERAL = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*\"""", re.S)
+#: Date patterns of another dialect and their letters here.
+DATE_LETTERS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD"}
+
 
 def view(rows: DataFrame) -> DataFrame:
     """The queryable table: id, date, desc, type, amount, balance; unknown amounts and balances are 0."""
@@ -14,22 +28,82 @@ def view(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("txn_id").alias("id"), F.col("date").cast("string").alias("date"), "desc", "type", rupees("amount_c").alias("amount"), rupees("balance_c").alias("balance"))
 
 
+def bridged(sql: str) -> str:
+    """A statement as SQLite means it: LIKE ignores case, strftime formats dates, and a division by zero gives null."""
+
+    def letters(m: re.Match) -> str:
+        form = m[1]
+        for a, b in DATE_LETTERS.items():
+            form = form.replace(a, b)
+        return f"date_format({m[2].strip()}, '{form}')"
+
+    sql = re.sub(r"(?i)\bstrftime\s*\(\s*'([^']*)'\s*,\s*([^()]*)\)", letters, sql)
+    kept: list[str] = []
+
+    def hide(m: re.Match) -> str:
+        kept.append(m[0])
+        return f"'{len(kept) - 1}'"
+
+    bare = LITERAL.sub(hide, sql)
+    bare = re.sub(r"(?i)\blike\b", "ILIKE", bare)
+    bare = re.sub(r"/\s*((?:[A-Za-z_][\w.]*\s*)?\((?:[^()]|\([^()]*\))*\)|[A-Za-z_][\w.]*|\d+(?:\.\d+)?)", r"/ nullif(\1, 0)", bare)
+    return re.sub(r"'(\d+)'", lambda m: kept[int(m[1])], bare)
+
+
 class SafeQuery:
-    """Runs SELECT (or WITH) statements on a session of its own, where only the given view is known."""
+    """Answers SELECT (or WITH) statements about one table, `transactions`, and nothing else.
+
+    The statement is parsed by Spark and walked before it runs: every relation must be `transactions` or one that it
+    defines itself, every function one of `FUNCTIONS`; files, other tables, table functions, hints of the session's
+    state and commands are refused. The table is a view under a name of its own that is bound to `transactions` in the
+    statement alone, so no view of the caller's is touched; `close` drops it. A refused or wrong statement gives
+    {"error": ...}.
+
+    A statement without a LIMIT gets one of `limit` rows, as an answer for reading; `limit=None` gives all rows.
+    """
 
-    def __init__(self, spark: SparkSession, transactions: DataFrame, limit: int = 50):
-        self.limit = limit
-        self.session = transactions.sparkSession
-        self.name = "transactions"
-        transactions.createOrReplaceTempView(self.name)
+    def __init__(self, spark: SparkSession, transactions: DataFrame, limit: int | None = 50):
+        self.session, self.limit = transactions.sparkSession, limit
+        self.view = f"ask_{uuid.uuid4().hex}"
+        transactions.createOrReplaceTempView(self.view)
+
+    def close(self) -> None:
+        self.session.catalog.dropTempView(self.view)
+
+    def refused(self, sql: str) -> str | None:
+        """Why the statement isn't allowed, if it isn't."""
+        bare = LITERAL.sub("''", sql)
+        if not re.match(r"(?is)\s*(select|with)\b", bare) or ";" in bare:
+            return "Only SELECT statements are allowed"
+        if "--" in bare or "/*" in bare:
+            return "Comments are not allowed"
+        try:
+            plan = self.session._jsparkSession.sessionState().sqlParser().parsePlan(bare).treeString()
+        except Exception as problem:
+            return str(problem).strip().split("\n")[0]
+        own = {"transactions"}
+        for names in re.findall(r"CTE \[([^\]]*)\]", plan):
+            own |= {n.strip().lower() for n in names.split(",")}
+        for named in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan):
+            if named.lower() not in own:
+                return f"Unknown table {named}"
+        if re.search(r"TableValuedFunction|UnresolvedInlineTable|InsertInto|Command|Generate |ScriptTransform|RelationTimeTravel|UnresolvedHint", plan):
+            return "Only SELECT statements over transactions are allowed"
+        for name in re.findall(r"([A-Za-z_][\w.]*)\s*\(", re.sub(r"(?i)\b(over|as|exists|from|join|on|where|having|by|then|else|select|union|all|except|intersect|filter|distinct|using|values|order|limit|offset)\s*\(", "(", bare)):
+            if name.lower() not in FUNCTIONS and name.lower() not in own:
+                return f"Unknown function {name}"
+        return None
 
     def run(self, sql: str) -> DataFrame | dict:
-        text = sql.strip().rstrip(";")
-        if not re.match(r"(?is)\s*(select|with)\b", text) or ";" in text:
-            return {"error": "Only SELECT statements are allowed"}
+        text = bridged(sql.strip().rstrip(";").strip())
+        why = self.refused(text)
+        if why:
+            return {"error": why}
+        bare = LITERAL.sub("''", text)
+        table = f"transactions AS (SELECT * FROM {self.view})"
+        bound = re.sub(r"(?is)^\s*with\b(\s+recursive\b)?", lambda m: f"WITH{m[1] or ''} {table},", text, count=1) if re.match(r"(?is)\s*with\b", text) else f"WITH {table} {text}"
         try:
-            found = self.session.sql(text)
-            command = found._jdf.queryExecution().logical().getClass().getSimpleName()
+            found = self.session.sql(bound)
         except Exception as problem:  # whatever the statement is refused for is the answer
             return {"error": str(problem).split("\n")[0]}
-        return {"error": "Only SELECT statements are allowed"} if "Command" in command or "Insert" in command else found.limit(self.limit)
+        return found if self.limit is None or re.search(r"(?i)\blimit\b", bare) else found.limit(self.limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Phrases of page furniture that end a narration.
+# Phrases of page furniture that end a narration.
 JUNK = ["rbi mandate", "important information", "account no.", "kotak mahindra bank", "statement generated"]
 
 
@@ -28,15 +28,29 @@ def hundredth(amount: Column) -> Column:
     return ((lifted - lifted % 100) / 100).cast("long")
 
 
+def row_problems() -> Column:
+    """What a row lacks, as an array: date, amount (none or zero), balance, and a direction."""
+    found = [
+        (F.col("date").isNull(), F.lit("missing date")),
+        (F.coalesce(F.col("amount_c"), F.lit(0)) == 0, F.lit("missing amount")),
+        (F.col("balance_c").isNull(), F.lit("missing balance")),
+        (~F.coalesce(F.col("type").isin("CR", "DR"), F.lit(False)), F.concat(F.lit("invalid type: "), F.coalesce("type", F.lit("None")))),
+    ]
+    return F.array_compact(F.array(*[F.when(c, said) for c, said in found]))
+
+
 def repair_types(rows: DataFrame) -> DataFrame:
-    """Adds fixed_type: the direction that the change of balance shows, where it shows one."""
+    """Adds fixed_type: the direction that the change of balance shows, where it shows one and the row isn't type_locked."""
     prev = F.lag("balance_c").over(by_row())
     amount, delta = F.col("amount_c"), F.col("balance_c") - F.col("prev_c")
     tolerance = F.greatest(F.lit(100), hundredth(amount))
     later = F.when(F.abs(delta - amount) <= tolerance, "CR").when(F.abs(delta + amount) <= tolerance, "DR")
     first = F.when(F.abs(F.col("balance_c") - amount) <= tolerance, "CR").when(F.col("balance_c") >= amount, "CR").when(F.col("balance_c") + amount >= 0, "DR")
     shown = F.when(F.col("row_no") == 1, first).otherwise(later)
-    return rows.withColumn("prev_c", prev).withColumn("fixed_type", F.coalesce(F.when(amount != 0, shown), "type"))
+    free = amount != 0
+    if "type_locked" in rows.columns:
+        free = free & ~F.coalesce("type_locked", F.lit(False))
+    return rows.withColumn("prev_c", prev).withColumn("fixed_type", F.coalesce(F.when(free, shown), "type"))
 
 
 def clean_narration(desc: Column) -> Column:

@@ -158,7 +158,11 @@ def engine(rows: DataFrame) -> DataFrame:
     points = sum((F.when(c, F.lit(p)).otherwise(F.lit(0)) for c, _, p in flags), F.lit(0))
     e = e.withColumns({"risk_flags": F.array_compact(F.array(*[F.when(c, F.lit(k)) for c, k, _ in flags])), "risk_score": F.least(F.lit(100), points)})
     e = e.withColumn("risk_level", F.when(F.col("risk_score") >= 50, "High").when(F.col("risk_score") >= 20, "Medium").otherwise("Low"))
-    return e.withColumn("health_score", health(e))
+    # 20 points are a high severity, 10 a medium one
+    named = F.array(*[F.when(c, F.struct(F.lit(k).alias("flag"), F.lit({20: "High", 10: "Medium"}[p]).alias("severity"))) for c, k, p in flags])
+    e = e.withColumns({"severities": F.array_compact(named), "health_score": health(e)})
+    score = F.col("health_score")
+    return e.withColumn("health_grade", F.when(score >= 80, "Excellent").when(score >= 65, "Good").when(score >= 45, "Average").otherwise("Poor"))
 
 
 def steps(value: Column, table: list[tuple[float, int]]) -> Column:

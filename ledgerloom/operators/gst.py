@@ -135,9 +135,51 @@ def reconcile(statement: DataFrame, register: DataFrame) -> DataFrame:
     return rows.unionByName(unused)
 
 
-
-
 def credit_summary(recon: DataFrame) -> DataFrame:
     return recon.groupBy("status").agg(F.count(F.lit(1)).alias("invoices"), F.sum("claim_c").alias("claim_c"), F.sum(F.abs("itc_diff_c")).alias("diff_c"))
 
 
+def credit_position(statement: DataFrame, register: DataFrame, recon: DataFrame) -> DataFrame:
+    """The reconciliation in one row: credit on both sides, claimable and at risk, match rate, risk level.
+
+    At risk are the differences of mismatched amounts, all credit of mismatched registrations, and what stands in the
+    register only.
+    """
+    s = statement.select("row_no", F.col("itc_c").alias("s_itc"))
+    rows = recon.join(s, F.col("s_row") == F.col("row_no"), "left")
+    is_ = lambda name: F.col("status") == name
+    total = lambda c, w: F.coalesce(F.sum(F.when(w, c)), F.lit(0))
+    only = is_("In Purchase Register only")
+    out = rows.agg(
+        F.count("s_row").alias("statement_rows"), F.count_if(is_("Matched")).alias("matched"), F.count_if(is_("GSTIN Mismatch")).alias("gstin_mismatches"),
+        total(F.col("s_itc"), F.col("s_row").isNotNull()).alias("statement_itc_c"), total(F.col("claim_c"), is_("Matched")).alias("matched_itc_c"),
+        total(F.abs("itc_diff_c"), is_("Amount Mismatch")).alias("mismatch_loss_c"), total(F.col("s_itc"), is_("GSTIN Mismatch")).alias("blocked_c"),
+        total(F.col("claim_c"), is_("In GSTR-2B only")).alias("only_statement_c"), total(-F.col("itc_diff_c"), only).alias("only_register_c"),
+    )
+    out = out.crossJoin(F.broadcast(register.agg(F.coalesce(F.sum("itc_c"), F.lit(0)).alias("register_itc_c"))))  # one row each
+    out = out.withColumns({"claimable_c": F.col("matched_itc_c") + F.col("only_statement_c"), "at_risk_c": F.col("mismatch_loss_c") + F.col("blocked_c") + F.col("only_register_c")})
+    level = F.when((F.col("at_risk_c") == 0) & (F.col("gstin_mismatches") == 0), "Low").when(F.col("at_risk_c") * 10 < F.col("statement_itc_c"), "Medium").otherwise("High")
+    rate = F.round(F.col("matched") * 100.0 / F.greatest("statement_rows", F.lit(1)), 1)
+    return out.withColumns({"match_rate": rate, "risk_level": level}).withColumn("filing_ready", F.col("risk_level") == "Low")
+
+
+def monthly_return(sales_and_purchases: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The assembled return of each account: tax on sales, credit, what is payable, counts, bank totals and months.
+
+    Rows have account_id, sold, bought, nature and the three heads; the ledger account_id, type, amount_c, date.
+    """
+    heads = ("igst", "cgst", "sgst")
+    taxed = F.col("sold") & (F.col("nature") != "exempt")
+    total = lambda c, w: F.coalesce(F.sum(F.when(w, F.col(c))), F.lit(0))
+    sums = [total(f"{x}_c", taxed).alias(f"out_{x}_c") for x in heads] + [total(f"{x}_c", F.col("bought")).alias(f"itc_{x}_c") for x in heads]
+    counts = [F.count_if("sold").alias("sales"), F.count_if("bought").alias("purchases")]
+    net = set_off(sales_and_purchases.groupBy("account_id").agg(*sums, *counts))
+    known = F.col("date").isNotNull()
+    bank = ledger.groupBy("account_id", F.when(known, F.date_format("date", "yyyy-MM")).alias("month")).agg(total("amount_c", F.col("type") == "CR").alias("cr"), total("amount_c", F.col("type") == "DR").alias("dr"))
+    bank = bank.groupBy("account_id").agg(F.sum("cr").alias("bank_cr_c"), F.sum("dr").alias("bank_dr_c"), F.array_join(F.sort_array(F.collect_set("month")), ",").alias("months"))
+    out = net.join(bank, "account_id", "full")
+    zero = [c for c in net.columns if c != "account_id"] + ["bank_cr_c", "bank_dr_c"]
+    out = out.fillna(0, zero).fillna("", ["months"])
+    output = F.col("out_igst_c") + F.col("out_cgst_c") + F.col("out_sgst_c")
+    credit = F.col("itc_igst_c") + F.col("itc_cgst_c") + F.col("itc_sgst_c")
+    return out.select("account_id", "sales", "purchases", output.alias("output_tax_c"), credit.alias("itc_c"), "net_payable_c", "bank_cr_c", "bank_dr_c", "months")

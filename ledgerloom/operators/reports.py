@@ -9,7 +9,7 @@ from ledgerloom.functions import classify
 from ledgerloom.functions import rules as R
 from ledgerloom.operators import joins
 from ledgerloom.operators.balances import audit_mismatches, end_of_day
-from ledgerloom.operators.engine import months, ratio, total
+from ledgerloom.operators.engine import engine, months, ratio, total
 
 
 def top(rows: DataFrame, k: int, by: str, name: str) -> DataFrame:
@@ -207,10 +207,78 @@ def flag_scores(rows: DataFrame) -> DataFrame:
 
 
 def search(rows: DataFrame, word: str) -> DataFrame:
-    """Rows whose narration, date, amount or balance holds the word."""
+    """Rows whose narration, date, parser's category, amount or balance holds the word."""
     word = word.lower()
     held = [F.lower(F.col("desc")), F.col("date").cast("string"), F.format_string("%.2f", F.col("amount_c") / 100), F.format_string("%.2f", F.col("balance_c") / 100)]
+    if "parser_category" in rows.columns:
+        held.append(F.lower("parser_category"))
     hit: Column = F.lit(False)
     for column in held:
         hit = hit | F.coalesce(column.contains(word), F.lit(False))
     return rows.where(hit)
+
+
+def search_totals(found: DataFrame, size: int = 100) -> DataFrame:
+    """Of found rows, in one row: how many, how many with an amount, debits, credits (whatever isn't a debit), and pages of `size`."""
+    live = F.col("amount_c") != 0
+    debit = F.coalesce(F.col("type") == "DR", F.lit(False))
+    out = found.agg(F.count(F.lit(1)).alias("found"), F.count_if(live).alias("amounts"), total(live & debit).alias("debit_c"), total(live & ~debit).alias("credit_c"))
+    pages = F.greatest(F.lit(1), F.ceil(F.col("found") / F.lit(size)).cast("int"))
+    return out.withColumns({"total_c": F.col("debit_c") + F.col("credit_c"), "pages": pages})
+
+
+def search_page(found: DataFrame, page: int, size: int = 100) -> DataFrame:
+    """One page of found rows, in the ledger's order; a number beyond the pages means the nearest one."""
+    last = max(1, -(-found.count() // size))
+    page = max(1, min(page, last))
+    return found.orderBy("account_id", "row_no").offset((page - 1) * size).limit(size)
+
+
+def first_rows(rows: DataFrame, condition: Column, k: int) -> DataFrame:
+    """The first k rows of each account that meet the condition, in the ledger's order."""
+    order = Window.partitionBy("account_id").orderBy("row_no")
+    return rows.where(condition).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def ranked(frame: DataFrame, by: Column, name: str) -> DataFrame:
+    """A report's rows numbered within each account, largest first, ties by name."""
+    order = Window.partitionBy("account_id").orderBy(by.desc(), F.col(name))
+    return frame.withColumn("rank", F.row_number().over(order))
+
+
+def negative_days(rows: DataFrame) -> DataFrame:
+    """The days of each account that ended below zero."""
+    return end_of_day(rows).where("eod_c < 0")
+
+
+def narratives(engine_rows: DataFrame, cash: DataFrame) -> DataFrame:
+    """A sentence on each account's compliance risk, from the engine's level, score and reasons, and a year's cash."""
+    rows = engine_rows.join(cash, "account_id")
+    reasons = lambda k: F.array_join(F.slice("risk_flags", 1, k), "; ")
+    score = F.concat(F.lit("("), F.col("risk_score").cast("string"), F.lit("/100)"))
+    rupees = F.format_number(F.bround(F.col("annual_cash_c") / 100, 0), 0)
+    said = (
+        F.when(F.col("risk_level") == "Low", F.concat(F.lit("LOW compliance risk "), score, F.lit(". No major triggers. Cash total Rs"), rupees, F.lit(" within Rs10L limit.")))
+        .when(F.col("risk_level") == "Medium", F.concat(F.lit("MEDIUM compliance risk "), score, F.lit(". Triggers: "), reasons(2), F.lit(". Enhanced due diligence recommended.")))
+        .otherwise(F.concat(F.lit("HIGH compliance risk "), score, F.lit(". Triggers: "), reasons(3), F.lit(". Immediate review required before sanction.")))
+    )
+    return rows.select("account_id", said.alias("narrative"))
+
+
+def dashboard(rows: DataFrame) -> dict[str, DataFrame]:
+    """Every report of a ledger by name, each with one schema whatever the rows; an empty ledger gives empty frames."""
+    e = engine(rows)
+    return {
+        "engine": e, "monthly_summary": monthly_summary(rows), "income": income_sources(rows), "expense": category_totals(rows), "merchants": top_merchants(rows),
+        "cashflow": cash_flow(rows), "compliance": compliance(rows), "itr": tax_return(rows), "obligations": obligations(rows), "emi_months": emi_months(rows), "lenders": lenders(rows),
+        "destinations": destinations(rows), "audit": audit_scores(rows), "gstr1": supplies(rows), "payment_modes": modes(rows), "red_flags": flag_scores(rows), "balance_kpis": month_ends(rows),
+        "negative_days": negative_days(rows),
+    }
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """The dashboard's head in one row, zeros for an empty ledger."""
+    return rows.agg(
+        F.count(F.lit(1)).alias("txns"), F.count_distinct("account_id").alias("accounts"), total(F.col("flow") == "CR").alias("cr_c"), total(F.col("flow") == "DR").alias("dr_c"),
+        total(F.col("credit_class").isin(R.TAXABLE)).alias("real_c"), total(F.col("credit_class") == "loan_disbursal").alias("loans_c"), total(F.col("credit_class") == "family_transfer").alias("family_c"),
+    )

@@ -25,10 +25,13 @@ def write_reports(frames: dict[str, DataFrame], folder: str, form: str = "parque
 
 
 def ingest_stream(pages: DataFrame, parse, folder: str, checkpoint: str, once: bool = True):
-    """A stream of statement pages, each batch parsed by `parse` and appended; batches hold whole documents."""
+    """A stream of statement pages, each batch parsed by `parse` into folder/batch=number; batches hold whole documents.
+
+    A batch that is tried again overwrites its own folder, so every batch counts once.
+    """
 
     def batch(frame: DataFrame, number: int) -> None:
-        parse(frame).withColumn("batch", F.lit(number)).write.mode("append").parquet(folder)
+        parse(frame).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     writer = pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ def class_totals(spark, d):
 
 
 def type_repair(spark, d):
-    rows = balances.repair_types(fixtures.noisy_ledger(spark, d))
+    rows = balances.repair_types(fixtures.noisy_ledger(spark, d).withColumn("type_locked", F.when(F.col("txn_id") % 13 != 1, F.col("txn_id") % 13 == 0)))
     return rows.select("txn_id", "fixed_type", (F.col("fixed_type") != F.col("type")).alias("changed"))
 
 
@@ -196,7 +197,79 @@ def duplicate_suspects(spark, d):
 
 
 def search_page(spark, d):
-    return reports.search(fixtures.ledger(spark, d), "upi").orderBy("account_id", "row_no").offset(100).limit(100).select("txn_id", "desc")
+    return reports.search_page(reports.search(classify.enriched(fixtures.ledger(spark, d)), "upi"), 2).select("txn_id", "desc")
+
+
+def search_last_page(spark, d):
+    return reports.search_page(reports.search(enriched(spark, d), "acme"), 10**9).select("txn_id")
+
+
+def search_totals(spark, d):
+    return reports.search_totals(reports.search(enriched(spark, d), "food"))
+
+
+def latest_by_date(spark, d):
+    rows = fixtures.ledger(spark, d).withColumn("day", F.unix_date("date") * 100_000 + F.col("row_no"))
+    return reports.top(rows, 100, "day", "txn_id").select("account_id", "txn_id", "rank")
+
+
+def first_high_values(spark, d):
+    rows = reports.first_rows(enriched(spark, d), F.col("amount_c") >= rules.HIGH_VALUE * 100, 10)
+    return rows.select("account_id", "txn_id", "rank")
+
+
+def ranked_modes(spark, d):
+    return reports.ranked(reports.modes(enriched(spark, d)), F.col("cr_c") + F.col("dr_c"), "mode").select("account_id", "mode", "rank")
+
+
+def ranked_categories(spark, d):
+    return reports.ranked(reports.category_totals(enriched(spark, d)), F.col("total_c"), "category").select("account_id", "category", "rank")
+
+
+def negative_days(spark, d):
+    return reports.negative_days(fixtures.ledger(spark, d))
+
+
+def flag_severities(spark, d):
+    return engine.engine(enriched(spark, d)).select("account_id", F.inline("severities"))
+
+
+def health_grades(spark, d):
+    return engine.engine(enriched(spark, d)).select("account_id", "health_score", "health_grade")
+
+
+def compliance_narratives(spark, d):
+    rows = enriched(spark, d)
+    return reports.narratives(engine.engine(rows), reports.compliance(rows).select("account_id", "annual_cash_c"))
+
+
+def dashboard_totals(spark, d):
+    return reports.totals(enriched(spark, d))
+
+
+def dashboard_rows(spark, d):
+    """How many rows each report of the dashboard has for an account whose ledger is empty: none, and every report is there."""
+    frames = reports.dashboard(enriched(spark, d).where("account_id < 0"))
+    return reduce(DataFrame.unionByName, [f.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("report"), "rows") for name, f in frames.items()])
+
+
+def credit_position(spark, d):
+    statement, register, _ = _two_sides(spark, d)
+    return gst.credit_position(statement, register, gst.reconcile(statement, register))
+
+
+def monthly_return(spark, d):
+    rows = gst.derived(fixtures.invoices(spark, d)).withColumns({"sold": F.col("h") % 3 == 0, "bought": (F.col("h") % 3 != 0) & F.col("gstin_valid")})
+    return gst.monthly_return(rows, fixtures.ledger(spark, d))
+
+
+def bank_gap(spark, d):
+    """Declared sales against the bank's credits, and invoices that no credit matches."""
+    matched = bank_matches(spark, d).agg(F.count(F.lit(1)).alias("matched"))
+    declared = fixtures.invoices(spark, d).agg(F.count(F.lit(1)).alias("invoices"), F.sum("total_c").alias("declared_c"))
+    bank = fixtures.ledger(spark, d).agg(engine.total(F.col("type") == "CR").alias("bank_c"))
+    rows = declared.crossJoin(matched).crossJoin(bank)  # one row each
+    return rows.select("declared_c", "bank_c", (F.col("bank_c") - F.col("declared_c")).alias("gap_c"), (F.col("invoices") - F.col("matched")).alias("unmatched"))
 
 
 def latest(spark, d):
@@ -222,17 +295,27 @@ def sql_anomalies(spark, d):
     )
 
 
+def sql_bridged(spark, d):
+    """A question in another dialect: LIKE without case, strftime, a division by zero."""
+    query = ask.SafeQuery(spark, ask.view(fixtures.ledger(spark, d)), limit=None)
+    return query.run(
+        "SELECT strftime('%Y-%m', date) AS month, count(*) AS txns, round(sum(amount)) AS total, sum(amount) / (count(*) - count(*)) AS share "
+        "FROM transactions WHERE desc LIKE 'upi/%' OR desc LIKE '%SALARY%' GROUP BY 1"
+    )
+
+
 def accounts_rollup(spark, d):
     rows = enriched(spark, d)
     return rows.rollup("account_id").agg(F.count(F.lit(1)).alias("txns"), engine.total(F.col("flow") == "CR").alias("cr_c"), engine.total(F.col("flow") == "DR").alias("dr_c"))
 
 
 def row_errors(spark, d):
-    """Row validity: the problems of each row that has one."""
-    rows = fixtures.noisy_ledger(spark, d)
-    found = [(F.col("balance_c").isNull(), "no balance"), (F.col("balance_c") < 0, "negative balance"), (F.col("amount_c") > 40_000_000, "amount above limit")]
-    listed = F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(k)) for c, k in found])), ",")
-    return rows.select("txn_id", listed.alias("problems")).where("problems != ''")
+    """Row validity: what each row lacks, of date, amount, balance and a direction, with some of each taken away."""
+    k = F.col("txn_id")
+    rows = fixtures.noisy_ledger(spark, d).withColumns(
+        {"date": F.when(k % 29 != 0, F.col("date")), "amount_c": F.when(k % 31 == 0, 0).when(k % 37 != 0, F.col("amount_c")), "type": F.when(k % 41 == 0, "XX").when(k % 43 != 0, F.col("type"))}
+    )
+    return rows.select("txn_id", F.array_join(balances.row_problems(), ",").alias("problems")).where("problems != ''")
 
 
 DATE_FORMS = ["d MMM yyyy", "dd MMMM yyyy", "dd MMM yy", "ddMMMyyyy", "ddMMMyy", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "dd/MM/yy", "yyyy-MM-dd", "yyyy/MM/dd"]
@@ -475,6 +558,8 @@ def table_openings(spark, d):
 
 
 NAMES = [
+    search_last_page, search_totals, latest_by_date, first_high_values, ranked_modes, ranked_categories, negative_days, flag_severities, health_grades, compliance_narratives,
+    dashboard_totals, dashboard_rows, credit_position, monthly_return, bank_gap, sql_bridged,
     opening_inferred, table_openings,
     invoices_cleaned, taxpayers,
     table_columns, table_transactions, online_transactions, merged_cell_transactions, recognised_rows, recognised_columns, amounts_filled, running_continuity, loan_report,

@@ -231,7 +231,7 @@ SQL = {
     "type_repair": f"""WITH {NOISY}, p AS (SELECT *, lag(balance_c) OVER (PARTITION BY account_id ORDER BY row_no) AS prev, greatest(100, (amount_c + 50) // 100) AS tol FROM noisy),
         f AS (SELECT *, CASE WHEN row_no = 1 THEN (CASE WHEN abs(balance_c - amount_c) <= tol OR balance_c >= amount_c THEN 'CR' WHEN balance_c + amount_c >= 0 THEN 'DR' END)
               WHEN abs(balance_c - prev - amount_c) <= tol THEN 'CR' WHEN abs(balance_c - prev + amount_c) <= tol THEN 'DR' END AS shown FROM p)
-        SELECT txn_id, coalesce(shown, type) AS fixed_type, coalesce(shown, type) <> type AS changed FROM f""",
+        SELECT txn_id, CASE WHEN txn_id % 13 = 0 THEN type ELSE coalesce(shown, type) END AS fixed_type, txn_id % 13 <> 0 AND coalesce(shown, type) <> type AS changed FROM f""",
     "deduplicated": f"""WITH {LED} SELECT txn_id, row_no * 2 AS row_no, CASE WHEN txn_id % 31 = 0 AND length("desc") > 9 THEN trim("desc") WHEN txn_id % 31 = 0 THEN "desc" || ' RBI mandate page 2'
         ELSE trim("desc") END AS "desc" FROM led""",
     "filled_balances": f"""WITH {NOISY}, g AS (SELECT *, count(balance_c) OVER (PARTITION BY account_id ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS g FROM noisy)
@@ -298,14 +298,16 @@ SQL = {
     "circular_round_lots": f"WITH {PAIRS} SELECT DISTINCT account_id, credit_date, debit_date, round_even(CAST(cr_c AS DOUBLE) / 100, 0) AS amount FROM pairs WHERE cr_c >= 5000000 AND cr_c % 500000 = 0",
     "same_day_groups": f"""WITH {ROUNDED}, g AS (SELECT txn_id, count(*) OVER (PARTITION BY account_id, date_trunc('month', date), type, round_even(CAST(amount_c AS DOUBLE) / 100, 0)) AS alike FROM rl)
         SELECT * FROM g WHERE alike > 1""",
-    "search_page": f"""WITH {LED} SELECT txn_id, "desc" FROM led WHERE contains(lower("desc"), 'upi') ORDER BY account_id, row_no LIMIT 100 OFFSET 100""",
+    "search_page": f"""WITH {ENR} SELECT txn_id, "desc" FROM enr WHERE contains(l, 'upi') OR contains(lower(parser_category), 'upi') ORDER BY account_id, row_no LIMIT 100 OFFSET 100""",
     "latest": f"WITH {LED} SELECT account_id, txn_id, CAST(row_number() OVER (PARTITION BY account_id ORDER BY row_no DESC) AS INTEGER) AS rank FROM led QUALIFY rank <= 5",
     "sql_summary": f"""WITH {NOISY} SELECT count(*) AS txns, round(sum(CASE WHEN type = 'CR' THEN amount_c / 100.0 ELSE 0 END)::DOUBLE) AS credits, round(sum(CASE WHEN type = 'DR' THEN amount_c / 100.0 ELSE 0 END)::DOUBLE) AS debits,
         CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date, min(coalesce(balance_c, 0)) / 100.0::DOUBLE AS least, max(coalesce(balance_c, 0)) / 100.0::DOUBLE AS most FROM noisy""",
     "sql_anomalies": f"WITH {NOISY} SELECT count(*) FILTER (type IS NULL OR type = '') AS missing_type, count(*) FILTER (amount_c = 0) AS zero_amount, count(*) FILTER (balance_c < 0) AS negative_balance FROM noisy",
     "accounts_rollup": f"""WITH {ENR} SELECT account_id, count(*) AS txns, {_sum("flow = 'CR'")} AS cr_c, {_sum("flow = 'DR'")} AS dr_c FROM enr GROUP BY ROLLUP (account_id)""",
-    "row_errors": f"""WITH {NOISY}, p AS (SELECT txn_id, concat_ws(',', CASE WHEN balance_c IS NULL THEN 'no balance' END, CASE WHEN balance_c < 0 THEN 'negative balance' END,
-        CASE WHEN amount_c > 40000000 THEN 'amount above limit' END) AS problems FROM noisy) SELECT * FROM p WHERE problems <> ''""",
+    "row_errors": f"""WITH {NOISY}, t AS (SELECT txn_id, CASE WHEN txn_id % 29 <> 0 THEN date END AS date, CASE WHEN txn_id % 31 = 0 THEN 0 WHEN txn_id % 37 <> 0 THEN amount_c END AS a, balance_c,
+        CASE WHEN txn_id % 41 = 0 THEN 'XX' WHEN txn_id % 43 <> 0 THEN type END AS t FROM noisy), p AS (SELECT txn_id, concat_ws(',', CASE WHEN date IS NULL THEN 'missing date' END,
+        CASE WHEN coalesce(a, 0) = 0 THEN 'missing amount' END, CASE WHEN balance_c IS NULL THEN 'missing balance' END, CASE WHEN t IS NULL OR t NOT IN ('CR', 'DR') THEN 'invalid type: ' || coalesce(t, 'None') END) AS problems FROM t)
+        SELECT * FROM p WHERE problems <> ''""",
     "dates_parsed": f"WITH {LED} SELECT txn_id, CASE WHEN txn_id % 12 = 11 THEN NULL ELSE CAST(date + INTERVAL 120 MONTH AS DATE) END AS parsed FROM led",
     "amounts_parsed": f"WITH {LED} SELECT txn_id, CASE txn_id % 6 WHEN 5 THEN 0 WHEN 3 THEN amount_c - amount_c % 100 ELSE amount_c END AS parsed_c FROM led",
     "rate_limits": """WITH c AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECOND PRECEDING AND CURRENT ROW) AS recent FROM events)
@@ -425,5 +427,51 @@ SQL |= {
 }
 
 
+_HIT = "contains(l, '{0}') OR contains(CAST(date AS VARCHAR), '{0}') OR contains(lower(parser_category), '{0}')"
+SQL |= {
+    "search_last_page": f"""WITH {ENR}, f AS (SELECT txn_id, row_number() OVER (ORDER BY account_id, row_no) AS n, count(*) OVER () AS c FROM enr WHERE {_HIT.format('acme')})
+        SELECT txn_id FROM f WHERE n > (c - 1) // 100 * 100""",
+    "search_totals": f"""WITH {ENR}, t AS (SELECT count(*) AS found, count(*) FILTER (amount_c <> 0) AS amounts, {_sum("type = 'DR'")} AS debit_c, {_sum("type <> 'DR'")} AS credit_c FROM enr WHERE {_HIT.format('food')})
+        SELECT *, debit_c + credit_c AS total_c, CAST(greatest(1, (found + 99) // 100) AS INTEGER) AS pages FROM t""",
+    "latest_by_date": f"WITH {LED} SELECT account_id, txn_id, CAST(row_number() OVER (PARTITION BY account_id ORDER BY date DESC, row_no DESC) AS INTEGER) AS rank FROM led QUALIFY rank <= 100",
+    "first_high_values": f"WITH {ENR} SELECT account_id, txn_id, CAST(row_number() OVER (PARTITION BY account_id ORDER BY row_no) AS INTEGER) AS rank FROM enr WHERE amount_c >= 20000000 QUALIFY rank <= 10",
+    "ranked_modes": f"""WITH {ENR}, a AS (SELECT account_id, mode, sum(amount_c) AS v FROM enr GROUP BY ALL)
+        SELECT account_id, mode, CAST(row_number() OVER (PARTITION BY account_id ORDER BY v DESC, mode) AS INTEGER) AS rank FROM a""",
+    "ranked_categories": f"""WITH {SPENT}, a AS (SELECT account_id, category, sum(amount_c) AS v FROM spent GROUP BY ALL)
+        SELECT account_id, category, CAST(row_number() OVER (PARTITION BY account_id ORDER BY v DESC, category) AS INTEGER) AS rank FROM a""",
+    "negative_days": f"WITH {LED} SELECT account_id, date, arg_max(balance_c, row_no) AS eod_c FROM led GROUP BY ALL HAVING eod_c < 0",
+    "flag_severities": f"""WITH {ENGINE}, f AS (SELECT account_id, unnest(flags) AS flag FROM kpi) SELECT *, CASE WHEN flag IN ('FREQUENT_LOAN_DISBURSALS', 'LOW_AVERAGE_BALANCE', 'CHEQUE_BOUNCES', 'NEGATIVE_BALANCE_DAYS')
+        THEN 'High' ELSE 'Medium' END AS severity FROM f""",
+    "health_grades": f"WITH {ENGINE} SELECT account_id, health_score, CASE WHEN health_score >= 80 THEN 'Excellent' WHEN health_score >= 65 THEN 'Good' WHEN health_score >= 45 THEN 'Average' ELSE 'Poor' END AS health_grade FROM kpi",
+    "compliance_narratives": f"""WITH {ENGINE}, c AS (SELECT account_id, {_sum("is_cash AND (is_cdm OR type = 'CR')")} AS cash FROM enr GROUP BY ALL)
+        SELECT account_id, CASE risk_level WHEN 'Low' THEN 'LOW compliance risk (' || risk_score || '/100). No major triggers. Cash total Rs' || format('{{:,}}', CAST(round_even(cash / 100, 0) AS BIGINT)) || ' within Rs10L limit.'
+        WHEN 'Medium' THEN 'MEDIUM compliance risk (' || risk_score || '/100). Triggers: ' || array_to_string(flags[1:2], '; ') || '. Enhanced due diligence recommended.'
+        ELSE 'HIGH compliance risk (' || risk_score || '/100). Triggers: ' || array_to_string(flags[1:3], '; ') || '. Immediate review required before sanction.' END AS narrative FROM kpi JOIN c USING (account_id)""",
+    "dashboard_totals": f"""WITH {ENR} SELECT count(*) AS txns, count(DISTINCT account_id) AS accounts, {_sum("flow = 'CR'")} AS cr_c, {_sum("flow = 'DR'")} AS dr_c,
+        {_sum("credit_class IN ('salary', 'business', 'interest', 'dividend', 'rental')")} AS real_c, {_sum("credit_class = 'loan_disbursal'")} AS loans_c, {_sum("credit_class = 'family_transfer'")} AS family_c FROM enr""",
+    "dashboard_rows": """SELECT unnest(['engine', 'monthly_summary', 'income', 'expense', 'merchants', 'cashflow', 'compliance', 'itr', 'obligations', 'emi_months', 'lenders', 'destinations', 'audit', 'gstr1',
+        'payment_modes', 'red_flags', 'balance_kpis', 'negative_days']) AS report, 0::BIGINT AS rows""",
+    "credit_position": f"""WITH {RECON}, cst AS (SELECT invoice_no AS statement_no, itc_c AS s_itc FROM invd), t AS (SELECT count(statement_no) AS statement_rows, count(*) FILTER (status = 'Matched') AS matched,
+        count(*) FILTER (status = 'GSTIN Mismatch') AS gstin_mismatches, CAST(coalesce(sum(s_itc), 0) AS BIGINT) AS statement_itc_c, CAST(coalesce(sum(claim_c) FILTER (status = 'Matched'), 0) AS BIGINT) AS matched_itc_c,
+        CAST(coalesce(sum(abs(itc_diff_c)) FILTER (status = 'Amount Mismatch'), 0) AS BIGINT) AS mismatch_loss_c, CAST(coalesce(sum(s_itc) FILTER (status = 'GSTIN Mismatch'), 0) AS BIGINT) AS blocked_c,
+        CAST(coalesce(sum(claim_c) FILTER (status = 'In GSTR-2B only'), 0) AS BIGINT) AS only_statement_c, CAST(coalesce(sum(-itc_diff_c) FILTER (status = 'In Purchase Register only'), 0) AS BIGINT) AS only_register_c
+        FROM recon LEFT JOIN cst USING (statement_no)), g AS (SELECT CAST(sum(itc_c + CASE WHEN h % 7 = 0 THEN 5000 ELSE 0 END) AS BIGINT) AS register_itc_c FROM invd WHERE h % 13 <> 0),
+        u AS (SELECT *, matched_itc_c + only_statement_c AS claimable_c, mismatch_loss_c + blocked_c + only_register_c AS at_risk_c, round(matched * 100.0::DOUBLE / greatest(statement_rows, 1), 1) AS match_rate FROM t, g),
+        v AS (SELECT *, CASE WHEN at_risk_c = 0 AND gstin_mismatches = 0 THEN 'Low' WHEN at_risk_c * 10 < statement_itc_c THEN 'Medium' ELSE 'High' END AS risk_level FROM u) SELECT *, risk_level = 'Low' AS filing_ready FROM v""",
+    "monthly_return": SQL["gstr3b_set_off"].replace("WITH ", f"WITH {LED}, ", 1).rsplit("SELECT *, net_igst_c", 1)[0] + """,
+        cnt AS (SELECT account_id, count(*) FILTER (h % 3 = 0) AS sales, count(*) FILTER (h % 3 <> 0 AND gstin_valid) AS purchases FROM invd GROUP BY ALL),
+        bk AS (SELECT account_id, CAST(coalesce(sum(amount_c) FILTER (type = 'CR'), 0) AS BIGINT) AS bank_cr_c, CAST(coalesce(sum(amount_c) FILTER (type = 'DR'), 0) AS BIGINT) AS bank_dr_c,
+        string_agg(DISTINCT strftime(date, '%Y-%m'), ',' ORDER BY strftime(date, '%Y-%m')) AS months FROM led GROUP BY ALL)
+        SELECT account_id, coalesce(sales, 0) AS sales, coalesce(purchases, 0) AS purchases, coalesce(out_igst_c + out_cgst_c + out_sgst_c, 0) AS output_tax_c, coalesce(itc_igst_c + itc_cgst_c + itc_sgst_c, 0) AS itc_c,
+        coalesce(net_igst_c + net_cgst_c + net_sgst_c, 0) AS net_payable_c, coalesce(bank_cr_c, 0) AS bank_cr_c, coalesce(bank_dr_c, 0) AS bank_dr_c, coalesce(months, '') AS months
+        FROM n JOIN cnt USING (account_id) FULL JOIN bk USING (account_id)""",
+    "bank_gap": "WITH " + SQL["bank_matches"].split("WITH ", 1)[1].rsplit(" SELECT invoice_no, min", 1)[0] + """, d AS (SELECT count(*) AS i, CAST(sum(total_c) AS BIGINT) AS declared_c FROM invd),
+        b AS (SELECT CAST(sum(amount_c) FILTER (type = 'CR') AS BIGINT) AS bank_c FROM led), k AS (SELECT count(DISTINCT invoice_no) AS matched FROM m)
+        SELECT declared_c, bank_c, bank_c - declared_c AS gap_c, i - matched AS unmatched FROM d, b, k""",
+    "sql_bridged": f"""WITH {LED} SELECT strftime(date, '%Y-%m') AS month, count(*) AS txns, round(sum(amount_c / 100.0::DOUBLE)) AS total, CAST(NULL AS DOUBLE) AS share FROM led
+        WHERE lower("desc") LIKE 'upi/%' OR lower("desc") LIKE '%salary%' GROUP BY ALL""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

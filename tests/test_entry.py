@@ -10,11 +10,43 @@ def test_safe_query(spark):
     from ledgerloom.operators import ask
     from ledgerloom.sources import fixtures
 
+    spark.range(3).createOrReplaceTempView("transactions")
     q = ask.SafeQuery(spark, ask.view(fixtures.noisy_ledger(spark, "/root/testdata/sf0.001")))
     assert q.run("select * from transactions").count() == 50
+    assert ask.SafeQuery(spark, ask.view(fixtures.noisy_ledger(spark, "/root/testdata/sf0.001")), limit=None).run("select * from transactions").count() == 1500
+    assert q.run("select id from transactions limit 70").count() == 70
     assert q.run("with t as (select 'no limit' as x) select * from t;").count() == 1
-    for bad in ("delete from transactions", "select nope from transactions", "drop view transactions", "", "select 1; drop view transactions"):
-        assert "error" in q.run(bad)
+    assert q.run("select count(*) as n from transactions where desc like '%reflect(x)%' or exists (select 1 from transactions t where t.id = 1)").count() == 1
+    for bad in (
+        "delete from transactions", "select nope from transactions", "drop view transactions", "", "select 1; drop view transactions",
+        "select count(*) from parquet.`/root/testdata/sf0.001/orders.parquet`", "select reflect('java.lang.System', 'getProperty', 'user.home')",
+        "select java_method('java.lang.System', 'getProperty', 'user.home')", "select * from range(5)", "select (select count(*) from other) from transactions",
+        "with t as (select * from csv.`/etc/passwd`) select * from t", "select * from transactions, lateral explode(array(1)) as x", "select current_user() from transactions",
+        "select /*+ broadcast(transactions) */ * from transactions", "select input_file_name() from transactions", f"select * from {q.view}",
+    ):
+        assert "error" in q.run(bad), bad
+    assert spark.table("transactions").count() == 3
+    q.close()
+    assert "error" in q.run("select * from transactions")
+
+
+def test_bridged_dialect():
+    from ledgerloom.operators.ask import bridged
+
+    assert bridged("select 'a like b / 0' from t where x LIKE 'A/%'") == "select 'a like b / 0' from t where x ILIKE 'A/%'"
+    assert bridged("select sum(a)/count(*), a / (b - c), a/2 from t") == "select sum(a)/ nullif(count(*), 0), a / nullif((b - c), 0), a/ nullif(2, 0) from t"
+    assert bridged("select strftime('%Y-%m', date) from t") == "select date_format(date, 'yyyy-MM') from t"
+
+
+def test_a_batch_tried_again_counts_once(spark, tmp_path):
+    from ledgerloom.operators import sinks
+
+    rows = [(1, 1, "x"), (2, 1, "y")]
+    spark.createDataFrame(rows, "doc_id long, page_no long, text string").write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("doc_id long, page_no long, text string").parquet(str(tmp_path / "in"))
+    for place in ("one", "two"):  # a second run without the first one's progress stands for a batch that is tried again
+        sinks.ingest_stream(stream(), lambda f: f.select("doc_id"), str(tmp_path / "out"), str(tmp_path / place)).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
 def test_stream_of_requests(spark, tmp_path):
