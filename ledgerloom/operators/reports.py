@@ -37,7 +37,7 @@ def monthly_summary(rows: DataFrame) -> DataFrame:
 
 def income_sources(rows: DataFrame, k: int = 10) -> DataFrame:
     """The k largest senders of each account's credits."""
-    sender = classify.employer(F.col("desc"))
+    sender = F.col("employer")
     word = F.get(F.filter(F.split(F.lower("desc"), r"\s+"), lambda w: (F.length(w) > 2) & ~w.rlike(r"^\d+$")), F.lit(0))
     credits = rows.where((F.col("type") == "CR") & (F.col("amount_c") != 0))
     named = credits.withColumn("sender", F.when(sender != "", sender).otherwise(F.coalesce(word, F.lit("unknown"))))
@@ -48,7 +48,7 @@ def income_sources(rows: DataFrame, k: int = 10) -> DataFrame:
 def spending(rows: DataFrame) -> DataFrame:
     """Debits that are expenses, with their category and merchant; sources of loans never are."""
     debits = rows.where((F.col("type") == "DR") & (F.col("amount_c") != 0) & ~F.col("is_loan"))
-    return debits.withColumns({"category": classify.spend_category(F.col("lowered"), F.col("parser_category")), "merchant": classify.merchant(F.col("desc"))})
+    return debits.withColumn("category", classify.spend_category(F.col("narrated_category"), F.col("parser_category")))
 
 
 def category_totals(rows: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def lenders(rows: DataFrame, k: int = 8) -> DataFrame:
 def destinations(rows: DataFrame, k: int = 10) -> DataFrame:
     """The k counterparties that most of each account's debits go to, without cash and own accounts."""
     debits = rows.where((F.col("type") == "DR") & (F.col("amount_c") != 0) & ~R.contains_any(F.col("lowered"), ["atm", "cash", "self", "own account"]))
-    out = debits.withColumn("destination", classify.merchant(F.coalesce("desc", F.lit("")))).groupBy("account_id", "destination")
+    out = debits.withColumn("destination", F.col("merchant")).groupBy("account_id", "destination")
     return top(out.agg(F.sum("amount_c").alias("total_c"), F.count(F.lit(1)).alias("debits")), k, "total_c", "destination")
 
 

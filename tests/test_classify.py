@@ -60,3 +60,24 @@ def test_formula_guard(spark):
     cells = ["=1+1", "+x", "-x", "@x", "\tx", "x=1", ""]
     df = spark.createDataFrame([(c,) for c in cells], "c string").select(parsing.guarded(F.col("c")).alias("g"))
     assert [r.g for r in df.collect()] == ["'=1+1", "'+x", "'-x", "'@x", "'\tx", "x=1", ""]
+
+
+SENDERS = {
+    "NEFT/Globex India/77": "globex india", "NEFT-ACME CORP  more": "acme corp", "NEFTINW-0099-JANE DOE": "jane doe", "IMPS-77-JOHN-ICIC0001234": "john", "IMPS-77-JOHN": "",
+    "RTGS/9912/STEEL WORKS/x": "steel works", "payroll: acme one two three four": "acme one two three", "POS/4512/big bazaar": "", "UPI/a@b.c/lunch": "", "MB:Received from X": "", "": "", None: "",
+}
+
+
+def test_senders(spark):
+    df = spark.createDataFrame([(k,) for k in SENDERS], "d string").withColumn("e", classify.employer(F.coalesce("d", F.lit(""))))
+    assert {r.d: r.e for r in df.collect()} == SENDERS
+
+
+def test_many_narrations_are_classified_where_they_stand(spark, monkeypatch):
+    rows = [(1, i, i, None, d, "CR", 100, 0) for i, d in enumerate([*CREDITS, None, "Salary", "Salary"])]
+    df = spark.createDataFrame(rows, "account_id long, row_no long, txn_id long, date date, desc string, type string, amount_c long, balance_c long")
+    once = sorted(map(str, classify.enriched(df).collect()))
+    monkeypatch.setattr(classify, "MOST_BROADCAST", 0)
+    plain = classify.enriched(df)
+    assert sorted(map(str, plain.select(*classify.enriched(df).columns).collect())) == once and len(once) == len(rows)
+    assert "Join" not in plain._jdf.queryExecution().executedPlan().toString()
