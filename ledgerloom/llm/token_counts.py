@@ -64,6 +64,11 @@ class PrefixCounter:
 
     def table(self, word: str) -> tuple[list[int], bool]:
         """Counts at all prefixes of the mark and a word without spaces; whether the mark stands alone at its end."""
+        counts, first = self._prefixes(word)
+        return counts, first[-1] == MARK
+
+    def _prefixes(self, word: str) -> tuple[list[int], list[str]]:
+        """Of all prefixes of the mark and a word without spaces, the counts and the first pieces."""
         text = MARK + word
         last, counts, first = [""], [0], [""]
         pieces, lengths, stand = self.pieces, self.lengths, self._stand
@@ -84,7 +89,7 @@ class PrefixCounter:
             last.append(piece)
             first.append(piece if i == n else first[i - n])
             counts.append(counts[i - n] + (1 if n > 1 or piece in pieces else len(piece.encode())))
-        return counts, first[-1] == MARK
+        return counts, first
 
     def run(self, n: int) -> int:
         """Tokens of n space marks: all their pieces have one score, so merges go leftmost first."""
@@ -139,19 +144,13 @@ class PrefixCounter:
                 spaces += 1
                 out.append(total + self.run(spaces))
             if w:
-                counts, _ = self.table(w)
-                bare = [True] * len(counts)
-                if spaces > 1:
-                    bare = self._bare_at(w)
+                counts, first = self._prefixes(w)
                 for j in range(2, len(counts)):
-                    more = 0 if spaces == 1 else self.run(spaces) - 1 if bare[j] else self.run(spaces - 1)
+                    more = 0 if spaces == 1 else self.run(spaces) - 1 if first[j] == MARK else self.run(spaces - 1)
                     out.append(total + counts[j] + more)
                 total, spaces = out[-1], 0
         return out
 
-    def _bare_at(self, word: str) -> list[bool]:
-        return [True, True] + [self.table(word[:j])[1] for j in range(1, len(word) + 1)]
-
 
 @lru_cache(maxsize=2)
 def counter_of(model_path: str) -> PrefixCounter:

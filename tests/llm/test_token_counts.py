@@ -63,3 +63,13 @@ def test_rows(spark, library):
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in got) == want
     assert all(len(r.fits) == 2 and r.prefix_tokens[-1] == r.n_tokens for r in got)
     assert token_counts(df.where("false"), PATH).collect() == []
+
+
+def test_prefixes_of_a_long_word_after_spaces_take_linear_time():
+    import time
+
+    counter = PrefixCounter(PATH)
+    text = "a  " + "".join(chr(97 + i * i % 26) for i in range(60_000))
+    began = time.process_time()
+    counts = counter.prefixes(text)
+    assert time.process_time() - began < 10 and counts[-1] == counter.count(text) and len(counts) == len(text) + 1
