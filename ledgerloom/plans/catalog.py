@@ -497,6 +497,16 @@ def amounts_filled(spark, d):
     return tables.fill_amounts(rows.withColumn("type", F.when(F.col("amount_c").isNotNull(), F.col("type")))).select("txn_id", "type", "amount_c")
 
 
+def newest_first_filled(spark, d):
+    """The same with every document printed newest first."""
+    rows = fixtures.ledger(spark, d).withColumn("doc_id", F.col("account_id")).withColumns({"row_no": -F.col("row_no"), "amount_c": F.when(F.col("txn_id") % 6 != 0, F.col("amount_c")), "balance_c": F.when(F.col("txn_id") % 7 != 0, F.col("balance_c"))})
+    return tables.fill_amounts(rows.withColumn("type", F.when(F.col("amount_c").isNotNull(), F.col("type")))).select("txn_id", "type", "amount_c")
+
+
+def word_cells(spark, d):
+    return tables.word_cells(printed.placed_words(spark, d))
+
+
 def running_continuity(spark, d):
     rows = fixtures.noisy_ledger(spark, d).withColumn("doc_id", F.col("account_id")).withColumn("signed_c", balances.signed())
     return tables.continuity(rows, fixtures.OPENING_C)
@@ -559,7 +569,7 @@ def table_openings(spark, d):
 
 NAMES = [
     search_last_page, search_totals, latest_by_date, first_high_values, ranked_modes, ranked_categories, negative_days, flag_severities, health_grades, compliance_narratives,
-    dashboard_totals, dashboard_rows, credit_position, monthly_return, bank_gap, sql_bridged,
+    newest_first_filled, word_cells, dashboard_totals, dashboard_rows, credit_position, monthly_return, bank_gap, sql_bridged,
     opening_inferred, table_openings,
     invoices_cleaned, taxpayers,
     table_columns, table_transactions, online_transactions, merged_cell_transactions, recognised_rows, recognised_columns, amounts_filled, running_continuity, loan_report,

@@ -399,6 +399,12 @@ SQL |= {
     "amounts_filled": f"""WITH {LED}, a AS (SELECT account_id, txn_id, row_no, CASE WHEN txn_id % 6 <> 0 THEN amount_c END AS a, CASE WHEN txn_id % 6 <> 0 THEN type END AS t, CASE WHEN txn_id % 7 <> 0 THEN balance_c END AS b FROM led),
         p AS (SELECT *, b - last_value(b IGNORE NULLS) OVER (PARTITION BY account_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS d FROM a)
         SELECT txn_id, CASE WHEN a IS NULL AND d < 0 THEN 'DR' WHEN a IS NULL AND d > 0 THEN 'CR' ELSE t END AS type, coalesce(a, abs(d)) AS amount_c FROM p""",
+    "word_cells": f"""WITH {LED} SELECT account_id AS doc_id, row_number() OVER (PARTITION BY account_id ORDER BY row_no) AS row_no,
+        [strftime(date + INTERVAL 120 MONTH, '%d-%m-%Y'), 'two words', printf('%d.%02d', amount_c // 100, amount_c % 100)] AS cells FROM led""",
+    "newest_first_filled": f"""WITH {LED}, a AS (SELECT account_id, txn_id, row_no, CASE WHEN txn_id % 6 <> 0 THEN amount_c END AS a, CASE WHEN txn_id % 6 <> 0 THEN type END AS t, CASE WHEN txn_id % 7 <> 0 THEN balance_c END AS b,
+        first_value(date) OVER w < last_value(date) OVER w AS turned FROM led WINDOW w AS (PARTITION BY account_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        p AS (SELECT *, b - last_value(b IGNORE NULLS) OVER (PARTITION BY account_id ORDER BY CASE WHEN turned THEN row_no ELSE -row_no END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS d FROM a)
+        SELECT txn_id, CASE WHEN a IS NULL AND d < 0 THEN 'DR' WHEN a IS NULL AND d > 0 THEN 'CR' ELSE t END AS type, coalesce(a, abs(d)) AS amount_c FROM p""",
     "running_continuity": f"""WITH RECURSIVE {NOISY}, f AS (SELECT account_id, 0::BIGINT AS row_no, 50000000::BIGINT AS run, FALSE AS off, NULL::BIGINT AS computed_c, NULL::BIGINT AS printed_c FROM (SELECT DISTINCT account_id FROM noisy)
         UNION ALL SELECT n.account_id, n.row_no, CASE WHEN abs(f.run + s.s - n.balance_c) > 1 THEN n.balance_c ELSE f.run + s.s END, coalesce(abs(f.run + s.s - n.balance_c) > 1, FALSE), f.run + s.s, n.balance_c
         FROM f JOIN noisy n ON n.account_id = f.account_id AND n.row_no = f.row_no + 1, LATERAL (SELECT CASE n.type WHEN 'CR' THEN n.amount_c ELSE -n.amount_c END AS s) s)

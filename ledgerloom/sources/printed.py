@@ -140,6 +140,15 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.floor(F.col("row_no") / 20).alias("page_no"), F.inline(words))
 
 
+def placed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions as words with places: the two words of a cell 4 apart, cells 40, tops up to one point off."""
+    rows = statement_rows(spark, sf_dir)
+    top = (F.col("row_no") % 20) * 12
+    w = lambda text, x0, x1, low: F.struct(text.alias("text"), F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), (top + low).alias("top"))
+    words = F.array(w(F.date_format("date", "dd-MM-yyyy"), 10, 60, 0), w(F.lit("two"), 100, 120, 1), w(F.lit("words"), 124, 150, -1), w(rupees(F.col("amount_c")), 190, 230, 0))
+    return rows.select("doc_id", F.floor(F.col("row_no") / 20).alias("page_no"), F.inline(words))
+
+
 def invoice_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoices as a spreadsheet's strings: grouped digits and signs, some totals and taxable values left blank."""
     rows = fixtures.invoices(spark, sf_dir)

@@ -84,7 +84,11 @@ def columns_by_data(rows: DataFrame, sample: int = 40) -> DataFrame:
 
 
 def generic(rows: DataFrame) -> DataFrame:
-    """Transactions of any table: columns by header, or else by data; footers left out; narrations that overflow joined."""
+    """Transactions of any table: columns by header, or else by data; footers left out; narrations that overflow joined.
+
+    A date that isn't in its column is looked for in all; amounts without a column are the first two positive numbers of
+    the other cells; a narration without a column is what is neither date, number nor reference.
+    """
     by_header = columns_by_header(rows)
     bare = rows.join(by_header.select("doc_id"), "doc_id", "left_anti")
     found = by_header.unionByName(columns_by_data(bare))
@@ -94,12 +98,22 @@ def generic(rows: DataFrame) -> DataFrame:
     body = body.where((F.col("row_no") > F.col("c.header_no")) & ~text.rlike("|".join(FOOTERS)))
     single = cell("amount")
     signed_debit = single.rlike(r"^\(|^-|(?i:dr)\.?$") | ~single.rlike(r"(?i:cr)\.?$")
-    two = F.col("c.debit").isNotNull() & F.col("c.credit").isNotNull()
-    debit = F.when(two, parse_amount_c(cell("debit"))).when(signed_debit, parse_amount_c(single)).otherwise(F.lit(0))
-    credit = F.when(two, parse_amount_c(cell("credit"))).when(signed_debit, F.lit(0)).otherwise(parse_amount_c(single))
-    body = body.withColumns({"date": parse_date(cell("date")), "debit_c": debit, "credit_c": credit, "words": cell("description"), "bal": parse_amount_c(cell("balance"))})
+    two, one = F.col("c.debit").isNotNull() & F.col("c.credit").isNotNull(), F.col("c.amount").isNotNull()
+    mapped = F.array_compact(F.array(*[F.col(f"c.{r}") for r in ROLE_WORDS]))
+    others = F.filter(F.transform("cells", lambda x, i: F.when(~F.array_contains(mapped, i), F.trim(x))), lambda x: F.coalesce(x != "", F.lit(False)))
+    numbers = F.filter(F.transform(others, parse_amount_c), lambda n: n > 0)
+    loose = lambda k: F.coalesce(F.get(numbers, F.lit(k)), F.lit(0))
+    debit = F.when(two, parse_amount_c(cell("debit"))).when(~one, loose(0)).when(signed_debit, parse_amount_c(single)).otherwise(F.lit(0))
+    credit = F.when(two, parse_amount_c(cell("credit"))).when(~one, loose(1)).when(signed_debit, F.lit(0)).otherwise(parse_amount_c(single))
+    anywhere = F.get(F.filter(F.transform("cells", lambda x: parse_date(F.coalesce(x, F.lit("")))), lambda x: x.isNotNull()), F.lit(0))
+    said = F.array_join(F.filter(others, lambda x: (parse_amount_c(x) == 0) & parse_date(x).isNull() & ~x.rlike(r"^[A-Za-z0-9]{2,12}[-/]?\d{5,}$")), " ")
+    words = F.when(F.col("c.description").isNull() | (cell("description") == ""), said).otherwise(cell("description"))
+    body = body.withColumns({"date": F.coalesce(parse_date(cell("date")), anywhere), "debit_c": debit, "credit_c": credit, "words": words, "bal": parse_amount_c(cell("balance"))})
     start = F.col("date").isNotNull() & (F.greatest("debit_c", "credit_c") > 0)
     body = body.withColumn("starts", start).withColumn("group", F.count_if("starts").over(Window.partitionBy("doc_id").orderBy("row_no"))).where("group > 0")
+    # what goes on with a narration has neither date nor amount and is no page of text
+    goes_on = F.col("date").isNull() & (F.greatest("debit_c", "credit_c", "bal") == 0) & F.length("words").between(3, 150)
+    body = body.where(F.col("starts") | goes_on)
     more = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "words"))), lambda x: x["words"]), " ")
     at = lambda c: F.max(F.when(F.col("starts"), F.col(c)))
     out = body.groupBy("doc_id", "group").agg(at("date").alias("date"), at("debit_c").alias("debit_c"), at("credit_c").alias("credit_c"), at("bal").alias("bal"), more.alias("desc"))
@@ -149,13 +163,34 @@ def bob(rows: DataFrame) -> DataFrame:
     )
 
 
-def word_rows(words: DataFrame, gap: int = 35) -> DataFrame:
-    """Recognised words (doc_id, page_no, text, left, top) as visual rows: a new row where tops lie more than `gap` apart."""
+def word_rows(words: DataFrame, gap: int = 35, least_conf: float = 30) -> DataFrame:
+    """Recognised words (doc_id, page_no, text, left, top) as visual rows: a new row where tops lie more than `gap` apart.
+
+    Where words have a conf, those of `least_conf` or less are left out. A word that repeats the one before it is dropped.
+    """
+    if "conf" in words.columns:
+        words = words.where(F.col("conf") > least_conf)
     order = Window.partitionBy("doc_id", "page_no").orderBy("top", "left")
     breaks = F.coalesce(F.abs(F.col("top") - F.lag("top").over(order)) > gap, F.lit(False)).cast("int")
     rows = words.withColumn("breaks", breaks).withColumn("row", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("left", "top", "text"))), lambda w: w["text"]), " ")
-    return rows.groupBy("doc_id", "page_no", "row").agg(text.alias("line"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("left", "top", "text"))), lambda w: w["text"])
+    return rows.groupBy("doc_id", "page_no", "row").agg(F.array_join(without_doubles(listed), " ").alias("line"))
+
+
+def without_doubles(tokens: Column) -> Column:
+    """Tokens that don't repeat the one before them."""
+    return F.transform(F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), (F.coalesce(F.get(tokens, i - 1), F.lit("")) == t).alias("again"))), lambda x: ~x["again"]), lambda x: x["t"])
+
+
+def word_cells(words: DataFrame, line: int = 3, gap: int = 15) -> DataFrame:
+    """Words of a page (doc_id, page_no, text, x0, x1, top) as table rows: lines of `line` points, cells where words lie `gap` or more apart."""
+    words = words.withColumn("row", F.round(F.col("top") / line).cast("long"))
+    order = Window.partitionBy("doc_id", "page_no", "row").orderBy("x0", "x1")
+    breaks = F.coalesce(F.col("x0") - F.lag("x1").over(order) >= gap, F.lit(False)).cast("int")
+    marked = words.withColumn("breaks", breaks).withColumn("cell", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    cells = marked.groupBy("doc_id", "page_no", "row", "cell").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "x1", "text"))), lambda w: w["text"]), " ").alias("text"))
+    lines = cells.groupBy("doc_id", "page_no", "row").agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "text"))), lambda c: c["text"]).alias("cells"))
+    return lines.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "row")).cast("long").alias("row_no"), "cells")
 
 
 def amount_columns(words: DataFrame, gap: int = 40) -> DataFrame:
@@ -171,24 +206,36 @@ def amount_columns(words: DataFrame, gap: int = 40) -> DataFrame:
 
 
 def fill_amounts(rows: DataFrame) -> DataFrame:
-    """Lost amounts (and their directions) from the change since the last known balance, in the order of the dates."""
-    before = Window.partitionBy("doc_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    """Lost amounts (and their directions) from the change since the last known balance, in the order of the dates.
+
+    A document whose first date is later than its last is printed newest first and read from its end.
+    """
+    document = Window.partitionBy("doc_id")
+    turned = F.coalesce(F.min_by("date", "row_no").over(document) > F.max_by("date", "row_no").over(document), F.lit(False))
+    rows = rows.withColumn("place", F.when(turned, -F.col("row_no")).otherwise(F.col("row_no")))
+    before = document.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     delta = F.col("balance_c") - F.last("balance_c", ignorenulls=True).over(before)
     lost = F.col("amount_c").isNull() & F.col("delta").isNotNull()
     rows = rows.withColumn("delta", delta)
-    return rows.withColumns({"type": F.when(lost & (F.col("delta") < 0), "DR").when(lost & (F.col("delta") > 0), "CR").otherwise(F.col("type")), "amount_c": F.when(lost, F.abs("delta")).otherwise(F.col("amount_c"))}).drop("delta")
+    return rows.withColumns({"type": F.when(lost & (F.col("delta") < 0), "DR").when(lost & (F.col("delta") > 0), "CR").otherwise(F.col("type")), "amount_c": F.when(lost, F.abs("delta")).otherwise(F.col("amount_c"))}).drop("delta", "place")
 
 
 def continuity(rows: DataFrame, opening_c: int, tolerance_c: int = 1) -> DataFrame:
     """Rows whose printed balance differs from the running one, which is set anew only where it differs.
 
-    The running balance depends on every earlier decision, so each document's rows are folded in order.
+    The running balance is the sum of all amounts so far and an offset that each decision may change. A row whose
+    printed balance has the same offset as the last one printed changes nothing and never differs, so only rows at
+    which the printed offset changes are folded in order: as many as a document has errors, not as it has rows.
     """
-    ordered = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("row_no", "signed_c", "balance_c"))).alias("rows"))
+    order = Window.partitionBy("doc_id").orderBy("row_no")
+    rows = rows.withColumn("total_c", F.sum("signed_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("balance_c is not null")
+    rows = rows.withColumn("offset_c", F.col("balance_c") - F.col("total_c")).withColumn("was_c", F.lag("offset_c").over(order))
+    turns = rows.where("was_c is null or was_c != offset_c")
+    ordered = turns.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("row_no", "total_c", "offset_c"))).alias("rows"))
     step = """struct(
-        if(x.balance_c is not null and abs(acc.run + x.signed_c - x.balance_c) > {t}, x.balance_c, acc.run + x.signed_c) as run,
-        if(x.balance_c is not null and abs(acc.run + x.signed_c - x.balance_c) > {t}, concat(acc.off, array(struct(x.row_no as row_no, acc.run + x.signed_c as computed_c, x.balance_c as printed_c))), acc.off) as off)"""
-    zero = f"struct(cast({opening_c} as bigint) as run, cast(array() as array<struct<row_no: bigint, computed_c: bigint, printed_c: bigint>>) as off)"
+        if(abs(acc.at - x.offset_c) > {t}, x.offset_c, acc.at) as at,
+        if(abs(acc.at - x.offset_c) > {t}, concat(acc.off, array(struct(x.row_no as row_no, acc.at + x.total_c as computed_c, x.offset_c + x.total_c as printed_c))), acc.off) as off)"""
+    zero = f"struct(cast({opening_c} as bigint) as at, cast(array() as array<struct<row_no: bigint, computed_c: bigint, printed_c: bigint>>) as off)"
     folded = ordered.select("doc_id", F.expr(f"aggregate(rows, {zero}, (acc, x) -> {step.format(t=tolerance_c)}).off").alias("off"))
     return folded.select("doc_id", F.inline("off"))
 

@@ -79,3 +79,32 @@ def test_statement_stream(spark, tmp_path):
     query = sinks.ingest_stream(stream, statements.transactions, str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_tables_with_dates_and_amounts_in_other_columns(spark):
+    rows = [(1, 1, ["Date", "Particulars", "Amount"]), (1, 2, ["", "shop 05/04/2024", "10.00 Dr"]), (1, 3, ["", "of the corner", ""]), (1, 4, ["", "x" * 151, ""]), (1, 5, ["06/04/2024", "", "5.00 Cr"])]
+    got = tables.generic(spark.createDataFrame(rows, "doc_id long, row_no long, cells array<string>")).orderBy("row_no").collect()
+    assert [(str(r.date), r.desc, r.type, r.amount_c) for r in got] == [("2024-04-05", "shop 05/04/2024 of the corner", "DR", 1000), ("2024-04-06", "", "CR", 500)]
+
+
+def test_any_layout_of_lines(spark):
+    text = "Some bank\nDate Details Amount Balance\n5 Apr 2024 SHOP ONE 10.00 90.00\ngoes on\n06/04/2024 PAY IN 5.00 Cr 95.00\nClosing balance 95.00\n07-04-2024 FEE 0.00 1.00 94.00\n08-04-2024 LONE 7.00"
+    got = statements.transactions(pages(spark, (1, 1, text))).orderBy("row_no").collect()
+    assert [(str(r.date), r.desc, r.type, r.amount_c, r.balance_c) for r in got] == [
+        ("2024-04-05", "SHOP ONE goes on", "CR", 1000, 9000), ("2024-04-06", "PAY IN", "CR", 500, 9500), ("2024-04-07", "FEE", "DR", 100, 9400), ("2024-04-08", "LONE", "DR", 700, None),
+    ]
+
+
+def test_documents_by_table_or_lines_and_those_without_rows(spark):
+    lines = pages(spark, (1, 1, HDFC), (2, 1, "A bank\nwithout lines"), (3, 1, "Nothing"))
+    cells = spark.createDataFrame([(2, 1, ["Date", "Narration", "Debit", "Credit", "Balance"]), (2, 2, ["05/04/2024", "shop", "10.00", "", "90.00"]), (2, 3, ["06/04/2024", "pay", "", "5.00", ""])], "doc_id long, row_no long, cells array<string>")
+    found = statements.ingest(lines, cells)
+    assert sorted((r.doc_id, r.type, r.amount_c, r.balance_c) for r in found.where("doc_id = 2").collect()) == [(2, "CR", 500, 9500), (2, "DR", 1000, 9000)]
+    assert found.where("doc_id = 1").count() == 2 and [r.doc_id for r in statements.without_rows(lines, found).collect()] == [3]
+    assert statements.ingest(lines.where("false"), cells.where("false")).collect() == []
+
+
+def test_words_that_are_unsure_or_doubled(spark):
+    rows = [(1, 1, "a", 10, 0, 90.0), (1, 1, "a", 20, 3, 90.0), (1, 1, "b", 30, 1, 12.0), (1, 1, "c", 40, 2, 31.0), (1, 1, "d", 10, 60, 95.0)]
+    df = spark.createDataFrame(rows, "doc_id long, page_no long, text string, left int, top int, conf double")
+    assert sorted(r.line for r in tables.word_rows(df).collect()) == ["a c", "d"]
