@@ -103,10 +103,12 @@ _SENDERS = {
 EMPLOYER = case([(f'"desc" = {quoted(k)}', v) for k, v in _SENDERS.items()], "''")
 _KNOWN = sorted(classify.KNOWN_MERCHANTS, key=lambda m: (-len(m), m))
 _STOP = "('nach', 'neft', 'imps', 'rtgs', 'debit', 'credit', 'transfer', 'payment', 'bank', 'from', 'to', 'upi', 'ref', 'no', 'txn')"
+_WHO = f"""coalesce(known, nullif(vpa[1:25], ''), CASE WHEN length(emp) > 2 THEN emp[1:25] END,
+          list_filter(regexp_split_to_array(l, '[\\s/\\-:]+'), lambda w: length(w) > 3 AND w NOT IN {_STOP} AND NOT regexp_full_match(w, '\\d+'))[1][1:20], 'other')"""
+_NAMES = f"""{EMPLOYER} AS emp, {case([(f"contains(l, {quoted(m)})", m) for m in _KNOWN], "NULL")} AS known"""
 MERCHANT = SPENT + f""",
-m0 AS (SELECT *, {EMPLOYER} AS emp, {case([(f"contains(l, {quoted(m)})", m) for m in _KNOWN], "NULL")} AS known FROM spent),
-merch AS (SELECT *, coalesce(known, nullif(vpa[1:25], ''), CASE WHEN length(emp) > 2 THEN emp[1:25] END,
-          list_filter(regexp_split_to_array(l, '[\\s/\\-:]+'), lambda w: length(w) > 3 AND w NOT IN {_STOP} AND NOT regexp_full_match(w, '\\d+'))[1][1:20], 'other') AS merchant FROM m0)"""
+m0 AS (SELECT *, {_NAMES} FROM spent),
+merch AS (SELECT *, {_WHO} AS merchant FROM m0)"""
 
 _T = "', '".join(R.TAXABLE)
 MONTHS = ENR + f""",
@@ -451,6 +453,13 @@ SQL |= {
         SELECT account_id, CASE risk_level WHEN 'Low' THEN 'LOW compliance risk (' || risk_score || '/100). No major triggers. Cash total Rs' || format('{{:,}}', CAST(round_even(cash / 100, 0) AS BIGINT)) || ' within Rs10L limit.'
         WHEN 'Medium' THEN 'MEDIUM compliance risk (' || risk_score || '/100). Triggers: ' || array_to_string(flags[1:2], '; ') || '. Enhanced due diligence recommended.'
         ELSE 'HIGH compliance risk (' || risk_score || '/100). Triggers: ' || array_to_string(flags[1:3], '; ') || '. Immediate review required before sanction.' END AS narrative FROM kpi JOIN c USING (account_id)""",
+    "latest_hundred": f"WITH {LED} SELECT account_id, txn_id, CAST(row_number() OVER (PARTITION BY account_id ORDER BY row_no DESC) AS INTEGER) AS rank FROM led QUALIFY rank <= 100",
+    "lenders": f"""WITH {ENR}, d AS (SELECT account_id, amount_c, {case([(has('l', [w]), w) for w in R.EMI if len(w) > 4], 'NULL')} AS lender FROM enr WHERE type = 'DR' AND amount_c <> 0 AND is_emi),
+        a AS (SELECT account_id, lender, CAST(sum(amount_c) AS BIGINT) AS total_c, count(*) AS debits FROM d WHERE lender IS NOT NULL GROUP BY ALL)
+        SELECT *, CAST(row_number() OVER (PARTITION BY account_id ORDER BY total_c DESC, lender) AS INTEGER) AS rank FROM a QUALIFY rank <= 8""",
+    "destinations": f"""WITH {ENR}, x AS (SELECT *, {_VPA} AS vpa, {_NAMES} FROM enr WHERE type = 'DR' AND amount_c <> 0 AND NOT {anywhere('l', ['atm', 'cash', 'self', 'own account'])}),
+        a AS (SELECT account_id, {_WHO} AS destination, CAST(sum(amount_c) AS BIGINT) AS total_c, count(*) AS debits FROM x GROUP BY ALL)
+        SELECT *, CAST(row_number() OVER (PARTITION BY account_id ORDER BY total_c DESC, destination) AS INTEGER) AS rank FROM a QUALIFY rank <= 10""",
     "dashboard_totals": f"""WITH {ENR} SELECT count(*) AS txns, count(DISTINCT account_id) AS accounts, {_sum("flow = 'CR'")} AS cr_c, {_sum("flow = 'DR'")} AS dr_c,
         {_sum("credit_class IN ('salary', 'business', 'interest', 'dividend', 'rental')")} AS real_c, {_sum("credit_class = 'loan_disbursal'")} AS loans_c, {_sum("credit_class = 'family_transfer'")} AS family_c FROM enr""",
     "dashboard_rows": """SELECT unnest(['engine', 'monthly_summary', 'income', 'expense', 'merchants', 'cashflow', 'compliance', 'itr', 'obligations', 'emi_months', 'lenders', 'destinations', 'audit', 'gstr1',
