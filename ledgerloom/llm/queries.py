@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.collocations import mine_collocations
 from ledgerloom.llm.common import held_out, table
 from ledgerloom.llm.decontamination import decontaminate
+from ledgerloom.llm.divergence import audit_sources
 from ledgerloom.llm.html_extract import extract
 from ledgerloom.llm.language_id import identify, train_languages
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import quality_scores, train_quality
+from ledgerloom.llm.sharding import shard_by_bytes
 from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.token_counts import token_counts
 from ledgerloom.llm.topk import top_k
@@ -115,6 +118,83 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+u AS (SELECT lang, id, unnest(w) AS w, unnest(range(len(w))) AS i FROM w),
+x AS (SELECT lang, w AS w1, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM u WINDOW o AS (PARTITION BY id ORDER BY i)),
+g AS (SELECT lang, 1 AS m, w1 AS phrase FROM x UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM x WHERE w2 IS NOT NULL
+      UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM x WHERE w3 IS NOT NULL),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(n) AS n FROM f WHERE m = 1 GROUP BY ALL),
+c AS (SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND n >= 10),
+cut AS (SELECT c.lang, c.phrase, c.m, c.a, k, l.n AS l, r.n AS r,
+               (1000000 * CAST(c.a AS HUGEINT) * c.a) // (CAST(l.n AS HUGEINT) * r.n) AS score
+        FROM c JOIN (VALUES (1), (2)) AS ks(k) ON k < c.m
+        JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k], ' ')
+        JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1 : c.m], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM
+             (SELECT lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS phrase FROM c WHERE m = 3) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(t.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN t USING (lang) WHERE rank <= 2000
+""".replace("\\\\", "\\")
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_by_bytes(table(spark, sf_dir, "documents", "doc_id", "text"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The checksum's table is computed: eight halvings of each byte under the polynomial.
+OP12_SQL = """
+WITH RECURSIVE halved AS (SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) AS t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM halved WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM halved WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size FROM documents),
+b AS (SELECT doc_id, size, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS digest,
+             list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM d),
+s AS (SELECT doc_id, size, digest, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS INTEGER) + 1])), 4294967295) AS text_crc32
+      FROM b, crc),
+o AS (SELECT *, sum(size) OVER (ORDER BY digest, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS ends, sum(size) OVER () AS total,
+             row_number() OVER (ORDER BY digest, doc_id NULLS FIRST) AS nth FROM s),
+p AS (SELECT *, CAST((2 * ends - size) * 24 // (2 * total) AS INTEGER) AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY nth) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+"""
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+w AS (SELECT lang, source, id, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS df FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(df) >= 10),
+v AS (SELECT lang, count(*) AS terms, sum(n) AS total FROM k GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+cell AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS n_lang FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+m AS (SELECT lang, source, sum(n) AS total FROM cell GROUP BY ALL),
+p AS (SELECT cell.lang, cell.source, term, n, 1 + (1000000000 * CAST(n + 2 AS HUGEINT)) // CAST(m.total + 2 * v.terms AS HUGEINT) AS p,
+             1 + (1000000000 * CAST(n_lang + 2 AS HUGEINT)) // CAST(v.total + 2 * v.terms AS HUGEINT) AS q
+      FROM cell JOIN m USING (lang, source) JOIN v USING (lang)),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0) AS BIGINT) AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+term AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+""".replace("\\\\", "\\")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -127,8 +207,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
+        "op11_collocations": op11_collocations,
+        "op12_sharding": op12_sharding,
+        "op13_divergence": op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_top_k": OP4_SQL, "op8_decontamination": OP8_SQL}
+    return {"op4_top_k": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_collocations": OP11_SQL, "op12_sharding": OP12_SQL, "op13_divergence": OP13_SQL}

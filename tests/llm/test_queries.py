@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_decontamination": ["doc_id bigint", "n_words bigint", "n_hit bigint", "n_items bigint", "items_sha256 string", "contaminated boolean"],
     "op9_simhash": ["doc_id bigint", "fingerprint string", "component_id bigint"],
     "op10_packing": ["doc_id bigint", "start bigint", "length bigint", "ids_crc32 bigint", "doc_tokens bigint", "sequence_id bigint", "offset bigint"],
+    "op11_collocations": ["lang string", "rank bigint", "phrase string", "a bigint", "l bigint", "r bigint", "n bigint", "score bigint"],
+    "op12_sharding": ["doc_id bigint", "size bigint", "text_crc32 bigint", "law string", "shard int", "slot bigint", "grown_shard int"],
+    "op13_divergence": ["lang string", "source string", "part string", "item string", "value bigint", "rank int"],
 }
 
 
@@ -28,7 +31,7 @@ def test_columns_and_rows(spark, name):
     kinds = [f"{c} {k}" for c, k in out.dtypes]
     assert kinds[: len(COLUMNS[name])] == COLUMNS[name]
     documents, pages = (spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("documents", "pages"))
-    if name not in ("op4_top_k", "op10_packing"):
+    if name not in ("op4_top_k", "op10_packing", "op11_collocations", "op13_divergence"):
         assert out.count() == (pages if "page_id" in out.columns else documents)
 
 
