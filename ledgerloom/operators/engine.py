@@ -54,8 +54,12 @@ def days(rows: DataFrame) -> DataFrame:
 
 def months(rows: DataFrame) -> DataFrame:
     """The same per account and month, and of its days: the last balance, the sum of last balances, negative days."""
+    return months_of(days(rows))
+
+
+def months_of(days: DataFrame) -> DataFrame:
     known = F.col("eod_c").isNotNull()
-    return days(rows).groupBy("account_id", "month").agg(
+    return days.groupBy("account_id", "month").agg(
         *[F.sum(c).alias(c) for c in SUMS],
         F.min("min_balance_c").alias("min_balance_c"),
         F.max("max_balance_c").alias("max_balance_c"),
@@ -83,8 +87,13 @@ def stability(n: Column, s: Column, top: Column, squares: Column, poor: Column)
 
 def engine(rows: DataFrame) -> DataFrame:
     """One row per account. `rows` are enriched; days are pre-aggregated before any shuffle, so that a busy account spreads; months and accounts are grouped from days."""
+    return figures(months(rows))
+
+
+def figures(by_month: DataFrame) -> DataFrame:
+    """The same from an account's months."""
     live = F.col("flows") > 0
-    e = months(rows).groupBy("account_id").agg(
+    e = by_month.groupBy("account_id").agg(
         *[F.sum(c).alias(c) for c in SUMS if c not in ("cr_c", "dr_c", "real_c")],
         F.min("min_balance_c").alias("min_balance_c"),
         F.max("max_balance_c").alias("max_balance_c"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify, parsing, rules
-from ledgerloom.operators import ask, balances, consolidate, engine, gst, joins, lineage, reports
-from ledgerloom.sources import fixtures, invoices as sheets, printed, statements, tables, tax_forms
+from ledgerloom.operators import ask, balances, consolidate, engine, gst, joins, lineage, reports, several, uploads
+from ledgerloom.sources import bundles, fixtures, invoices as sheets, printed, statements, strategies, tables, tax_forms
 from ledgerloom.streaming import limits
 
 def opening():
@@ -567,7 +568,71 @@ def table_openings(spark, d):
     return tables.opening_balances(rows.select("doc_id", F.posexplode(cells).alias("row_no", "cells")))
 
 
+def bundled_transactions(spark, d):
+    """Statements of all banks written as bundles of text and read again through the data source."""
+    folder = f"{lineage.shared_folder(spark)}/bundles-{uuid.uuid4().hex}"
+    bundles.write_bundles(printed.statement_pages(spark, d), folder)
+    bundles.register(spark)
+    pages = spark.read.format(bundles.FORMAT).load(folder)
+    return statements.transactions(pages.select(F.col("doc_id").cast("long").alias("doc_id"), "page_no", "text"))
+
+
+def strategy_transactions(spark, d):
+    """Documents of four kinds, each read in the way that gets most out of it."""
+    found, _ = strategies.read(*printed.mixed_statements(spark, d))
+    return found
+
+
+def remembered_strategies(spark, d):
+    """The way of each layout, learned from one half of the documents, and how many of the others are read in it alone."""
+    pages, cells, words = printed.mixed_statements(spark, d)
+    half = lambda frame, k: frame.where(F.floor(F.col("doc_id") / 4) % 2 == k)
+    _, won = strategies.read(*[half(f, 0) for f in (pages, cells, words)])
+    known = lineage.stored(strategies.learned(won, strategies.fingerprints(half(pages, 0))))
+    _, others = strategies.read(*[half(f, 1) for f in (pages, cells, words)], known=known)
+    return others.groupBy("way").agg(F.count(F.lit(1)).alias("documents"), F.sum("rows").alias("rows"))
+
+
+def footer_transactions(spark, d):
+    """Tables that lost rows to page ends, with those rows back."""
+    return tables.turned_by_balance(tables.generic(tables.with_footer_rows(*printed.footer_tables(spark, d))))
+
+
+def serials_missing(spark, d):
+    """Serial numbers that the tables lack before their lost rows are read from the pages."""
+    return tables.missing_serials(printed.footer_tables(spark, d)[0])
+
+
+def rate_limits_streamed(spark, d):
+    """`rate_limits` by a stream over the events, replayed."""
+    events = fixtures.table(spark, d, "events").select("event_id", "user_id", "ts")
+    return limits.limited_files(events, most=3, seconds=86_400).select("event_id", "recent", "limited")
+
+
+CONTENT = ["date", "desc", "type", "amount_c", "balance_c"]
+
+
+def distinct_uploads(spark, d):
+    """Uploads with the digest of their content and whether they count: the same content counts once."""
+    return uploads.first_of_each(uploads.digests(printed.uploads(spark, d), "upload_id", CONTENT), "upload_id")
+
+
+def counted_once(spark, d):
+    """Credits and debits of every upload's content, each content computed once."""
+    rows = printed.uploads(spark, d)
+    found = lineage.stored(uploads.digests(rows, "upload_id", CONTENT))
+    results = uploads.Results(spark, f"{lineage.shared_folder(spark)}/results-{uuid.uuid4().hex}")
+    sums = lambda r: r.groupBy("digest").agg(engine.total(F.col("type") == "CR").alias("cr_c"), engine.total(F.col("type") == "DR").alias("dr_c"))
+    return results.through(rows, found, "upload_id", sums, now=1_000).select("digest", "cr_c", "dr_c")
+
+
+def several_statements(spark, d):
+    """The engine's figures of every account, and of fifty holders' accounts together."""
+    return several.figures(enriched(spark, d), F.col("account_id") % 50).select(*ENGINE_COLUMNS)
+
+
 NAMES = [
+    bundled_transactions, strategy_transactions, remembered_strategies, footer_transactions, serials_missing, rate_limits_streamed, distinct_uploads, counted_once, several_statements,
     search_last_page, search_totals, latest_by_date, first_high_values, ranked_modes, ranked_categories, negative_days, flag_severities, health_grades, compliance_narratives,
     newest_first_filled, word_cells, dashboard_totals, dashboard_rows, credit_position, monthly_return, bank_gap, sql_bridged,
     opening_inferred, table_openings,

@@ -485,6 +485,31 @@ SQL |= {
         WHERE lower("desc") LIKE 'upi/%' OR lower("desc") LIKE '%salary%' GROUP BY ALL""",
 }
 
+_UP = LED + """,
+u0 AS (SELECT account_id * 10 + 1 AS upload_id, date, "desc", type, amount_c, balance_c FROM led
+       UNION ALL SELECT account_id * 10 + 2, date, "desc", type, amount_c, balance_c FROM led WHERE account_id % 3 = 0
+       UNION ALL SELECT account_id * 10 + 3, date, "desc", type, amount_c + CASE WHEN row_no = 1 THEN 1 ELSE 0 END, balance_c FROM led WHERE account_id % 7 = 0),
+uh AS (SELECT upload_id, type, amount_c, md5('=' || date || '|=' || "desc" || '|=' || type || '|=' || amount_c || '|=' || balance_c) AS h FROM u0),
+up AS (SELECT upload_id, h[1:2] AS part, md5(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM uh GROUP BY ALL),
+ud AS (SELECT upload_id, md5(string_agg(h, '' ORDER BY part)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM up GROUP BY ALL)"""
+_TOGETHER = LED.replace("led AS (", "each_led AS (", 1).replace("FROM led0 WINDOW", "FROM led0 WINDOW") + """,
+led AS (SELECT CAST(account_id AS VARCHAR) AS account_id, txn_id, date, "desc", type, amount_c, row_no, balance_c FROM each_led
+        UNION ALL SELECT 'together ' || (account_id % 50), txn_id, date, "desc", type, amount_c, row_number() OVER (PARTITION BY account_id % 50 ORDER BY account_id, row_no), balance_c FROM each_led)"""
+SQL |= {
+    "bundled_transactions": SQL["statement_transactions"],
+    "strategy_transactions": f"""WITH {LED}, k AS (SELECT *, account_id % 4 AS kind FROM led) {_LIFTED.format(no='row_no', words="CASE WHEN kind = 2 THEN 'Ref ' ELSE '' END || trim(\"desc\")").replace("FROM led", "").replace("AS balance_c", "AS balance_c,")}
+        ['table', 'relaxed', 'words', 'lines'][kind + 1] AS way FROM k""",
+    "remembered_strategies": f"""WITH {LED} SELECT ['table', 'relaxed', 'words', 'lines'][account_id % 4 + 1] AS way, count(DISTINCT account_id) AS documents, count(*) AS rows FROM led
+        WHERE (account_id // 4) % 2 = 1 GROUP BY ALL""",
+    "footer_transactions": f"WITH {LED} {_LIFTED.format(no='row_no', words='trim(\"desc\")')}",
+    "serials_missing": f"WITH {LED}, m AS (SELECT account_id, max(row_no) FILTER (row_no % 7 <> 0) AS last FROM led GROUP BY ALL) SELECT account_id AS doc_id, row_no AS serial FROM led JOIN m USING (account_id) WHERE row_no % 7 = 0 AND row_no < last",
+    "rate_limits_streamed": SQL["rate_limits"],
+    "distinct_uploads": f"WITH {_UP} SELECT *, upload_id = min(upload_id) OVER (PARTITION BY digest) AS counted FROM ud",
+    "counted_once": f"""WITH {_UP}, f AS (SELECT digest, min(upload_id) AS upload_id FROM ud GROUP BY ALL)
+        SELECT digest, CAST(coalesce(sum(amount_c) FILTER (type = 'CR'), 0) AS BIGINT) AS cr_c, CAST(coalesce(sum(amount_c) FILTER (type = 'DR'), 0) AS BIGINT) AS dr_c FROM f JOIN uh USING (upload_id) GROUP BY ALL""",
+    "several_statements": SQL["engine_kpis"].replace(LED, _TOGETHER),
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

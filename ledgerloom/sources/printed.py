@@ -165,3 +165,59 @@ def taxpayer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixtures.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"))
     number = F.concat(F.lit("ABCDE"), F.lpad((F.col("doc_id") % 10000).cast("string"), 4, "0"), F.lit("F"))
     return rows.select("doc_id", F.concat(F.lit("Form\nPAN "), number, F.lit("\nName : JANE DOE\nAddress: 1 Main Road\nAssessment Year: 2024 - 25\n")).alias("text"))
+
+
+def mixed_statements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, table cells and placed words of documents of four kinds (doc_id % 4), each best read in one way.
+
+    0: ruled tables; 1: aligned text, besides tables that lost their balances; 2: placed words; 3: lines.
+    """
+    rows = statement_rows(spark, sf_dir).withColumn("kind", F.col("doc_id") % 4)
+    amount, balance, cr = rupees(F.col("amount_c")), rupees(F.col("balance_c")), F.col("type") == "CR"
+    day, none, bar = F.date_format("date", "dd/MM/yyyy"), F.lit(""), F.lit("   ")
+    left, right = F.when(cr, "-").otherwise(amount), F.when(cr, amount).otherwise("-")
+    opened = rupees(F.lit(fixtures.OPENING_C + LIFT_C))
+
+    said = F.when(F.col("kind") == 1, F.concat(day, bar, "desc", bar, left, bar, right, bar, balance)).otherwise(F.concat_ws(" ", day, "desc", amount, balance))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("row_no", said.alias("line")))), lambda x: x["line"])
+    typed = rows.where("kind in (1, 3)").groupBy("doc_id", "kind").agg(F.array_join(lines, "\n").alias("body"))
+    head = F.when(F.col("kind") == 1, F.lit("Aligned Bank account\nTxn Date   Narration   Debit   Credit   Balance")).otherwise(F.concat(F.lit("Line Bank account\nOpening Balance "), opened))
+    pages = typed.select("doc_id", F.lit(1).alias("page_no"), F.concat_ws("\n", head, "body").alias("text"))
+    bare = rows.where("kind in (0, 2)").select("doc_id", "kind").distinct()
+    title = F.when(F.col("kind") == 0, "Ruled Bank account").otherwise("Placed Bank account")
+    pages = pages.unionByName(bare.select("doc_id", F.lit(1).alias("page_no"), title.alias("text")))
+
+    body = F.when(F.col("kind") == 0, F.array(day, F.col("desc"), left, right, balance)).otherwise(F.array(day, F.col("desc"), left, right, none))
+    cells = rows.where("kind in (0, 1)").select("doc_id", (F.col("row_no") + 1).alias("row_no"), body.alias("cells"))
+    names = F.array(*[F.lit(x) for x in ("Date", "Narration", "Withdrawals", "Deposits", "Balance")])
+    cells = cells.unionByName(rows.where("kind in (0, 1)").select("doc_id").distinct().select("doc_id", F.lit(1).cast("long").alias("row_no"), names.alias("cells")))
+
+    w = lambda text, x0, x1: F.struct(text.alias("text"), F.lit(x0).alias("x0"), F.lit(x1).alias("x1"))
+    at = F.array(w(day, 10, 60), w(F.lit("Ref"), 100, 118), w(F.col("desc"), 122, 180), w(F.concat_ws(" ", amount, "type"), 220, 270), w(balance, 300, 360))
+    words = rows.where("kind = 2").select("doc_id", F.floor(F.col("row_no") / 20).alias("page_no"), ((F.col("row_no") % 20 + 2) * 12).alias("top"), F.inline(at))
+    named = F.array(w(F.lit("Date"), 10, 60), w(F.lit("Narration"), 100, 180), w(F.lit("Amount"), 220, 270), w(F.lit("Balance"), 300, 360))
+    heads = rows.where("kind = 2").select("doc_id").distinct().select("doc_id", F.lit(0).cast("long").alias("page_no"), F.lit(0).cast("long").alias("top"), F.inline(named))
+    return pages, cells, words.unionByName(heads)
+
+
+def footer_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tables with serial numbers that lack every seventh row, and the lines of their pages, which have all of them."""
+    rows = statement_rows(spark, sf_dir)
+    amount, balance, cr = rupees(F.col("amount_c")), rupees(F.col("balance_c")), F.col("type") == "CR"
+    day, serial, none = F.date_format("date", "d MMM yyyy"), F.col("row_no").cast("string"), F.lit("")
+    body = F.array(serial, day, F.col("desc"), none, F.when(cr, none).otherwise(amount), F.when(cr, amount).otherwise(none), balance)
+    cells = rows.where("row_no % 7 != 0").select("doc_id", (F.col("row_no") + 1).alias("row_no"), body.alias("cells"))
+    names = F.array(*[F.lit(x) for x in ("Sr No", "Txn Date", "Narration", "Chq No", "Withdrawal (Dr.)", "Deposit (Cr.)", "Balance")])
+    cells = cells.unionByName(rows.select("doc_id").distinct().select("doc_id", F.lit(1).cast("long").alias("row_no"), names.alias("cells")))
+    said = F.array(F.concat_ws(" ", serial, day, "desc"), F.concat_ws(" ", amount, balance), F.concat(F.lit("Page "), serial, F.lit(" of 9")))
+    lines = rows.select("doc_id", "row_no", F.posexplode(said).alias("k", "line"))
+    return cells, lines.select("doc_id", (F.col("row_no") * 10 + F.col("k")).alias("line_no"), "line")
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's accounts as uploads: each once, every third once more in another order, every seventh with one amount changed."""
+    rows = fixtures.ledger(spark, sf_dir).select("account_id", "row_no", "date", "desc", "type", "amount_c", "balance_c")
+    one = rows.withColumn("upload_id", F.col("account_id") * 10 + 1)
+    again = rows.where("account_id % 3 = 0").withColumn("upload_id", F.col("account_id") * 10 + 2).withColumn("row_no", -F.col("row_no"))
+    changed = rows.where("account_id % 7 = 0").withColumn("upload_id", F.col("account_id") * 10 + 3).withColumn("amount_c", F.col("amount_c") + F.when(F.col("row_no") == 1, 1).otherwise(0))
+    return one.unionByName(again).unionByName(changed)

@@ -246,3 +246,62 @@ def opening_balances(rows: DataFrame) -> DataFrame:
     known = F.filter(F.transform("cells", parse_amount_c), lambda c: c > 0)
     found = said.withColumn("opening_c", F.get(known, F.lit(0))).where("opening_c is not null")
     return found.groupBy("doc_id").agg(F.min_by("opening_c", "row_no").alias("opening_c"))
+
+
+#: A line of text that is a table row of its own: serial number, date, the rest.
+SERIAL_LINE = r"^(\d+)\s+(\d{1,2}\s+[A-Za-z]{3}\s+\d{4})\s+(.+)$"
+PAGE_LINE = r"(?i)page\s+\d+\s+of\s+\d+"
+
+
+def serial_of(cells: Column) -> Column:
+    """The serial number in a row's first cell, if it is one."""
+    return F.trim(F.coalesce(F.get(cells, F.lit(0)), F.lit(""))).try_cast("long")
+
+
+def footer_rows(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows that page ends swallowed, from the text of the pages: doc_id, serial, and seven cells.
+
+    A text line with a serial number that no table row has begins a lost row; the lines after it up to the next such line
+    go on with it, page numbers left out. Its last amount is the balance and the one before what moved it.
+    """
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    said = lines.withColumn("line", F.trim("line")).where((F.col("line") != "") & ~F.col("line").rlike(PAGE_LINE))
+    said = said.withColumn("serial", F.when(F.col("line").rlike(SERIAL_LINE), F.regexp_extract("line", SERIAL_LINE, 1).try_cast("long")))
+    said = said.withColumn("group", F.count("serial").over(order)).where("group > 0")
+    more = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    each = said.groupBy("doc_id", "group").agg(F.max("serial").alias("serial"), more.alias("lines"))
+    seen = rows.select("doc_id", serial_of(F.col("cells")).alias("serial")).where("serial is not null").distinct()
+    lost = each.join(seen, ["doc_id", "serial"], "left_anti")
+    first = F.element_at("lines", 1)
+    rest = F.substring(F.array_join(F.concat(F.array(F.regexp_extract(first, SERIAL_LINE, 3)), F.slice("lines", 2, 1 << 20)), " "), 1, 300)
+    lost = lost.withColumns({"rest": rest, "date": F.regexp_extract(first, SERIAL_LINE, 2)}).withColumn("amounts", F.regexp_extract_all("rest", F.lit(r"[\d,]+\.\d{2}"), F.lit(0)))
+    amount = lambda k: F.coalesce(F.get("amounts", F.size("amounts") - k), F.lit(""))
+    until = F.call_function("locate", F.get("amounts", F.lit(0)), F.col("rest"))
+    words = F.trim(F.when(F.size("amounts") > 0, F.substring(F.col("rest"), F.lit(1), until - 1)).otherwise(F.col("rest")))
+    empty = F.lit("")
+    one = lost.groupBy("doc_id", "serial").agg(F.min_by(F.struct("date", words.alias("words"), amount(2).alias("moved"), amount(1).alias("balance")), "group").alias("r"))
+    return one.select("doc_id", "serial", F.array(F.col("serial").cast("string"), F.col("r.date"), F.col("r.words"), empty, F.col("r.moved"), empty, F.col("r.balance")).alias("cells"))
+
+
+def with_footer_rows(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """The table's rows with those lost to page ends, in the order of their serial numbers."""
+    here = Window.partitionBy("doc_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.select("doc_id", F.last(serial_of(F.col("cells")), ignorenulls=True).over(here).alias("serial"), F.col("row_no").alias("at"), "cells")
+    every = placed.unionByName(footer_rows(rows, lines).withColumn("at", F.lit(0).cast("long")))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("serial").asc_nulls_first(), "at"))
+    return every.select("doc_id", place.cast("long").alias("row_no"), "cells")
+
+
+def missing_serials(rows: DataFrame) -> DataFrame:
+    """doc_id, serial of the numbers that no row has, between the first and the last of each document."""
+    seen = rows.select("doc_id", serial_of(F.col("cells")).alias("serial")).where("serial is not null").distinct()
+    ends = seen.groupBy("doc_id").agg(F.min("serial").alias("first"), F.max("serial").alias("last"))
+    expected = ends.select("doc_id", F.explode(F.sequence("first", "last")).alias("serial"))
+    return expected.join(seen, ["doc_id", "serial"], "left_anti")
+
+
+def turned_by_balance(found: DataFrame) -> DataFrame:
+    """Directions as the change of the balance shows them, where it agrees with the amount; the first row's as read."""
+    delta = F.col("balance_c") - F.lag("balance_c").over(Window.partitionBy("doc_id").orderBy("row_no"))
+    near = lambda x: F.abs(x) <= F.greatest(F.lit(100), F.round(F.col("amount_c") / 100))
+    return found.withColumn("type", F.when(near(delta - F.col("amount_c")), "CR").when(near(delta + F.col("amount_c")), "DR").otherwise(F.col("type")))
