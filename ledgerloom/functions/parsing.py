@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ DATE_LAYOUTS = [
 ]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often `body` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def titled(text: Column) -> Column:
     """Month names in title case, the only case that date formats know."""
     return F.concat(F.regexp_extract(text, r"^([^A-Za-z]*)", 1), F.initcap(F.regexp_extract(text, r"([A-Za-z]+)", 1)), F.regexp_extract(text, r"[A-Za-z]([^A-Za-z]*)$", 1))
@@ -24,13 +31,15 @@ def titled(text: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """The first layout that is found and is a date of 2000 to 2035; else null."""
-    tried = []
-    for layout, formats in DATE_LAYOUTS:
-        found = F.regexp_replace(F.regexp_extract(text, layout, 1), r"\s+", " ")
-        for form in formats:
-            day = F.try_to_timestamp(titled(found) if "MMM" in form else found, F.lit(form))
-            tried.append(F.when((found != "") & F.year(day).between(2000, 2035), day.cast("date")))
-    return F.coalesce(*tried)
+
+    printed = lambda text, layout: F.regexp_replace(F.regexp_extract(text, layout, 1), r"\s+", " ")
+    dated = lambda day: F.when(F.year(day).between(2000, 2035), day.cast("date"))
+
+    def reading(formats: list[str]) -> Callable[[Column], Column]:
+        days = lambda found: [F.try_to_timestamp(titled(found) if "MMM" in form else found, F.lit(form)) for form in formats]
+        return lambda found: F.when(found != "", F.coalesce(*[let(day, dated) for day in days(found)]))
+
+    return let(text, lambda t: F.coalesce(*[let(printed(t, layout), reading(formats)) for layout, formats in DATE_LAYOUTS]))
 
 
 def parse_amount_c(text: Column) -> Column:

@@ -54,7 +54,7 @@ def role_of(cell: Column) -> Column:
 def columns_by_header(rows: DataFrame) -> DataFrame:
     """Per document, the first row that names a date and an amount column: header_no and a column number (from 0) per role."""
     likely = rows.where(F.lower(F.array_join("cells", " ")).rlike(r"date|txn dt") & (F.size("cells") >= 3))
-    cells = likely.select("doc_id", "row_no", F.posexplode("cells").alias("at", "cell")).withColumn("role", role_of(plain(F.col("cell"))))
+    cells = likely.select("doc_id", "row_no", F.posexplode("cells").alias("at", "cell")).withColumn("cell", plain(F.col("cell"))).withColumn("role", role_of(F.col("cell")))
     of = cells.groupBy("doc_id", "row_no").agg(*[F.min(F.when(F.col("role") == r, F.col("at"))).alias(r) for r in ROLE_WORDS])
     sound = of.where("date is not null and (debit is not null or credit is not null or amount is not null)")
     return sound.groupBy("doc_id").agg(F.min("row_no").alias("header_no"), *[F.min_by(r, "row_no").alias(r) for r in ROLE_WORDS])
@@ -96,19 +96,23 @@ def generic(rows: DataFrame) -> DataFrame:
     text = F.lower(F.array_join("cells", " "))
     body = rows.join(found.select("doc_id", F.struct(*[c for c in found.columns if c != "doc_id"]).alias("c")), "doc_id")
     body = body.where((F.col("row_no") > F.col("c.header_no")) & ~text.rlike("|".join(FOOTERS)))
-    single = cell("amount")
-    signed_debit = single.rlike(r"^\(|^-|(?i:dr)\.?$") | ~single.rlike(r"(?i:cr)\.?$")
-    two, one = F.col("c.debit").isNotNull() & F.col("c.credit").isNotNull(), F.col("c.amount").isNotNull()
+    # each step names what later ones use more than once, so that nothing is parsed twice
     mapped = F.array_compact(F.array(*[F.col(f"c.{r}") for r in ROLE_WORDS]))
     others = F.filter(F.transform("cells", lambda x, i: F.when(~F.array_contains(mapped, i), F.trim(x))), lambda x: F.coalesce(x != "", F.lit(False)))
-    numbers = F.filter(F.transform(others, parse_amount_c), lambda n: n > 0)
-    loose = lambda k: F.coalesce(F.get(numbers, F.lit(k)), F.lit(0))
-    debit = F.when(two, parse_amount_c(cell("debit"))).when(~one, loose(0)).when(signed_debit, parse_amount_c(single)).otherwise(F.lit(0))
-    credit = F.when(two, parse_amount_c(cell("credit"))).when(~one, loose(1)).when(signed_debit, F.lit(0)).otherwise(parse_amount_c(single))
+    read = F.transform(others, lambda x: F.struct(x.alias("text"), parse_amount_c(x).alias("amount"), parse_date(x).alias("date")))
+    body = body.withColumns({"single": cell("amount"), "left": parse_amount_c(cell("debit")), "right": parse_amount_c(cell("credit")), "others": read, "own_date": parse_date(cell("date"))})
+    body = body.withColumns({"numbers": F.filter(F.transform("others", lambda o: o["amount"]), lambda n: n > 0), "single_c": parse_amount_c(F.col("single"))})
+    single = F.col("single")
+    signed_debit = single.rlike(r"^\(|^-|(?i:dr)\.?$") | ~single.rlike(r"(?i:cr)\.?$")
+    two, one = F.col("c.debit").isNotNull() & F.col("c.credit").isNotNull(), F.col("c.amount").isNotNull()
+    loose = lambda k: F.coalesce(F.get("numbers", F.lit(k)), F.lit(0))
+    debit = F.when(two, F.col("left")).when(~one, loose(0)).when(signed_debit, F.col("single_c")).otherwise(F.lit(0))
+    credit = F.when(two, F.col("right")).when(~one, loose(1)).when(signed_debit, F.lit(0)).otherwise(F.col("single_c"))
     anywhere = F.get(F.filter(F.transform("cells", lambda x: parse_date(F.coalesce(x, F.lit("")))), lambda x: x.isNotNull()), F.lit(0))
-    said = F.array_join(F.filter(others, lambda x: (parse_amount_c(x) == 0) & parse_date(x).isNull() & ~x.rlike(r"^[A-Za-z0-9]{2,12}[-/]?\d{5,}$")), " ")
+    plain_text = F.filter("others", lambda o: (o["amount"] == 0) & o["date"].isNull() & ~o["text"].rlike(r"^[A-Za-z0-9]{2,12}[-/]?\d{5,}$"))
+    said = F.array_join(F.transform(plain_text, lambda o: o["text"]), " ")
     words = F.when(F.col("c.description").isNull() | (cell("description") == ""), said).otherwise(cell("description"))
-    body = body.withColumns({"date": F.coalesce(parse_date(cell("date")), anywhere), "debit_c": debit, "credit_c": credit, "words": words, "bal": parse_amount_c(cell("balance"))})
+    body = body.withColumns({"date": F.coalesce("own_date", anywhere), "debit_c": debit, "credit_c": credit, "words": words, "bal": parse_amount_c(cell("balance"))})
     start = F.col("date").isNotNull() & (F.greatest("debit_c", "credit_c") > 0)
     body = body.withColumn("starts", start).withColumn("group", F.count_if("starts").over(Window.partitionBy("doc_id").orderBy("row_no"))).where("group > 0")
     # what goes on with a narration has neither date nor amount and is no page of text
