@@ -282,27 +282,27 @@ def latest_hundred(spark, d):
 
 
 def sql_summary(spark, d):
-    query = ask.SafeQuery(spark, ask.view(fixtures.noisy_ledger(spark, d)))
-    return query.run(
-        "SELECT count(*) AS txns, round(sum(CASE WHEN type = 'CR' THEN amount ELSE 0 END)) AS credits, round(sum(CASE WHEN type = 'DR' THEN amount ELSE 0 END)) AS debits, "
-        "min(date) AS first_date, max(date) AS last_date, min(balance) AS least, max(balance) AS most FROM transactions"
-    )
+    with ask.SafeQuery(spark, ask.view(fixtures.noisy_ledger(spark, d))) as query:
+        return query.run(
+            "SELECT count(*) AS txns, round(sum(CASE WHEN type = 'CR' THEN amount ELSE 0 END)) AS credits, round(sum(CASE WHEN type = 'DR' THEN amount ELSE 0 END)) AS debits, "
+            "min(date) AS first_date, max(date) AS last_date, min(balance) AS least, max(balance) AS most FROM transactions"
+        )
 
 
 def sql_anomalies(spark, d):
-    query = ask.SafeQuery(spark, ask.view(fixtures.noisy_ledger(spark, d)))
-    return query.run(
-        "SELECT count_if(type IS NULL OR type = '') AS missing_type, count_if(amount = 0) AS zero_amount, count_if(balance < 0) AS negative_balance FROM transactions"
-    )
+    with ask.SafeQuery(spark, ask.view(fixtures.noisy_ledger(spark, d))) as query:
+        return query.run(
+            "SELECT count_if(type IS NULL OR type = '') AS missing_type, count_if(amount = 0) AS zero_amount, count_if(balance < 0) AS negative_balance FROM transactions"
+        )
 
 
 def sql_bridged(spark, d):
     """A question in another dialect: LIKE without case, strftime, a division by zero."""
-    query = ask.SafeQuery(spark, ask.view(fixtures.ledger(spark, d)), limit=None)
-    return query.run(
-        "SELECT strftime('%Y-%m', date) AS month, count(*) AS txns, round(sum(amount)) AS total, sum(amount) / (count(*) - count(*)) AS share "
-        "FROM transactions WHERE desc LIKE 'upi/%' OR desc LIKE '%SALARY%' GROUP BY 1"
-    )
+    with ask.SafeQuery(spark, ask.view(fixtures.ledger(spark, d)), limit=None) as query:
+        return query.run(
+            "SELECT strftime('%Y-%m', date) AS month, count(*) AS txns, round(sum(amount)) AS total, sum(amount) / (count(*) - count(*)) AS share "
+            "FROM transactions WHERE desc LIKE 'upi/%' OR desc LIKE '%SALARY%' GROUP BY 1"
+        )
 
 
 def accounts_rollup(spark, d):

@@ -11,6 +11,8 @@ def test_safe_query(spark):
     from ledgerloom.sources import fixtures
 
     spark.range(3).createOrReplaceTempView("transactions")
+    spark.range(1).createOrReplaceTempView("secret")
+    spark.range(1).createOrReplaceGlobalTempView("secret")
     q = ask.SafeQuery(spark, ask.view(fixtures.noisy_ledger(spark, "/root/testdata/sf0.001")))
     assert q.run("select * from transactions").count() == 50
     assert ask.SafeQuery(spark, ask.view(fixtures.noisy_ledger(spark, "/root/testdata/sf0.001")), limit=None).run("select * from transactions").count() == 1500
@@ -22,10 +24,27 @@ def test_safe_query(spark):
         "select count(*) from parquet.`/root/testdata/sf0.001/orders.parquet`", "select reflect('java.lang.System', 'getProperty', 'user.home')",
         "select java_method('java.lang.System', 'getProperty', 'user.home')", "select * from range(5)", "select (select count(*) from other) from transactions",
         "with t as (select * from csv.`/etc/passwd`) select * from t", "select * from transactions, lateral explode(array(1)) as x", "select current_user() from transactions",
-        "select /*+ broadcast(transactions) */ * from transactions", "select input_file_name() from transactions", f"select * from {q.view}",
+        "select /*+ broadcast(transactions) */ * from transactions", "select input_file_name() from transactions",
+        "SELECT `reflect`('java.lang.System','getProperty','user.home') FROM transactions", "select `java_method`('java.lang.System', 'getProperty', 'user.home') from transactions",
+        "SELECT a.* FROM secret a, (WITH secret AS (SELECT 1 AS one) SELECT one FROM secret) b", "select * from (select * from (select * from secret))",
+        "with t as (with u as (select `reflect`('a', 'b')) select * from u) select * from t", "select * from transactions where id in (select id from secret)",
+        "select * from transactions order by `input_file_name`()", "select sum(amount) over (order by `uuid`()) from transactions", "select * from global_temp.secret",
+        "select * from transactions t where exists (select 1 from json.`/etc/hosts`)", "create view v as select 1", "select transform(array(1), x -> x) from transactions",
     ):
         assert "error" in q.run(bad), bad
-    assert spark.table("transactions").count() == 3
+    for good in (
+        "select `count`(*) n, t.type, max(substr(desc, 1, 3)) from transactions t group by t.type having count(*) > 1 order by 1 desc",
+        "select date, sum(amount) over (partition by type order by id rows between 2 preceding and current row) s, rank() over (order by amount desc) r from transactions",
+        "with a as (with b as (select id, amount from transactions) select * from b where amount between 1 and 1e9) select avg(amount), stddev(amount) from a union all select 1, 2",
+        "select a.id from transactions a left join transactions b on a.id = b.id + 1 where b.id is null intersect select id from transactions",
+        "select coalesce(nullif(type, 'CR'), 'x'), case when amount > 5 then round(amount) else amount end, extract(year from to_date(date)), cast(id as string) from transactions",
+        "select strftime('%Y', date(date)) y, amount / (((id - id))) z, upper(trim(desc)) || '!' from transactions where desc like '%upi%' and date > '1990-01-01'",
+    ):
+        found = q.run(good)
+        assert not isinstance(found, dict), (good, found)
+        found.collect()
+    assert q.run("select max(amount / (((id - id)))) as z from transactions").first().z is None
+    assert spark.table("transactions").count() == 3 and spark.table("secret").count() == 1
     q.close()
     assert "error" in q.run("select * from transactions")
 
