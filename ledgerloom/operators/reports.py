@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify
 from ledgerloom.functions import rules as R
 from ledgerloom.operators import joins
 from ledgerloom.operators.balances import audit_mismatches, end_of_day
-from ledgerloom.operators.engine import engine, months, ratio, total
+from ledgerloom.operators.engine import CLASSES, engine, months, ratio, total
 
 
 def top(rows: DataFrame, k: int, by: str, name: str) -> DataFrame:
@@ -282,3 +282,46 @@ def totals(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("txns"), F.count_distinct("account_id").alias("accounts"), total(F.col("flow") == "CR").alias("cr_c"), total(F.col("flow") == "DR").alias("dr_c"),
         total(F.col("credit_class").isin(R.TAXABLE)).alias("real_c"), total(F.col("credit_class") == "loan_disbursal").alias("loans_c"), total(F.col("credit_class") == "family_transfer").alias("family_c"),
     )
+
+
+def income_breakdown(rows: DataFrame) -> DataFrame:
+    """account_id, credit_class, amount (whole rupees), share_bp (hundredths of a per cent) of each class of income above zero.
+
+    Amounts add up to the account's income in whole rupees: what rounding gains or loses goes to the largest class. Shares add
+    up to 10,000: each is rounded down, and those that lost most get one more. Ties go to the first class in `TAXABLE`.
+    """
+    place = F.array_position(F.array(*[F.lit(c) for c in R.TAXABLE]), F.col("credit_class"))
+    of = rows.where(F.col("credit_class").isin(R.TAXABLE)).groupBy("account_id", "credit_class").agg(F.sum("amount_c").alias("c")).where("c > 0").withColumn("place", place)
+    account = Window.partitionBy("account_id")
+    whole = F.sum("c").over(account)
+    rounded = lambda c: F.call_function("div", c + 50, F.lit(100).cast("long"))
+    of = of.withColumns({"rupees": rounded(F.col("c")), "all_c": whole}).withColumns(
+        {
+            "drift": rounded(F.col("all_c")) - F.sum("rupees").over(account),
+            "largest": F.row_number().over(account.orderBy(F.desc("c"), "place")),
+            "floor_bp": F.call_function("div", F.col("c") * 10_000, F.col("all_c")),
+            "rest": (F.col("c") * 10_000) % F.col("all_c"),
+        }
+    )
+    of = of.withColumns({"lacking": 10_000 - F.sum("floor_bp").over(account), "turn": F.row_number().over(account.orderBy(F.desc("rest"), "place"))})
+    amount = F.col("rupees") + F.when(F.col("largest") == 1, F.col("drift")).otherwise(0)
+    return of.select("account_id", "credit_class", amount.alias("amount"), (F.col("floor_bp") + F.when(F.col("turn") <= F.col("lacking"), 1).otherwise(0)).alias("share_bp"))
+
+
+def consistency(e: DataFrame) -> DataFrame:
+    """account_id, errors, warnings (lists of names) of the engine's figures."""
+    classes = sum((F.col(f"{c}_c") for c in CLASSES if c != "non_income"), F.lit(0))
+    errors = [(~F.col("foir").between(0, 200), "foir"), (~F.col("loan_dep_pct").between(0, 100), "loan_dependency"), (F.col("loan_eligible_c") < 0, "eligible"), (F.col("remaining_emi_c") < 0, "capacity")]
+    warnings = [
+        (F.abs(F.col("emi_c") / F.col("n_months") - F.col("monthly_emi_c")) > 5_000, "emi"), ((F.col("total_cr_c") > 0) & (F.col("total_dr_c") > 0) & (classes * 100 > F.col("total_cr_c") * 105), "classes"),
+        (F.col("txns") < 3, "few rows"), (F.col("balances") < F.col("txns"), "balances"),
+    ]
+    named = lambda checks: F.array_compact(F.array(*[F.when(c, F.lit(k)) for c, k in checks]))
+    return e.select("account_id", named(errors).alias("errors"), named(warnings).alias("warnings"))
+
+
+def observed(checked: DataFrame) -> tuple[DataFrame, Observation]:
+    """The frame of `consistency`, and how many accounts it had, failed and warned, counted while it is written: no second pass."""
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("accounts"), F.count_if(F.size("errors") > 0).alias("failed"), F.count_if(F.size("warnings") > 0).alias("warned")]
+    return checked.observe(seen, *counts), seen

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import classify, parsing, rules
-from ledgerloom.operators import ask, balances, consolidate, engine, gst, joins, lineage, reports, several, uploads
+from ledgerloom.operators import ask, balances, consolidate, engine, gst, joins, lineage, reports, several, uploads, versions
 from ledgerloom.sources import bundles, fixtures, invoices as sheets, printed, statements, strategies, tables, tax_forms
 from ledgerloom.streaming import limits
 
@@ -248,10 +248,17 @@ def dashboard_totals(spark, d):
     return reports.totals(enriched(spark, d))
 
 
+#: One amount of each report that is added up to check it.
+DASHBOARD_SUMS = {
+    "engine": "total_cr_c", "monthly_summary": "income_c", "expense": "total_c", "merchants": "total_c", "lenders": "total_c", "destinations": "total_c", "balance_kpis": "month_end_c",
+}
+
+
 def dashboard_rows(spark, d):
-    """How many rows each report of the dashboard has for an account whose ledger is empty: none, and every report is there."""
-    frames = reports.dashboard(enriched(spark, d).where("account_id < 0"))
-    return reduce(DataFrame.unionByName, [f.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("report"), "rows") for name, f in frames.items()])
+    """Every report of the dashboard over the whole ledger: its rows, and the sum of one of its amounts where it has one."""
+    frames = reports.dashboard(enriched(spark, d))
+    total = lambda name, f: F.coalesce(F.sum(DASHBOARD_SUMS[name]), F.lit(0)).cast("long") if name in DASHBOARD_SUMS else F.lit(None).cast("long")
+    return reduce(DataFrame.unionByName, [f.agg(F.count(F.lit(1)).alias("rows"), total(name, f).alias("total_c")).select(F.lit(name).alias("report"), "rows", "total_c") for name, f in frames.items()])
 
 
 def credit_position(spark, d):
@@ -631,7 +638,34 @@ def several_statements(spark, d):
     return several.figures(enriched(spark, d), F.col("account_id") % 50).select(*ENGINE_COLUMNS)
 
 
+def tax_credit_tables(spark, d):
+    return tax_forms.credit_table_entries(printed.credit_tables(spark, d))
+
+
+def information_table_entries(spark, d):
+    return tax_forms.information_table_entries(printed.information_tables(spark, d))
+
+
+def income_breakdown(spark, d):
+    return reports.income_breakdown(enriched(spark, d))
+
+
+def consistency_warnings(spark, d):
+    """Errors and warnings of every account's figures, where balances are missing and amounts misread."""
+    e = engine.engine(classify.enriched(fixtures.noisy_ledger(spark, d)))
+    return reports.consistency(e).select("account_id", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
+
+
+def ledger_versions(spark, d):
+    """Rows that came, went and stayed between the ledger and its noisy reading, in which every eleventh row stands twice."""
+    noisy = fixtures.noisy_ledger(spark, d)
+    columns = ["account_id", "date", "desc", "type", "amount_c", "balance_c"]
+    found = versions.differences(fixtures.ledger(spark, d), noisy.unionByName(noisy.where("txn_id % 11 = 0")), columns)
+    return versions.summary(found, "account_id")
+
+
 NAMES = [
+    tax_credit_tables, information_table_entries, income_breakdown, consistency_warnings, ledger_versions,
     bundled_transactions, strategy_transactions, remembered_strategies, footer_transactions, serials_missing, rate_limits_streamed, distinct_uploads, counted_once, several_statements,
     search_last_page, search_totals, latest_by_date, first_high_values, ranked_modes, ranked_categories, negative_days, flag_severities, health_grades, compliance_narratives,
     newest_first_filled, word_cells, dashboard_totals, dashboard_rows, credit_position, monthly_return, bank_gap, sql_bridged,

@@ -462,8 +462,6 @@ SQL |= {
         SELECT *, CAST(row_number() OVER (PARTITION BY account_id ORDER BY total_c DESC, destination) AS INTEGER) AS rank FROM a QUALIFY rank <= 10""",
     "dashboard_totals": f"""WITH {ENR} SELECT count(*) AS txns, count(DISTINCT account_id) AS accounts, {_sum("flow = 'CR'")} AS cr_c, {_sum("flow = 'DR'")} AS dr_c,
         {_sum("credit_class IN ('salary', 'business', 'interest', 'dividend', 'rental')")} AS real_c, {_sum("credit_class = 'loan_disbursal'")} AS loans_c, {_sum("credit_class = 'family_transfer'")} AS family_c FROM enr""",
-    "dashboard_rows": """SELECT unnest(['engine', 'monthly_summary', 'income', 'expense', 'merchants', 'cashflow', 'compliance', 'itr', 'obligations', 'emi_months', 'lenders', 'destinations', 'audit', 'gstr1',
-        'payment_modes', 'red_flags', 'balance_kpis', 'negative_days']) AS report, 0::BIGINT AS rows""",
     "credit_position": f"""WITH {RECON}, cst AS (SELECT invoice_no AS statement_no, itc_c AS s_itc FROM invd), t AS (SELECT count(statement_no) AS statement_rows, count(*) FILTER (status = 'Matched') AS matched,
         count(*) FILTER (status = 'GSTIN Mismatch') AS gstin_mismatches, CAST(coalesce(sum(s_itc), 0) AS BIGINT) AS statement_itc_c, CAST(coalesce(sum(claim_c) FILTER (status = 'Matched'), 0) AS BIGINT) AS matched_itc_c,
         CAST(coalesce(sum(abs(itc_diff_c)) FILTER (status = 'Amount Mismatch'), 0) AS BIGINT) AS mismatch_loss_c, CAST(coalesce(sum(s_itc) FILTER (status = 'GSTIN Mismatch'), 0) AS BIGINT) AS blocked_c,
@@ -492,7 +490,7 @@ u0 AS (SELECT account_id * 10 + 1 AS upload_id, date, "desc", type, amount_c, ba
 uh AS (SELECT upload_id, type, amount_c, md5('=' || date || '|=' || "desc" || '|=' || type || '|=' || amount_c || '|=' || balance_c) AS h FROM u0),
 up AS (SELECT upload_id, h[1:2] AS part, md5(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM uh GROUP BY ALL),
 ud AS (SELECT upload_id, md5(string_agg(h, '' ORDER BY part)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM up GROUP BY ALL)"""
-_TOGETHER = LED.replace("led AS (", "each_led AS (", 1).replace("FROM led0 WINDOW", "FROM led0 WINDOW") + """,
+_TOGETHER = LED.replace("led AS (", "each_led AS (", 1) + """,
 led AS (SELECT CAST(account_id AS VARCHAR) AS account_id, txn_id, date, "desc", type, amount_c, row_no, balance_c FROM each_led
         UNION ALL SELECT 'together ' || (account_id % 50), txn_id, date, "desc", type, amount_c, row_number() OVER (PARTITION BY account_id % 50 ORDER BY account_id, row_no), balance_c FROM each_led)"""
 SQL |= {
@@ -510,6 +508,43 @@ SQL |= {
     "several_statements": SQL["engine_kpis"].replace(LED, _TOGETHER),
 }
 
+_REPORTS = {
+    "engine": ("engine_kpis", "total_cr_c"), "monthly_summary": ("monthly_summary", "income_c"), "income": ("income_sources", None), "expense": ("expense_categories", "total_c"),
+    "merchants": ("top_merchants", "total_c"), "cashflow": ("cash_flow", None), "compliance": ("compliance", None), "itr": ("tax_return", None), "obligations": ("obligations", None),
+    "emi_months": ("emi_months", None), "lenders": ("lenders", "total_c"), "destinations": ("destinations", "total_c"), "gstr1": ("supplies", None), "payment_modes": ("payment_modes", None),
+    "balance_kpis": ("balance_kpis", "month_end_c"), "negative_days": ("negative_days", None),
+}
+_CUSTOMER = "c0 AS (SELECT c_custkey AS doc_id, CAST(abs(round(c_acctbal * 100)) AS BIGINT) + 1 AS a, c_custkey * 10 + 5 AS k FROM customer)"
+_NOISY_LED = NOISY.replace("led AS (", "clean AS (", 1).replace("FROM led)", "FROM clean)") + ", led AS (SELECT * FROM noisy)"
+SQL |= {
+    "dashboard_rows": " UNION ALL ".join(
+        f"SELECT '{report}' AS report, count(*) AS rows, {f'CAST(coalesce(sum({column}), 0) AS BIGINT)' if column else 'CAST(NULL AS BIGINT)'} AS total_c FROM ({SQL[name]})" for report, (name, column) in _REPORTS.items()
+    ) + " UNION ALL " + " UNION ALL ".join(f"SELECT '{r}', count(DISTINCT o_custkey), NULL FROM orders" for r in ("audit", "red_flags")),
+    "tax_credit_tables": f"""WITH {_CUSTOMER}, t(table_no, row_no, part, kind, reported_by, tan, section, p, d, e, date) AS (VALUES
+        (0, 1, 'A', 'total', 'Acme salary office', 'ABCD12345E', '192', 'a', 'k', 'k', ''), (0, 2, 'A', 'payment', 'Acme salary office', 'ABCD12345E', '192', 'k', 'k', '', '05-06-2024'),
+        (0, 3, 'A', 'payment', 'Acme salary office', 'ABCD12345E', '192', 'k', '', '', '05-07-2024'), (0, 4, 'A', 'total', 'Globex professional', 'WXYZ54321K', '194J', 'k', 'k', '', ''),
+        (0, 5, 'A', 'payment', 'Globex professional', 'WXYZ54321K', '194J', 'a', '', '', '01/02/2024'), (2, 2, 'C', 'total', 'Motor dealers', 'MOTO11111D', '', 'a', 'k', '', ''))
+        SELECT doc_id, table_no, row_no, part, kind, reported_by, tan, section, CASE p WHEN 'a' THEN a WHEN 'k' THEN k ELSE 0 END AS paid_c, CASE d WHEN 'a' THEN a WHEN 'k' THEN k ELSE 0 END AS deducted_c,
+        CASE e WHEN 'a' THEN a WHEN 'k' THEN k ELSE 0 END AS deposited_c, date FROM c0, t""",
+    "information_table_entries": f"""WITH {_CUSTOMER}, t(table_no, row_no, section, reported_by, description, p, m, date) AS (VALUES
+        (0, 1, 'interest', '', 'before a source', 'k', '', '01-04-2024'), (0, 3, 'interest', 'First Bank', 'Savings account one', 'a', 'k', '02-04-2024'), (0, 4, 'interest', 'First Bank', 'Savings account two', 'k', '', ''),
+        (1, 1, 'dividend', '', 'Shares of acme', 'k', '', ''), (1, 3, 'dividend', 'Second Registrar', 'Shares of globex', 'a', '', ''), (2, 1, 'other_income', '', '', 'k', '', ''))
+        SELECT doc_id, table_no, row_no, section, reported_by, description, CASE p WHEN 'a' THEN a ELSE k END AS amount_c, CASE m WHEN 'k' THEN k ELSE 0 END AS modified_c, date FROM c0, t""",
+    "income_breakdown": f"""WITH {ENR}, o AS (SELECT account_id, credit_class, CAST(sum(amount_c) AS BIGINT) AS c, list_position(['salary', 'business', 'interest', 'dividend', 'rental'], credit_class) AS place FROM enr
+        WHERE credit_class IN ('salary', 'business', 'interest', 'dividend', 'rental') GROUP BY ALL HAVING sum(amount_c) > 0), s AS (SELECT account_id, CAST(sum(c) AS BIGINT) AS total, CAST(sum((c + 50) // 100) AS BIGINT) AS parts,
+        CAST(sum(c * 10000 // total1) AS BIGINT) AS floors FROM (SELECT *, CAST(sum(c) OVER (PARTITION BY account_id) AS BIGINT) AS total1 FROM o) GROUP BY ALL)
+        SELECT account_id, credit_class, CAST((c + 50) // 100 + CASE WHEN row_number() OVER (PARTITION BY account_id ORDER BY c DESC, place) = 1 THEN (total + 50) // 100 - parts ELSE 0 END AS BIGINT) AS amount,
+        CAST(c * 10000 // total + CASE WHEN row_number() OVER (PARTITION BY account_id ORDER BY (c * 10000) % total DESC, place) <= 10000 - floors THEN 1 ELSE 0 END AS BIGINT) AS share_bp FROM o JOIN s USING (account_id)""",
+    "consistency_warnings": f"""WITH {ENGINE.replace(LED, _NOISY_LED)}, sums AS (SELECT account_id, CAST(coalesce(sum(amount_c) FILTER (credit_class <> 'non_income'), 0) AS BIGINT) AS classes FROM enr GROUP BY ALL)
+        SELECT account_id, concat_ws(',', CASE WHEN foir NOT BETWEEN 0 AND 200 THEN 'foir' END, CASE WHEN dep NOT BETWEEN 0 AND 100 THEN 'loan_dependency' END, CASE WHEN loan_eligible_c < 0 THEN 'eligible' END,
+        CASE WHEN remaining_emi_c < 0 THEN 'capacity' END) AS errors, concat_ws(',', CASE WHEN abs(CAST(emi_c AS DOUBLE) / n_months - monthly_emi_c) > 5000 THEN 'emi' END,
+        CASE WHEN total_cr_c > 0 AND total_dr_c > 0 AND classes * 100 > total_cr_c * 105 THEN 'classes' END, CASE WHEN txns < 3 THEN 'few rows' END, CASE WHEN bn < txns THEN 'balances' END) AS warnings FROM kpi JOIN sums USING (account_id)""",
+    "ledger_versions": f"""WITH {NOISY}, n AS (SELECT account_id, date, "desc", type, amount_c, balance_c FROM noisy UNION ALL SELECT account_id, date, "desc", type, amount_c, balance_c FROM noisy WHERE txn_id % 11 = 0),
+        a AS (SELECT account_id, date, "desc", type, amount_c, balance_c, count(*) AS o, 0 AS n FROM led GROUP BY ALL UNION ALL SELECT *, 0, count(*) FROM n GROUP BY ALL),
+        d AS (SELECT account_id, date, "desc", type, amount_c, balance_c, sum(o) AS o, sum(n) AS n FROM a GROUP BY ALL)
+        SELECT account_id, CAST(sum(greatest(n - o, 0)) AS BIGINT) AS added, CAST(sum(greatest(o - n, 0)) AS BIGINT) AS removed, CAST(sum(least(o, n)) AS BIGINT) AS unchanged FROM d GROUP BY ALL""",
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -221,3 +221,34 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = rows.where("account_id % 3 = 0").withColumn("upload_id", F.col("account_id") * 10 + 2).withColumn("row_no", -F.col("row_no"))
     changed = rows.where("account_id % 7 = 0").withColumn("upload_id", F.col("account_id") * 10 + 3).withColumn("amount_c", F.col("amount_c") + F.when(F.col("row_no") == 1, 1).otherwise(0))
     return one.unionByName(again).unionByName(changed)
+
+
+def _tabled(rows: DataFrame, tables: list[list]) -> DataFrame:
+    every = [F.struct(F.lit(t).alias("table_no"), F.lit(k).alias("row_no"), F.array(*[c if not isinstance(c, str) else F.lit(c) for c in cells]).alias("cells")) for t, rows_ in enumerate(tables) for k, cells in enumerate(rows_)]
+    width = max(len(r) for t in tables for r in t)
+    every = [e.withField("cells", F.concat(e["cells"], F.array_repeat(F.lit(""), width - len(r)))) for e, r in zip(every, [r for t in tables for r in t])]
+    return rows.select("doc_id", F.inline(F.array(*every)))
+
+
+def credit_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of the tax credit statement: two deductors with payments, a part without tables of its own, a collector."""
+    rows = fixtures.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.abs(F.round(F.col("c_acctbal") * 100).cast("long")).alias("c"))
+    a, k = rupees(F.col("c") + 1), rupees(F.col("doc_id") * 10 + 5)
+    head = ["Sr. No.", "Name of Deductor", "TAN of Deductor", "Total Amount Paid", "Total TDS Deducted", "Total TDS Deposited"]
+    tables = [
+        [head, ["1", "Acme salary office", "ABCD12345E", a, k, k], ["1", "192", "05-06-2024", "", k, k], ["2", "192", "05-07-2024", "", k, "0.00"], ["2", "Globex professional", "WXYZ54321K", k, k, ""], ["1", "194J", "01/02/2024", "", a]],
+        [["PART B", "Details of tax for 15H"], ["1", "nobody counted here", "", k]],
+        [["Sr. No.", "Name of Collector", "TAN of Collector", "Total Amount Paid", "Tax Collected"], ["", "before any collector", "", k], ["1", "Motor dealers", "MOTO11111D", a, k]],
+    ]
+    return _tabled(rows, tables)
+
+
+def information_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.abs(F.round(F.col("c_acctbal") * 100).cast("long")).alias("c"))
+    a, k = rupees(F.col("c") + 1), rupees(F.col("doc_id") * 10 + 5)
+    tables = [
+        [["Interest from savings bank", "", "Amount"], ["before a source", "01-04-2024", k], ["Reported by: First bank", "", ""], ["Savings account one", "02-04-2024", a, k], ["Savings account two", "", k]],
+        [["Dividend", "", ""], ["Shares of acme", "", k], ["reported by Second registrar", "", ""], ["Shares of globex", "", a]],
+        [["Something else", "", ""], ["short", "", k]],
+    ]
+    return _tabled(rows, tables)
