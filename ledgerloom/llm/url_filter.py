@@ -1,9 +1,9 @@
 """URL verdicts from fixed rules and, where none fits, from a tree of path templates per host.
 
 Urls that a rule fits are the labelled ones. Paths are cut into segments whose digits and hex ids become wildcards at
-once; then the tree of each host grows level by level from its root, as deep as `LEAST_ROWS` urls of all hosts share
-the path so far: a segment that holds less than `RARE` of its node's urls joins the node's wildcard, whose branches are
-told apart further down. Leaves are the templates. Sibling templates whose labelled shares don't differ significantly are merged
+once; then the tree of each host grows from its root, as deep as `LEAST_ROWS` urls of all hosts share
+the path so far and no path has more than `MOST_STARS` wildcards: a segment that holds less than `RARE` of its node's
+urls joins the node's wildcard, whose branches are told apart further down. Leaves are the templates. Sibling templates whose labelled shares don't differ significantly are merged
 into their parent's common branch, those without labels among them.
 
 A template's purity is its blocked share of labelled urls, smoothed by `PRIOR` pseudo-urls at the share expected
@@ -19,7 +19,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import checkpointed
@@ -31,8 +31,8 @@ RARE = 1 / 32
 PRIOR = 8.0
 REJECT = 2 / 3
 SIGNIFICANT = 2.0
-#: Templates that a broadcast may hold; more are joined by a shuffle.
-MOST_BROADCAST = 500_000
+#: Wildcards of a template; what follows is one with the path before the next.
+MOST_STARS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -61,33 +61,51 @@ def segments(path: Column) -> Column:
 
 
 def grown(labelled: DataFrame) -> DataFrame:
-    """From host, shape (segments), n, allowed, blocked per distinct shape: the same with its template and parent.
+    """From shape_id, host, shape (segments), n, allowed, blocked per distinct shape: the same with its template and parent.
 
-    One round a level, of the shapes that are still to be divided; a leaf's template ends in `/**` if it stands for
-    deeper paths.
+    A shape is held as its steps, a row each; a step's node is the path up to it (two hashes of steps and places, so
+    that prefixes are neither written out nor grown one by one). A round counts all nodes at once, then fixes each path
+    up to its next wildcard: every path that may join a node has as many wildcards before it, so what is counted up to
+    there no longer changes. So there are as many rounds as wildcards in a row of steps that enough urls share, and
+    `MOST_STARS` at most, however deep paths are. A template ends in `/**` if it stands for deeper paths.
     """
-    done = None
-    open_ = labelled.withColumns({"template": F.lit(""), "parent": F.lit("")})
-    depth = 0
-    while True:
-        held = open_.groupBy("host", "template").agg(F.sum("n").alias("held"))
-        shared = checkpointed(held.groupBy("template").agg(F.sum("held").alias("shared")))
-        open_ = open_.join(held, ["host", "template"]).join(F.broadcast(shared) if shared.count() <= MOST_BROADCAST else shared, "template")
-        ends = F.size("shape") <= depth
-        leaf = ends | (F.col("shared") < LEAST_ROWS)
-        # "/." marks the node's own page, so that it isn't the parent of what lies below it
-        name = F.when(ends, F.concat("template", F.lit("/." if depth else ""))).otherwise(F.concat("template", F.lit("/**")))
-        leaves = open_.where(leaf).withColumns({"parent": F.when(ends, F.col("parent")).otherwise(F.col("template")), "template": name}).drop("held", "shared")
-        open_ = open_.where(~leaf).withColumn("part", F.get("shape", F.lit(depth)))
-        done = leaves if done is None else done.unionByName(leaves)
-        parts = open_.groupBy("host", "template", "part").agg(F.sum("n").alias("in_part"))
-        open_ = open_.join(parts, ["host", "template", "part"])
-        step = F.when(F.col("in_part") < RARE * F.col("held"), F.lit("/*")).otherwise(F.concat(F.lit("/"), "part"))
-        open_ = open_.withColumns({"parent": F.col("template"), "template": F.concat("template", step)}).drop("held", "shared", "part", "in_part")
-        open_ = checkpointed(open_)
-        if open_.isEmpty():
-            return checkpointed(done)
-        depth += 1
+    root = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    path, whole = Window.partitionBy("shape_id").orderBy("at"), Window.partitionBy("shape_id")
+    so_far = path.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    top = checkpointed(labelled.groupBy("host").agg(F.sum("n").alias("held")))
+    few = (top.agg(F.sum("held")).first()[0] or 0) < LEAST_ROWS
+    at, step, fixed, star = F.col("at"), F.col("step"), F.col("fixed"), F.col("star")
+
+    steps = labelled.select("shape_id", "host", "n", F.lit(0).alias("fixed"), F.posexplode("shape").alias("at", "step"))
+    for k in range(MOST_STARS + 1):
+        node = F.struct(*[F.bit_xor(F.xxhash64(F.lit(seed), at, step)).over(so_far).alias(name) for seed, name in enumerate("ab")])
+        nodes = steps.withColumn("node", node).withColumn("parent", F.coalesce(F.lag("node").over(path), root))
+        counts = nodes.groupBy("host", "parent", "node").agg(F.sum("n").alias("in_part"))
+        above = counts.select("host", F.col("node").alias("parent"), F.col("in_part").alias("held")).unionByName(top.select("host", root.alias("parent"), "held"))
+        shared = counts.groupBy("node").agg((F.sum("in_part") < LEAST_ROWS).alias("closed"))
+        decided = counts.join(above, ["host", "parent"]).join(shared, "node").select("host", "node", (F.col("in_part") < RARE * F.col("held")).alias("rare"), "closed")
+        found = nodes.join(decided, ["host", "node"])
+        found = found.withColumn("star", F.min(F.when((at >= fixed) & (F.col("rare") | (step == "*")), at)).over(whole))
+        closed = F.col("closed") & (at >= fixed - 1) & (star.isNull() | (at < star))
+        found = found.withColumn("cut", F.lit(0) if few else F.min(F.when(closed, at + 1)).over(whole))
+        open_ = F.col("cut").isNull() & star.isNotNull()
+        if k == MOST_STARS:
+            found = found.withColumn("cut", F.coalesce("cut", "star"))
+        found = checkpointed(found.select("shape_id", "host", "n", "at", "step", "fixed", "star", "cut"))
+        if k == MOST_STARS or found.where(open_).isEmpty():
+            break
+        moved = {"step": F.when(open_ & (at == star), F.lit("*")).otherwise(step), "fixed": F.when(open_, star + 1).otherwise(fixed)}
+        steps = found.withColumns(moved).drop("star", "cut")
+
+    taken = F.collect_list(F.when(F.col("cut").isNull() | (at < F.col("cut")), F.struct("at", "step")))
+    named = found.groupBy("shape_id").agg(F.transform(F.array_sort(taken), lambda s: s["step"]).alias("taken"), F.coalesce(F.max("at") < F.first("cut"), F.lit(True)).alias("ends"))
+    written = lambda steps: F.array_join(F.transform(steps, lambda s: F.concat(F.lit("/"), s)), "")
+    taken, ends = F.col("taken"), F.col("ends")
+    # "/." marks the node's own page, so that it isn't the parent of what lies below it
+    template = F.concat(written(taken), F.when(ends, F.lit("/.")).otherwise(F.lit("/**")))
+    parent = written(F.when(ends, F.slice(taken, 1, F.greatest(F.size(taken) - 1, F.lit(0)))).otherwise(taken))
+    named = named.select("shape_id", template.alias("template"), parent.alias("parent"))
+    return checkpointed(labelled.join(named, "shape_id", "left").fillna("", ["template", "parent"]))
 
 
 def template_tree(labelled: DataFrame) -> DataFrame:
@@ -124,6 +142,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     counted = rows.groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("action") == "allow").alias("allowed"), F.count_if(F.col("action") == "block").alias("blocked")
     )
-    judged = rows.join(template_tree(checkpointed(counted)), ["host", "shape"], "left")
+    counted = checkpointed(counted.withColumn("shape_id", F.monotonically_increasing_id()))
+    judged = rows.join(template_tree(counted), ["host", "shape"], "left")
     by_method = F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("action", by_method).alias("verdict"), "template", "purity")

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -48,7 +49,7 @@ def test_hosts_paths_and_rules(spark):
 def brute_tree(rows):
     """Template, merged and purity per (host, shape) from all rows' (host, shape, label), level by level."""
     at = [("", "") for _ in rows]
-    final, depth = [None] * len(rows), 0
+    final, depth, stars = [None] * len(rows), 0, [0] * len(rows)
     while any(x is None for x in final):
         count = lambda key: Counter(key(i) for i in range(len(rows)) if final[i] is None)
         held = count(lambda i: (rows[i][0], at[i][0]))
@@ -65,6 +66,9 @@ def brute_tree(rows):
                 final[i] = (node + "/**", node)
             else:
                 rare = part[host, node, shape[depth]] < held[host, node] / 32
+                stars[i] += rare or shape[depth] == "*"
+                if stars[i] > 8:
+                    final[i] = (node + "/**", node)
                 moved[i] = (node + ("/*" if rare else "/" + shape[depth]), node)
         at, depth = moved, depth + 1
     n = defaultdict(lambda: [0, 0])
@@ -122,6 +126,35 @@ def test_very_long_and_deep_urls(spark):
     assert len(got) == 3 and all(r.verdict == "allow" for r in got)
 
 
+def test_repeated_deep_urls_take_few_rounds(spark):
+    began = time.monotonic()
+    deep = "http://x.test/" + "/".join(f"s{chr(97 + i % 26)}" for i in range(1000))
+    rows = [deep] * 8 + [f"{deep}/{k}/{'a' * k}" for k in range(8)] + ["http://y.test/" + "7/" * 1000] * 9
+    got = judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), RULES).collect()
+    assert len(got) == len(rows) and time.monotonic() - began < 30
+    templates = {r.template for r in got}
+    assert deep.removeprefix("http://x.test") + "/." in templates
+    assert "/*" * 8 + "/**" in templates
+
+
+def test_nested_wildcards_are_those_of_the_definition(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(3))
+    urls = []
+    for _ in range(600):
+        parts = [rng.choice([word(), word(), "user", "12", "posts"]) for _ in range(rng.randrange(14))]
+        urls.append(f"http://{rng.choice(['h', 'h', 'g'])}.test/" + "/".join(parts))
+    got = judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3), [("block", "h.test/user")]).collect()
+    rows = []
+    for u in urls:
+        host, path = split(u)
+        rows.append((host, tuple(re.sub("[0-9]+", "*", p) for p in path.split("/") if p), "block" if host == "h.test" and path.startswith("/user") else None))
+    want = brute_tree(rows)
+    for r in got:
+        template, _, purity = want[rows[r.page_id][:2]]
+        assert (r.template, r.purity) == (template, pytest.approx(purity)), urls[r.page_id]
+
+
 def test_the_method_blocks_on_the_tables(spark):
     """Where only rules label urls, those without a rule are judged by the same paths of other hosts."""
     got = judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url"), RULES).where("rule is null")
