@@ -2,13 +2,16 @@
 
 A page is cut into blocks (runs of text between block-level tags), each with its root-to-leaf path of block tags and
 first classes. Per path the length of unlinked text and the punctuation of all its blocks are summed and divided by the
-number of its blocks; the two ratios are fused and smoothed over the paths that follow each other on the page. A path
+number of its blocks; the two ratios and the path's share of the page's text are fused and smoothed over the paths that
+follow each other on the page. A path
 also stands in its containers: the ratios of all blocks directly in one count for what is nested in it, less with each
 step, so that a heading or a short list is judged with the prose around it. What the markup says of a place (menus,
 footers and forms by tag; words of class, id or role; inside or outside an article or main element) is one more
-factor. Every path is then held against the best one of the page: those that reach `SHARE` of its score are content,
-wherever they stand. No tag or class word alone decides, but a marked path must also reach `FLOOR`, so that a page of
-nothing but a menu and a footer has no main text.
+factor, a mild one: two or three such hints don't take a path with the page's best ratios below the threshold that an
+advert's or a menu's ratios miss. Every path is then held against the best one of the page: those that reach `SHARE` of
+its score are content, wherever they stand. Only reader comments and sidebars are told by the markup alone, since they are
+prose. A container's ratios don't count for what the markup sets apart in it, and a marked path must also reach `FLOOR`,
+so that a page of nothing but a menu and a footer has no main text. Paths of equal score are all content or all not.
 
 Never text are scripts, styles and other raw elements, comments, and elements hidden by attribute or style.
 
@@ -49,11 +52,12 @@ COMPANION = frozenset("h1 h2 h3 h4 h5 h6 p li ul ol dl dt dd table thead tbody t
 LANDMARK = frozenset("nav header footer aside form button dialog menu head option fieldset object audio video canvas".split())
 #: Words of class, id or role that hint at such places.
 MARK_WORDS = frozenset(
-    """ad ads adv advert advertisement adsense banner sponsor sponsored promo promotion popup modal overlay nav navbar navigation menu sidebar sidenav aside
-    footer header masthead topbar breadcrumb breadcrumbs pagination pager cookie cookies consent gdpr notice notification alert disclaimer comment comments
-    commentlist disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar
-    complementary contentinfo dialog form skip""".split()
+    """ad ads adv advert advertisement adsense banner sponsor sponsored promo promotion popup modal overlay nav navbar navigation menu
+    footer header masthead topbar breadcrumb breadcrumbs pagination pager cookie cookies consent gdpr notice notification alert disclaimer share sharing
+    social related recommended newsletter subscribe subscription signup login search widget toolbar complementary contentinfo dialog form skip""".split()
 )
+#: Words of places with prose of their own, which no ratio tells from an article's: reader comments and sidebars.
+PROSE_WORDS = frozenset("comment comments commentlist disqus reply replies respond sidebar sidenav aside".split())
 #: Words that name a page's header, or an article's own heading within it.
 HEADING_WORDS = frozenset(["header", "masthead"])
 #: Words that hint at an article element that is something other than the page's article.
@@ -73,12 +77,14 @@ CLOSED_BY = {
 
 #: Share of the best path's score from which a path is content, and the score that a marked path needs besides.
 SHARE, FLOOR = 0.25, 4.0
-#: Factors of the places: a landmark tag, a hinting word, outside the article where a page has one.
-IN_LANDMARK, IN_MARKED, OUTSIDE = 0.01, 0.08, 0.4
+#: Factors of the places: a landmark tag, a hinting word, prose of its own (reader comments, sidebars), outside the article where a page has one.
+IN_LANDMARK, IN_MARKED, IN_PROSE, OUTSIDE = 0.4, 0.7, 0.08, 0.4
 #: What a container's score is worth one step further in, by the tag of that step.
 COMPANION_STEP, CONTAINER_STEP = 0.85, 0.4
 #: What of a linked character's weight is lost.
 LINKED_LOSS = 0.9
+#: Power of a path's share of the page's unlinked text.
+SPREAD = 0.5
 #: Weight of a path's own ratio against each neighbour's.
 OWN_WEIGHT = 6
 
@@ -98,12 +104,13 @@ def _letter(c: str) -> bool:
     return c.isascii() and c.isalpha()
 
 
-def _attributes(attrs: str, tag: str, inside: bool) -> tuple[bool, bool, bool, str]:
-    """Whether an element is hidden, whether words hint at something other than main text, whether it says it is the main one, and its class."""
+def _attributes(attrs: str, tag: str, inside: bool) -> tuple[bool, float, bool, str]:
+    """Whether an element is hidden, the factor of words that hint at something other than main text, whether it says it is the main one, and its class."""
     if not attrs or attrs.isspace():
-        return False, False, False, ""
+        return False, 1.0, False, ""
     words = OTHER_ARTICLES if tag in MAIN else MARK_WORDS - HEADING_WORDS if inside else MARK_WORDS
-    hidden = hinted = main = False
+    remarks = PROSE_WORDS & OTHER_ARTICLES if tag in MAIN else PROSE_WORDS
+    hidden, main, hinted = False, False, 1.0
     shown = ""
     for name, *values in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
@@ -112,9 +119,10 @@ def _attributes(attrs: str, tag: str, inside: bool) -> tuple[bool, bool, bool, s
         elif name == "hidden":
             hidden = True
         elif name == "aria-hidden":
-            hinted |= value == "true"
+            hinted = min(hinted, IN_MARKED if value == "true" else 1.0)
         else:
-            hinted |= not words.isdisjoint(re.split(r"[^a-z]+", value))
+            said = re.split(r"[^a-z]+", value)
+            hinted = min(hinted, IN_PROSE if not remarks.isdisjoint(said) else IN_MARKED if not words.isdisjoint(said) else 1.0)
             main |= name == "role" and value in MAIN
             if name == "class":
                 shown = value.split()[0] if value.split() else ""
@@ -196,7 +204,7 @@ def read(page: str) -> Page:
                 continue
             if not closing:
                 unseen, hinted, *_ = _attributes(attrs, tag, out.inside[path])
-                if unseen or not hinted:
+                if unseen or hinted == 1.0:
                     if unseen or opened[tag]:
                         hidden = hidden or unseen
                         stack.append((tag, path, hidden))
@@ -218,9 +226,9 @@ def read(page: str) -> Page:
             continue
         unseen, hinted, main, shown = _attributes(attrs, tag, out.inside[path])
         if tag in ("html", "body"):
-            unseen = hinted = False
+            unseen, hinted = False, 1.0
         landmark = tag in LANDMARK and not (tag == "header" and out.inside[path])
-        place = min(out.place[path], IN_LANDMARK if landmark else IN_MARKED if hinted else 1.0)
+        place = min(out.place[path], hinted, IN_PROSE if tag == "aside" else IN_LANDMARK if landmark else 1.0)
         inside = out.inside[path] or tag in MAIN or main
         step = (path, tag, shown, place, inside)
         path = known.setdefault(step, len(out.parent))
@@ -236,9 +244,9 @@ def read(page: str) -> Page:
     return out
 
 
-def fused(length: float, marks: float, number: float) -> float:
-    """The two ratios of a path in one: unlinked length and punctuation, each a block."""
-    return (length / number * (0.5 + marks / number)) ** 0.5 if number else 0.0
+def fused(length: float, marks: float, number: float, whole: float) -> float:
+    """The ratios of a path in one: unlinked length and punctuation, each a block, and its share of the page's text."""
+    return (length / number * (0.5 + marks / number)) ** 0.5 * (length / whole) ** SPREAD if number and whole else 0.0
 
 
 def path_scores(page: Page) -> dict[int, float]:
@@ -253,7 +261,8 @@ def path_scores(page: Page) -> dict[int, float]:
         number[path] += 1
         order[path] = None
     paths = list(order)
-    own = [fused(length[p], marks[p], number[p]) for p in paths]
+    total = sum(length)
+    own = [fused(length[p], marks[p], number[p], total) for p in paths]
     placed = [x * page.place[p] for x, p in zip(own, paths)]
     weight = lambda i: OWN_WEIGHT * own[i] + sum(placed[max(0, i - 1) : i] + placed[i + 1 : i + 2])
     smooth = {p: weight(i) / (OWN_WEIGHT + (i > 0) + (i + 1 < len(paths))) for i, p in enumerate(paths)}
@@ -267,9 +276,9 @@ def path_scores(page: Page) -> dict[int, float]:
             direct_number[at] += number[p]
     support = [0.0] * n
     for p in range(n):  # parents come before what they hold
-        group = fused(direct_length[p], direct_marks[p], direct_number[p])
+        group = fused(direct_length[p], direct_marks[p], direct_number[p], total)
         step = COMPANION_STEP if page.tag[p] in COMPANION else CONTAINER_STEP
-        support[p] = max(group, step * support[page.parent[p]]) if p else group
+        support[p] = max(group, step * support[page.parent[p]]) if p and page.place[page.parent[p]] == page.place[p] else group
 
     bounded = any(page.inside[p] for p in paths)
     out = {}
@@ -277,7 +286,7 @@ def path_scores(page: Page) -> dict[int, float]:
         up = page.parent[p]
         step = COMPANION_STEP if page.tag[p] in COMPANION else CONTAINER_STEP
         unlinked = length[p] / max(whole[p], 1)
-        around = step * support[up] * unlinked if up >= 0 else 0.0
+        around = step * support[up] * unlinked if up >= 0 and page.place[up] == page.place[p] else 0.0
         out[p] = max(smooth[p], around) * page.place[p] * (1.0 if page.inside[p] or not bounded else OUTSIDE)
     return out
 

@@ -80,6 +80,24 @@ def test_class_words_do_not_decide_alone():
     assert main_text("<body><nav><a href=/>Home</a></nav><div class=ad>Buy this, now.</div><article></article><footer>© us, 2024.</footer></body>") == ""
 
 
+def test_ratios_and_not_words_of_the_markup_decide(spark, monkeypatch):
+    """An advert with the page's best ratios stays, one without them goes; with the same ratio for every path most pages change."""
+    prose = " ".join([TEXT] * 6)
+    assert main_text(f"<main><p>Short.</p><div class=banner><p>{prose}</p><p>{prose}</p></div></main>").count(TEXT) == 12
+    assert main_text(f"<main><p>{prose}</p><p>{prose}</p><div class=banner>Buy now</div></main>").count("Buy") == 0
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    before = [main_text(p) for p in pages]
+    monkeypatch.setattr(H, "fused", lambda length, marks, number, whole: 30.0 if number else 0.0)
+    assert sum(main_text(p) != b for p, b in zip(pages, before)) >= len(pages) / 3
+
+
+def test_pages_of_the_tables(spark):
+    """On the tables a page's text is that of its article element."""
+    for page in (r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()):
+        found = H.read(page)
+        assert main_text(page) == "\n".join(text for path, text, _ in found.blocks if found.inside[path] and found.place[path] == 1.0)
+
+
 def test_hidden_and_inline_elements_do_not_cut_a_block():
     assert main_text(f"<article><p>one <span hidden>two <span>three</span> four</span>five<!-- six --><b>sev</b>en {TEXT}</p></article>") == f"one fiveseven {TEXT}"
 
@@ -94,13 +112,16 @@ def scores_by_definition(page):
     blocks = [(name(p), text, linked) for p, text, linked in found.blocks]
     place, inside = {name(p): x for p, x in enumerate(found.place)}, {name(p): x for p, x in enumerate(found.inside)}
 
+    whole = sum(len(t) - 0.9 * k for _, t, k in blocks)
+
     def ratio(member):
         held = [(t, k) for p, t, k in blocks if member(p)]
         if not held:
             return 0.0
         text = sum(len(t) - 0.9 * k for t, k in held) / len(held)
         marks = sum(len(re.findall(r"[.,;:!?。、،؛؟]", t)) for t, _ in held) / len(held)
-        return (text * (0.5 + marks)) ** 0.5
+        share = sum(len(t) - 0.9 * k for t, k in held) / whole if whole else 0.0
+        return (text * (0.5 + marks)) ** 0.5 * share**0.5
 
     paths = list(dict.fromkeys(p for p, _, _ in blocks))
     own = [ratio(lambda x, p=p: x == p) for p in paths]
@@ -110,7 +131,7 @@ def scores_by_definition(page):
 
     def support(p):
         here = ratio(lambda x: x == p or x[:-1] == p and place[x] == place[p])
-        return max(here, step(p) * support(p[:-1])) if len(p) > 1 else here
+        return max(here, step(p) * support(p[:-1])) if len(p) > 1 and place[p[:-1]] == place[p] else here
 
     out = {}
     for i, p in enumerate(paths):
@@ -118,7 +139,7 @@ def scores_by_definition(page):
         smooth = (6 * own[i] + sum(near)) / (6 + len(near))
         held = [(len(t), k) for x, t, k in blocks if x == p]
         unlinked = sum(n - 0.9 * k for n, k in held) / sum(n for n, _ in held)
-        around = step(p) * support(p[:-1]) * unlinked if len(p) > 1 else 0.0
+        around = step(p) * support(p[:-1]) * unlinked if len(p) > 1 and place[p[:-1]] == place[p] else 0.0
         outside = any(inside[x] for x in paths) and not inside[p]
         out[p[-1][1]] = max(smooth, around) * place[p] * (0.4 if outside else 1.0)
     return out
