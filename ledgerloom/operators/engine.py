@@ -154,6 +154,7 @@ def figures(by_month: DataFrame) -> DataFrame:
     e = e.withColumn("savings_rate", ratio(F.col("disposable_c"), F.col("base_c")) * 100)
     family = ratio(F.col("family_transfer_c"), F.col("total_cr_c")) * 100
     unverified = ratio(F.col("needs_verification_c"), F.col("total_cr_c")) * 100
+    # Bounds, names and points of the risk flags.
     flags = [
         (F.col("loans") >= 3, "FREQUENT_LOAN_DISBURSALS", 20),
         ((family > 15) | (F.col("family_transfers") >= 4), "HIGH_FAMILY_TRANSFERS", 10),
@@ -185,6 +186,7 @@ def steps(value: Column, table: list[tuple[float, int]]) -> Column:
 def health(e: DataFrame) -> Column:
     income = F.when(F.col("avg_real_c") != 0, F.col("avg_real_c").cast("double")).otherwise(F.lit(100.0))
     cover = F.col("avg_balance_c") / income
+    # Bounds and penalty points of the health score.
     penalty = (
         F.when(F.col("income_stability") == "Stable", 0).when(F.col("income_stability") == "Moderately Stable", 10).otherwise(25)
         + F.when(cover >= 1.0, 0).when(cover >= 0.5, 5).when(cover >= 0.2, 12).otherwise(20)

@@ -257,6 +257,7 @@ def narratives(engine_rows: DataFrame, cash: DataFrame) -> DataFrame:
     reasons = lambda k: F.array_join(F.slice("risk_flags", 1, k), "; ")
     score = F.concat(F.lit("("), F.col("risk_score").cast("string"), F.lit("/100)"))
     rupees = F.format_number(F.bround(F.col("annual_cash_c") / 100, 0), 0)
+    # The three sentences.
     said = (
         F.when(F.col("risk_level") == "Low", F.concat(F.lit("LOW compliance risk "), score, F.lit(". No major triggers. Cash total Rs"), rupees, F.lit(" within Rs10L limit.")))
         .when(F.col("risk_level") == "Medium", F.concat(F.lit("MEDIUM compliance risk "), score, F.lit(". Triggers: "), reasons(2), F.lit(". Enhanced due diligence recommended.")))

@@ -52,6 +52,7 @@ def tax_section(text: Column) -> Column:
     """The section of law under which tax was deducted, from the deductor's line."""
     t = F.lower(text)
     has = lambda *words: R.contains_any(t, list(words))
+    # Sections of the law by the words of a line, the first that fits.
     return R.first_match(
         [
             (has("salary", "192"), "192"), (has("194j", "professional"), "194J"), (has("194c", "contract"), "194C"), (has("194a", "interest"), "194A"),
