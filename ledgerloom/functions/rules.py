@@ -142,7 +142,7 @@ FOIR_HEALTHY, FOIR_MODERATE, FOIR_CAP = 35.0, 50.0, 50.0
 INTEREST_RATE, TENURE_MONTHS = 0.10, 60
 HIGH_VALUE, DAILY_CASH, ANNUAL_CASH, STR_DAY = 200_000, 50_000, 1_000_000, 500_000
 STRUCTURING = (180_000, 200_000)
-CAP_80C, CAP_80D, GST_RATE = 150_000, 25_000, 0.18
+CAP_80C, CAP_80D, GST_RATE, GST_THRESHOLD = 150_000, 25_000, 0.18, 2_000_000
 
 TAXABLE = ["salary", "business", "interest", "dividend", "rental"]
 

@@ -9,7 +9,7 @@ from ledgerloom.functions import classify
 from ledgerloom.functions import rules as R
 from ledgerloom.operators import joins
 from ledgerloom.operators.balances import audit_mismatches, end_of_day
-from ledgerloom.operators.engine import CLASSES, engine, months, ratio, total
+from ledgerloom.operators.engine import CLASSES, engine, months, nearest, ratio, total
 
 
 def top(rows: DataFrame, k: int, by: str, name: str) -> DataFrame:
@@ -45,6 +45,38 @@ def income_sources(rows: DataFrame, k: int = 10) -> DataFrame:
     return top(out, k, "total_c", "sender")
 
 
+def salary_employers(rows: DataFrame) -> DataFrame:
+    """Who pays each account's salaries: amount and number of credits of every employer that a narration names."""
+    paid = rows.where((F.col("type") == "CR") & (F.col("credit_class") == "salary") & (F.col("employer") != ""))
+    return paid.groupBy("account_id", "employer").agg(F.sum("amount_c").alias("total_c"), F.count(F.lit(1)).alias("credits"))
+
+
+def income_report(rows: DataFrame) -> DataFrame:
+    """Income by class, employers, cash deposits and tax on sales of every account; an account without credits has zeros.
+
+    Rows are summed per account, class and employer before the shuffle, and accounts are grouped from these sums.
+    """
+    named = F.when((F.col("type") == "CR") & (F.col("credit_class") == "salary"), F.nullif("employer", F.lit("")))
+    large = (F.col("credit_class") == "cash_deposit") & (F.col("amount_c") >= R.HIGH_VALUE * 100)
+    parts = rows.groupBy("account_id", "credit_class", named.alias("employer")).agg(
+        F.sum("amount_c").alias("part_c"), F.count(F.lit(1)).alias("credits"), F.count_if(large).alias("large")
+    )
+    of = lambda c, k: F.coalesce(F.sum(F.when(F.col("credit_class") == k, F.col(c))), F.lit(0))
+    out = parts.groupBy("account_id").agg(
+        *[of("part_c", k).alias(f"{k}_c") for k in (*R.TAXABLE, "cash_deposit")],
+        *[of("credits", k).alias(f"{k}_credits") for k in ("salary", "business", "cash_deposit")],
+        F.count("employer").alias("employers"),
+        F.sum("large").alias("large_cash_deposits"),
+    )
+    return out.withColumns(
+        {
+            "much_cash": F.col("cash_deposit_c") >= R.ANNUAL_CASH * 100,
+            "gst_estimate_c": nearest(F.col("business_c") * F.lit(R.GST_RATE)),
+            "gst_threshold_crossed": F.col("business_c") >= R.GST_THRESHOLD * 100,
+        }
+    )
+
+
 def spending(rows: DataFrame) -> DataFrame:
     """Debits that are expenses, with their category and merchant; sources of loans never are."""
     debits = rows.where((F.col("type") == "DR") & (F.col("amount_c") != 0) & ~F.col("is_loan"))

@@ -111,6 +111,14 @@ def income_sources(spark, d):
     return reports.income_sources(enriched(spark, d))
 
 
+def salary_employers(spark, d):
+    return reports.salary_employers(enriched(spark, d))
+
+
+def income_report(spark, d):
+    return reports.income_report(enriched(spark, d))
+
+
 def expense_categories(spark, d):
     return reports.category_totals(enriched(spark, d))
 
@@ -665,7 +673,7 @@ def ledger_versions(spark, d):
 
 
 NAMES = [
-    tax_credit_tables, information_table_entries, income_breakdown, consistency_warnings, ledger_versions,
+    salary_employers, income_report, tax_credit_tables, information_table_entries, income_breakdown, consistency_warnings, ledger_versions,
     bundled_transactions, strategy_transactions, remembered_strategies, footer_transactions, serials_missing, rate_limits_streamed, distinct_uploads, counted_once, several_statements,
     search_last_page, search_totals, latest_by_date, first_high_values, ranked_modes, ranked_categories, negative_days, flag_severities, health_grades, compliance_narratives,
     newest_first_filled, word_cells, dashboard_totals, dashboard_rows, credit_position, monthly_return, bank_gap, sql_bridged,

@@ -263,6 +263,14 @@ SQL = {
         s AS (SELECT account_id, CASE WHEN emp <> '' THEN emp ELSE coalesce(list_filter(regexp_split_to_array(lower("desc"), '\\s+'), lambda w: length(w) > 2 AND NOT regexp_full_match(w, '\\d+'))[1], 'unknown') END AS sender, amount_c FROM c),
         a AS (SELECT account_id, sender, CAST(sum(amount_c) AS BIGINT) AS total_c, count(*) AS credits FROM s GROUP BY ALL)
         SELECT *, CAST(row_number() OVER (PARTITION BY account_id ORDER BY total_c DESC, sender) AS INTEGER) AS rank FROM a QUALIFY rank <= 10""",
+    "salary_employers": f"""WITH {ENR}, w AS (SELECT *, {EMPLOYER} AS employer FROM enr WHERE type = 'CR' AND credit_class = 'salary')
+        SELECT account_id, employer, CAST(sum(amount_c) AS BIGINT) AS total_c, count(*) AS credits FROM w WHERE employer <> '' GROUP BY ALL""",
+    "income_report": f"""WITH {ENR}, w AS (SELECT *, {EMPLOYER} AS emp FROM enr), s AS (SELECT account_id,
+        {', '.join(_sum(f"credit_class = '{k}'") + f" AS {k}_c" for k in ('salary', 'business', 'interest', 'dividend', 'rental', 'cash_deposit'))},
+        {', '.join(f"count(*) FILTER (credit_class = '{k}') AS {k}_credits" for k in ('salary', 'business', 'cash_deposit'))},
+        count(DISTINCT emp) FILTER (type = 'CR' AND credit_class = 'salary' AND emp <> '') AS employers,
+        count(*) FILTER (credit_class = 'cash_deposit' AND amount_c >= 20000000) AS large_cash_deposits FROM w GROUP BY ALL)
+        SELECT *, cash_deposit_c >= 100000000 AS much_cash, {R0.format('business_c * 0.18::DOUBLE')} AS gst_estimate_c, business_c >= 200000000 AS gst_threshold_crossed FROM s""",
     "expense_categories": f"WITH {SPENT} SELECT account_id, category, CAST(sum(amount_c) AS BIGINT) AS total_c, count(*) AS debits FROM spent GROUP BY ALL",
     "top_merchants": f"""WITH {MERCHANT}, a AS (SELECT account_id, merchant, CAST(sum(amount_c) AS BIGINT) AS total_c, count(*) AS debits FROM merch WHERE merchant NOT IN ('unknown', 'other') GROUP BY ALL)
         SELECT *, CAST(row_number() OVER (PARTITION BY account_id ORDER BY total_c DESC, merchant) AS INTEGER) AS rank FROM a QUALIFY rank <= 15""",

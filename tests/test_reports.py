@@ -69,3 +69,21 @@ def test_latest_hundred(spark, monkeypatch):
     rows = spark.range(120).selectExpr("1L as account_id", "id as row_no", "id as txn_id")
     monkeypatch.setattr(fixtures, "ledger", lambda spark, d: rows)
     assert {r.txn_id for r in catalog.latest_hundred(spark, "").collect()} == set(range(20, 120))
+
+
+def test_income_report_at_its_bounds(spark):
+    rows = [
+        (1, "CR", "salary", "acme", 100), (1, "CR", "salary", "acme", 50), (1, "CR", "salary", "globex", 7), (1, "CR", "salary", "", 3),
+        (1, "CR", "business", "initech", 200_000_000), (1, "CR", "cash_deposit", "", 20_000_000), (1, "DR", "cash_deposit", "", 80_000_000),
+        (2, "CR", "business", "", 199_999_999), (2, "CR", "cash_deposit", "", 19_999_999), (2, "CR", "refund", "acme", 5),
+        (3, "DR", None, "acme", 9), (3, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "account_id long, type string, credit_class string, employer string, amount_c long")
+    got = {r.account_id: r for r in reports.income_report(df).collect()}
+    assert (got[1].salary_c, got[1].salary_credits, got[1].employers) == (160, 4, 2)
+    assert (got[1].cash_deposit_c, got[1].large_cash_deposits, got[1].much_cash) == (100_000_000, 2, True)
+    assert (got[1].gst_estimate_c, got[1].gst_threshold_crossed) == (36_000_000, True)
+    assert (got[2].large_cash_deposits, got[2].much_cash, got[2].gst_threshold_crossed, got[2].employers) == (0, False, False, 0)
+    assert (got[3].salary_c, got[3].business_c, got[3].employers, got[3].large_cash_deposits, got[3].much_cash) == (0, 0, 0, 0, False)
+    assert reports.income_report(df.where("false")).count() == 0
+    assert sorted((r.account_id, r.employer, r.total_c, r.credits) for r in reports.salary_employers(df).collect()) == [(1, "acme", 150, 2), (1, "globex", 7, 1)]
