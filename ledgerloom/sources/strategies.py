@@ -1,7 +1,8 @@
 """Which way of reading gets the most out of a statement: ruled tables, aligned text, placed words, or lines.
 
 Every way gives the same columns. What each gets from a document is scored by the rows whose printed balance follows from
-the one before, then by all its rows, then by the order of `WAYS`; the best one is kept. Documents of one layout are read
+the one before, then by all its rows, then by those with a balance (of a single row no balance follows), then by the order of
+`WAYS`; the best one is kept. Documents of one layout are read
 best in one way, so what won is remembered by the layout's fingerprint (the words of the first lines), and documents
 whose fingerprint is known are read in that way alone.
 
@@ -45,16 +46,16 @@ def fingerprints(pages: DataFrame) -> DataFrame:
 
 
 def scored(found: DataFrame, tolerance_c: int = 50) -> DataFrame:
-    """doc_id, way, rows, follow: rows read, and those whose balance is the one before plus or minus the amount."""
+    """doc_id, way, rows, follow, printed: rows read, those whose balance is the one before plus or minus the amount, and those with a balance."""
     delta = F.col("balance_c") - F.lag("balance_c").over(Window.partitionBy("doc_id", "way").orderBy("row_no"))
     signed = F.when(F.col("type") == "CR", F.col("amount_c")).otherwise(-F.col("amount_c"))
     follows = F.coalesce(F.abs(delta - signed) <= tolerance_c, F.lit(False))
-    return found.withColumn("follows", follows).groupBy("doc_id", "way").agg(F.count(F.lit(1)).alias("rows"), F.count_if("follows").alias("follow"))
+    return found.withColumn("follows", follows).groupBy("doc_id", "way").agg(F.count(F.lit(1)).alias("rows"), F.count_if("follows").alias("follow"), F.count("balance_c").alias("printed"))
 
 
 def best(scores: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*[F.lit(w) for w in WAYS]), F.col("way"))
-    return scores.groupBy("doc_id").agg(F.max_by(F.struct("way", "rows", "follow"), F.struct("follow", "rows", -place)).alias("won")).select("doc_id", "won.*")
+    return scores.groupBy("doc_id").agg(F.max_by(F.struct("way", "rows", "follow"), F.struct("follow", "rows", "printed", -place)).alias("won")).select("doc_id", "won.*")
 
 
 def learned(won: DataFrame, layouts: DataFrame) -> DataFrame:
