@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.parsing import parse_amount_c, parse_date
+from ledgerloom.functions.parsing import let, parse_amount_c, parse_date
 
 # Header words of each role.
 ROLE_WORDS = {
@@ -41,14 +41,13 @@ def plain(cell: Column) -> Column:
 
 def role_of(cell: Column) -> Column:
     """The role whose word fits a header cell best: the whole cell, then its start, then any part, longer words first."""
-    ranked = []
-    for k, (role, words) in enumerate(ROLE_WORDS.items()):
-        for w in words:
-            w = " ".join("".join(c if c.isalnum() or c in " ./" else " " for c in w).split())
-            score = F.when(cell == w, 200).when(cell.startswith(w), 100 + len(w)).when(cell.contains(w), 50 + len(w))
-            ranked.append(F.struct(F.coalesce(score, F.lit(0)).alias("score"), F.lit(-k).alias("order"), F.lit(role).alias("role")))
-    best = F.array_max(F.array(*ranked))
-    return F.when(best["score"] > 0, best["role"])
+    known = [(" ".join("".join(c if c.isalnum() or c in " ./" else " " for c in w).split()), k, role) for k, (role, words) in enumerate(ROLE_WORDS.items()) for w in words]
+    whole = {w: role for w, _, role in reversed(known)}
+    words = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(-k).alias("order"), F.lit(role).alias("role")) for w, k, role in known])
+    fit = lambda w: F.when(cell.startswith(w), 100 + F.length(w)).when(cell.contains(w), 50 + F.length(w)).otherwise(0)
+    best = F.array_max(F.transform(words, lambda x: F.struct(fit(x["word"]).alias("score"), x["order"].alias("order"), x["role"].alias("role"))))
+    # headers are mostly whole words of the list, so that it is seldom gone through
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in whole.items() for x in pair]), cell), let(best, lambda b: F.when(b["score"] > 0, b["role"])))
 
 
 def columns_by_header(rows: DataFrame) -> DataFrame:
@@ -66,7 +65,8 @@ def columns_by_data(rows: DataFrame, sample: int = 40) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("row_no"))
     seen = rows.join(width, "doc_id").where(F.size("cells") == F.col("width")).withColumn("nth", nth).where(F.col("nth") <= sample)
     cells = seen.select("doc_id", F.posexplode("cells").alias("at", "cell")).withColumn("cell", F.trim(F.coalesce("cell", F.lit(""))))
-    dated, number = parse_date(F.col("cell")).isNotNull(), F.col("cell").rlike(r"^-?[₹$,\d]*\d[\d,]*(\.\d+)?\s*(?i:dr|cr)?\.?$")
+    dated, number = F.col("dated"), F.col("number")
+    cells = cells.withColumns({"dated": parse_date(F.col("cell")).isNotNull(), "number": F.col("cell").rlike(r"^-?[₹$,\d]*\d[\d,]*(\.\d+)?\s*(?i:dr|cr)?\.?$")})
     share = cells.groupBy("doc_id", "at").agg(
         F.avg(dated.cast("int")).alias("dates"), F.avg((number & ~dated).cast("int")).alias("numbers"),
         F.avg(((F.length("cell") > 8) & ~number & ~dated).cast("int")).alias("texts"), F.avg(F.col("cell").rlike(r"^[\d\-]+$").cast("int")).alias("indexes"),
