@@ -19,16 +19,17 @@ def first_within_percent(left: DataFrame, right: DataFrame, left_c: str, right_c
     """For each left row the first right row, by `order`, of the same keys whose amount is within one per cent.
 
     Left rows carry `left_id`; amounts are in paise. Below 1.00 the tolerance is 0.01 of a rupee, as it is relative to
-    at least one rupee; small amounts are their own buckets. Each left row looks into the few buckets that its matches
-    can lie in, so the join stays an equi-join.
+    at least one rupee; small amounts are their own buckets. Each right row stands in the few buckets that its matches
+    can lie in, so the join stays an equi-join and left rows, of which there are more, move once.
     """
     wide = lambda c: F.floor(F.log(F.greatest(c, F.lit(1)).cast("double")) / WIDTH).cast("long")
     bucket = lambda c: F.when(c < SMALL_C, -c).otherwise(wide(c))
-    amount = F.col(left_c)
+    amount = F.col(right_c)
     few = F.array_distinct(F.transform(F.sequence(amount - 4, amount + 4), bucket))
     near_by = F.when(amount < SMALL_C + 10, few).otherwise(F.array(*[wide(amount) + d for d in (-1, 0, 1)]))
-    looked = left.where(amount > 0).withColumn("bucket", F.explode(near_by))
-    given = right.where(F.col(right_c) > 0).withColumn("bucket", bucket(F.col(right_c)))
+    # exploded, though it is one: else the amount's own expression is worked out again for each use of the bucket
+    looked = left.where(F.col(left_c) > 0).withColumn("bucket", F.explode(F.array(bucket(F.col(left_c)))))
+    given = right.where(amount > 0).withColumn("bucket", F.explode(near_by))
     near = F.abs(F.col(right_c) - F.col(left_c)) <= F.greatest(F.col(left_c), F.lit(100)) * 0.01
     found = looked.join(given, [*keys, "bucket"]).where(near)
     return found.groupBy("left_id").agg(F.min_by(F.struct(*[c for c in given.columns if c not in (*keys, "bucket")]), order).alias("match"))

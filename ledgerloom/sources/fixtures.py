@@ -72,8 +72,9 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    rows = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    # orders meet their customers first: they are fewer than lines, which so move once
+    placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    rows = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
     n1 = F.round(F.col("l_extendedprice") * 100).cast("long") * (100 - F.round(F.col("l_discount") * 100).cast("long"))
     rows = rows.withColumns({"h": F.expr("l_orderkey * 31 + l_linenumber * 7 + l_suppkey * 3 + l_partkey"), "taxable_c": half_up(n1, 100)})
     rows = rows.withColumn("tax_c", half_up(F.col("taxable_c") * F.round(F.col("l_tax") * 100).cast("long"), 100))
