@@ -101,17 +101,20 @@ def set_off(heads: DataFrame) -> DataFrame:
     return h.withColumn("net_payable_c", c("net_igst_c") + c("net_cgst_c") + c("net_sgst_c")).drop("igst_used", "left1", "left2")
 
 
-def reconcile(statement: DataFrame, register: DataFrame) -> DataFrame:
+def reconcile(statement: DataFrame, register: DataFrame, numbers: bool = False) -> DataFrame:
     """Statement invoices against the purchase register: one row each, and one for each register row no match used.
 
     Rows have row_no, invoice_no, gstin, itc_c; statement rows also itc_eligible. A register row is found by number and
-    registration (the last one), else by number alone (the first one).
+    registration (the last one), else by number alone (the first one). `s_itc_c` is the statement's own credit. With
+    `numbers` rows also carry both sides' invoice numbers as given, so that nobody need look them up again.
     """
+    own = lambda name: [F.col("invoice_no").alias(name)] if numbers else []
     up = lambda c: F.upper(F.coalesce(c, F.lit("")))
-    s = statement.select(F.col("row_no").alias("s_row"), up("invoice_no").alias("inv"), up("gstin").alias("gst"), F.col("itc_c").alias("s_itc"), "itc_eligible")
-    r = register.select(F.col("row_no").alias("r_row"), up("invoice_no").alias("inv"), up("gstin").alias("r_gst"), F.col("itc_c").alias("r_itc"))
-    exact = r.groupBy("inv", F.col("r_gst").alias("gst")).agg(F.max_by(F.struct("r_row", "r_gst", "r_itc"), "r_row").alias("exact"))
-    loose = r.groupBy("inv").agg(F.min_by(F.struct("r_row", "r_gst", "r_itc"), "r_row").alias("loose"))
+    s = statement.select(F.col("row_no").alias("s_row"), up("invoice_no").alias("inv"), up("gstin").alias("gst"), F.col("itc_c").alias("s_itc"), "itc_eligible", *own("statement_no"))
+    r = register.select(F.col("row_no").alias("r_row"), up("invoice_no").alias("inv"), up("gstin").alias("r_gst"), F.col("itc_c").alias("r_itc"), *own("register_no"))
+    held = ["r_row", "r_gst", "r_itc", *(["register_no"] if numbers else [])]
+    exact = r.groupBy("inv", F.col("r_gst").alias("gst")).agg(F.max_by(F.struct(*held), "r_row").alias("exact"))
+    loose = r.groupBy("inv").agg(F.min_by(F.struct(*held), "r_row").alias("loose"))
     found = s.join(exact, ["inv", "gst"], "left").join(loose, "inv", "left").withColumn("hit", F.coalesce("exact", "loose"))
     a, b = F.col("s_itc"), F.col("hit.r_itc")
     near = (F.abs(a - b) <= F.greatest(a, b) * 0.01) | (F.abs(a - b) <= 100)
@@ -127,11 +130,13 @@ def reconcile(statement: DataFrame, register: DataFrame) -> DataFrame:
         .otherwise(F.lit(0))
     )
     diff = F.when(F.col("status") == "Matched", F.lit(0)).when(F.col("hit").isNull(), a).otherwise(a - b)
-    rows = stored(found.select("s_row", F.col("hit.r_row").alias("r_row"), "status", diff.alias("itc_diff_c"), claim.alias("claim_c")))
+    named = ["statement_no", F.col("hit.register_no").alias("register_no")] if numbers else []
+    rows = stored(found.select("s_row", F.col("hit.r_row").alias("r_row"), "status", diff.alias("itc_diff_c"), claim.alias("claim_c"), a.alias("s_itc_c"), *named))
     used = rows.where("r_row is not null").select("r_row").distinct()
     unused = r.join(used, "r_row", "left_anti").select(
-        F.lit(None).cast("long").alias("s_row"), "r_row", F.lit("In Purchase Register only").alias("status"), (-F.col("r_itc")).alias("itc_diff_c"), F.lit(0).cast("long").alias("claim_c")
-    )
+        F.lit(None).cast("long").alias("s_row"), "r_row", F.lit("In Purchase Register only").alias("status"), (-F.col("r_itc")).alias("itc_diff_c"), F.lit(0).cast("long").alias("claim_c"),
+        F.lit(None).cast("long").alias("s_itc_c"), *([F.lit(None).cast("string").alias("statement_no"), "register_no"] if numbers else []),
+    )
     return rows.unionByName(unused)
 
 
@@ -145,8 +150,7 @@ def credit_position(statement: DataFrame, register: DataFrame, recon: DataFrame)
     At risk are the differences of mismatched amounts, all credit of mismatched registrations, and what stands in the
     register only.
     """
-    s = statement.select("row_no", F.col("itc_c").alias("s_itc"))
-    rows = recon.join(s, F.col("s_row") == F.col("row_no"), "left")
+    rows = recon.withColumnRenamed("s_itc_c", "s_itc")
     is_ = lambda name: F.col("status") == name
     total = lambda c, w: F.coalesce(F.sum(F.when(w, c)), F.lit(0))
     only = is_("In Purchase Register only")
