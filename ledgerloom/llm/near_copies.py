@@ -3,7 +3,7 @@
 A set-similarity join; sets are compared whole, by 32-bit hashes of their shingles. Shingles have one global order, rare ones first; two sets of that
 similarity share one of the first |x| - ceil(0.8 |x|) + 1 shingles of each, so pairs that share such a prefix shingle
 (and whose sizes and positions allow the similarity) are all candidates there are. The order comes from counts of
-hashed shingles over a part of the texts; any order is right, rare first keeps common lines out of the prefixes.
+hashed shingles over all texts; any order is right, rare first keeps common lines out of the prefixes.
 
 Candidates are compared in two rounds, so that a large group of near copies isn't compared pair by pair: first each
 set with one member of each of its prefix groups, then within each group only sets that are not yet connected.
@@ -26,10 +26,9 @@ from ledgerloom.llm.components import components
 
 SHINGLE = 5
 SEED = 42
-#: Bits of the table of shingle counts, parts in which it is summed, and texts counted: this share, or this many if that is more.
+#: Bits of the table of shingle counts, and parts in which it is summed.
 COUNT_BITS = 21
 PARTS = 64
-COUNT_SHARE, COUNT_ROWS = 0.02, 10_000
 MOST_COUNT = 65_535
 #: Rows that a broadcast may hold; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
@@ -63,7 +62,7 @@ def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def shingle_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """How often shingles of each hash prefix occur in a part of the texts."""
+    """How often shingles of each hash prefix occur in all texts."""
     width = (1 << COUNT_BITS) // PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,10 +79,8 @@ def shingle_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         summed = sum(np.frombuffer(x.as_py(), np.uint16).astype(np.int64) for x in given["counts"])
         return pa.table({"part": given["part"][:1], "counts": pa.array([np.minimum(summed, MOST_COUNT).astype(np.uint16).tobytes()], pa.binary())})
 
-    share = min(1.0, max(COUNT_SHARE, COUNT_ROWS / max(docs.count(), 1)))
-    some = docs.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) <= int(share * (1 << 30)))
     out = np.zeros((PARTS, width), np.uint16)
-    for r in some.mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+    for r in docs.select(text_col).mapInArrow(run, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
         out[r.part] = np.frombuffer(r.counts, np.uint16)
     return out.ravel()
 

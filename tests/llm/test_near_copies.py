@@ -71,3 +71,8 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark, texts):
     df = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
     kept = {r.doc_id - 100 for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
     assert kept == set(brute_roots(texts))
+
+
+def test_shingles_of_all_texts_are_counted(spark):
+    docs = spark.range(12_000).selectExpr("id as doc_id", "concat('word', id) as text")
+    assert int(near_copies.shingle_counts(docs, "text").sum()) == 12_000
