@@ -6,7 +6,10 @@ similarity share one of the first |x| - ceil(0.8 |x|) + 1 shingles of each, so p
 hashed shingles over all texts; any order is right, rare first keeps common lines out of the prefixes.
 
 Candidates are compared in two rounds, so that a large group of near copies isn't compared pair by pair: first each
-set with one member of each of its prefix groups, then within each group only sets that are not yet connected.
+set with one member of each of its prefix groups, then within each group only sets that are not yet connected. Each set
+has a sketch, the parities of how many of its shingles fall into each of 1,024 slots; two sketches differ in no more
+slots than the sets do in shingles. Pairs whose sketches differ by too much are dropped where they meet: no similar pair
+is lost, and only the rest (those that are similar, or nearly) move on with their sets.
 
 Texts of fewer than five words have one shingle of all their words. Null texts, empty ones and ones of white space
 alone count as equal. A component is named by its smallest id (null if it has none); repeated rows and ids each count.
@@ -15,10 +18,12 @@ alone count as equal. A component is named by its smallest id (null if it has no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import bounded_batches, checkpointed
@@ -30,6 +35,8 @@ SEED = 42
 COUNT_BITS = 21
 PARTS = 64
 MOST_COUNT = 65_535
+#: Slots of a set's sketch.
+SKETCH_BITS = 1024
 #: Rows that a broadcast may hold; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
@@ -52,6 +59,17 @@ def set_key(found: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(found.tobytes(), SEED)).view(np.int64)) if len(found) else 0
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of the set's shingles by slot, 64 slots to a number."""
+    odd = np.bincount((found & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _may_differ(n: Column, a: Column, m: Column, b: Column) -> Column:
+    """Whether the sketches a and b of sets of n and m shingles allow the similarity: such sets differ by (n + m) / 9 shingles at most."""
+    return 9 * reduce(add, [F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(SKETCH_BITS // 64)]) <= n + m
+
+
 def prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles in the global order, one of which each similar set shares; no other set is similar to one of three or fewer."""
     n = len(found)
@@ -128,27 +146,32 @@ def _may_be_alike(n, at, m, to):
     return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * F.least(n - at, m - to) >= 4 * (n + m))
 
 
-def shingle_links(docs: DataFrame, leaves: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For distinct sets (fp, first_id, n, prefix): edges (u, v) that connect exactly the sets connected by similar pairs."""
-    given = leaves.where(F.size("prefix") > 0).select("fp", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
-    many = _few(given.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("token"))
-    shared = checkpointed(given.join(many, "token", "left_semi"))
+def shingle_links(docs: DataFrame, leaves: DataFrame, prefixes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For distinct sets (fp, first_id, n, sketch) and their prefixes (fp, n, prefix): edges (u, v) that connect exactly the sets connected by similar pairs."""
+    given = prefixes.where(F.size("prefix") > 0).select("fp", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "token"))
+    # most shingles of a prefix are in no other one: all move once, and those leave where they are counted
+    counted = given.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    shared = checkpointed(counted.where("sets > 1").drop("sets"))
+    sketches = leaves.select("fp", F.col("n").cast("int").alias("n"), "sketch")
 
     centre = F.min_by(F.struct("fp", "n", "at"), F.xxhash64("fp", "token")).alias("centre")
     centres = _few(shared.groupBy("token").agg(centre))
     may = _may_be_alike(F.col("n"), F.col("at"), F.col("centre.n"), F.col("centre.at"))
     first = shared.join(centres, "token").where(may & (F.col("fp") != F.col("centre.fp")))
     first = first.select(F.greatest("fp", "centre.fp").alias("u"), F.least("fp", "centre.fp").alias("v")).distinct()
+    for end in ("u", "v"):
+        first = first.join(sketches.select(F.col("fp").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
+    first = first.where(_may_differ(F.col("n_u"), F.col("sketch_u"), F.col("n_v"), F.col("sketch_v"))).select("u", "v")
     links = _alike(docs, leaves, id_col, text_col, first)
 
     tied = components(links)
     roots = _few(tied.select(F.col("u").alias("fp"), F.col("v").alias("root")))
     named = shared.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     apart = _few(named.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("sets")).where("a != b and sets > 2").select("token"))
-    named = named.join(apart, "token", "left_semi")
+    named = named.join(apart, "token", "left_semi").join(sketches.select("fp", "sketch"), "fp")
     # of a pair the smaller set shares 8 / 9 of its own shingles, so that of its prefix a shorter part does: no sets meet on what lies behind that in both
-    other = named.where(9 * (F.col("n") - F.col("at")) >= 8 * F.col("n")).select("token", *[F.col(c).alias(f"other_{c}") for c in ("fp", "n", "at", "root")])
-    may = _may_be_alike(F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at"))
+    other = named.where(9 * (F.col("n") - F.col("at")) >= 8 * F.col("n")).select("token", *[F.col(c).alias(f"other_{c}") for c in ("fp", "n", "at", "root", "sketch")])
+    may = _may_be_alike(F.col("n"), F.col("at"), F.col("other_n"), F.col("other_at")) & _may_differ(F.col("n"), F.col("sketch"), F.col("other_n"), F.col("other_sketch"))
     smaller = (F.col("other_n") < F.col("n")) | ((F.col("other_n") == F.col("n")) & (F.col("other_fp") < F.col("fp")))
     rest = named.join(other, "token").where(smaller & (F.col("root") != F.col("other_root")) & may)
     rest = rest.select(F.greatest("fp", "other_fp").alias("fp"), F.least("fp", "other_fp").alias("other_fp"))
@@ -166,12 +189,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             found = [shingles(t.as_py() or "") for t in batch.column(1)]
             firsts = pa.array([prefix(x, shared.value).view(np.int64) for x in found], pa.list_(pa.int64()))
             sizes = pa.array([len(x) for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(x) for x in found], pa.int64()), sizes, firsts], names=["id", "fp", "n", "prefix"])
+            odd = pa.array([sketch(x) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(x) for x in found], pa.int64()), sizes, odd, firsts], names=["id", "fp", "n", "sketch", "prefix"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, n long, prefix array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, n long, sketch array<long>, prefix array<long>")
     rows = checkpointed(rows)
-    leaves = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    tied = components(shingle_links(docs, leaves, id_col, text_col))
+    leaves = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    prefixes = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))  # they are long, and not stored again
+    tied = components(shingle_links(docs, leaves, prefixes, id_col, text_col))
     roots = tied.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(tied.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
     linked = leaves.select("fp", "first_id").join(roots, "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select("fp", "least_id")

@@ -76,3 +76,33 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark, texts):
 def test_shingles_of_all_texts_are_counted(spark):
     docs = spark.range(12_000).selectExpr("id as doc_id", "concat('word', id) as text")
     assert int(near_copies.shingle_counts(docs, "text").sum()) == 12_000
+
+
+def test_sketches_differ_by_no_more_than_sets_do():
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(300)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    sets = [near_copies.shingles(" ".join(edited(rng, base, vocabulary, k % 9))) for k in range(60)] + [near_copies.shingles(""), near_copies.shingles("one")]
+    for a in sets:
+        for b in sets:
+            apart = (near_copies.sketch(a) ^ near_copies.sketch(b)).view("uint8")
+            assert int(near_copies.np.unpackbits(apart).sum()) <= len(near_copies.np.setxor1d(a, b))
+
+
+def test_unlike_sets_of_a_large_group_do_not_move_pair_by_pair(spark, monkeypatch):
+    """400 copies with so many edits that few are similar: they share shingles of their prefixes, and meet, but most pairs stop there."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(5_000)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+    texts = [" ".join(edited(rng, base, vocabulary, rng.choice([1, 2, 3, 3, 4]))) for _ in range(400)]
+    moved, alike = [], near_copies._alike
+
+    def counted(docs, leaves, id_col, text_col, pairs):
+        moved.append(pairs.count())
+        return alike(docs, leaves, id_col, text_col, pairs)
+
+    monkeypatch.setattr(near_copies, "_alike", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_roots(texts)
+    assert sum(moved) < 10 * len(texts)
