@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 OPENING_C = 50_000_000
+#: Rows of the ledger that a task of its windows holds, about; smaller ledgers are dealt out as the session says.
+ROWS_A_TASK = 250_000
 
 #: Narrations that reach every branch of the classifiers, and near misses.
 NARRATIONS = [
@@ -31,10 +33,20 @@ def pick(index, values: list[str]):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """account_id, row_no, txn_id, date, desc, type, amount_c, balance_c: orders as an account's transactions."""
+def by_account(rows: DataFrame, count: int) -> DataFrame:
+    """A large ledger in as many parts as its rows need, so that what a task sorts and groups doesn't grow with the ledger.
+
+    The session's number of parts is fixed, and where it is large they are merged by their packed bytes, a small part of what rows take in memory.
+    """
+    if count <= ROWS_A_TASK:
+        return rows
+    return rows.repartition(max(-(-count // ROWS_A_TASK), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "account_id")
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """account_id, txn_id, date, desc, type, amount_c: the ledger's rows as they lie in the orders, without a shuffle."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    rows = orders.select(
+    return orders.select(
         F.col("o_custkey").alias("account_id"),
         F.col("o_orderkey").alias("txn_id"),
         F.to_date("o_orderdate").alias("date"),
@@ -42,6 +54,12 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 5 < 2, "CR").otherwise("DR").alias("type"),
         F.round(F.col("o_totalprice") * 100).cast("long").alias("amount_c"),
     )
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """account_id, row_no, txn_id, date, desc, type, amount_c, balance_c: orders as an account's transactions."""
+    rows = entries(spark, sf_dir)
+    rows = by_account(rows, rows.count())
     order = Window.partitionBy("account_id").orderBy("date", "txn_id")
     signed = F.when(F.col("type") == "CR", F.col("amount_c")).otherwise(-F.col("amount_c"))
     running = F.sum(signed).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
