@@ -99,12 +99,14 @@ def generic(rows: DataFrame) -> DataFrame:
     # each step names what later ones use more than once, so that nothing is parsed twice
     mapped = F.array_compact(F.array(*[F.col(f"c.{r}") for r in ROLE_WORDS]))
     others = F.filter(F.transform("cells", lambda x, i: F.when(~F.array_contains(mapped, i), F.trim(x))), lambda x: F.coalesce(x != "", F.lit(False)))
-    read = F.transform(others, lambda x: F.struct(x.alias("text"), parse_amount_c(x).alias("amount"), parse_date(x).alias("date")))
+    two, one = F.col("c.debit").isNotNull() & F.col("c.credit").isNotNull(), F.col("c.amount").isNotNull()
+    # other cells are read only where amounts or a narration may come from them
+    lacking = ~two & ~one | (cell("description") == "")
+    read = F.transform(F.when(lacking, others).otherwise(F.array().cast("array<string>")), lambda x: F.struct(x.alias("text"), parse_amount_c(x).alias("amount"), parse_date(x).alias("date")))
     body = body.withColumns({"single": cell("amount"), "left": parse_amount_c(cell("debit")), "right": parse_amount_c(cell("credit")), "others": read, "own_date": parse_date(cell("date"))})
     body = body.withColumns({"numbers": F.filter(F.transform("others", lambda o: o["amount"]), lambda n: n > 0), "single_c": parse_amount_c(F.col("single"))})
     single = F.col("single")
     signed_debit = single.rlike(r"^\(|^-|(?i:dr)\.?$") | ~single.rlike(r"(?i:cr)\.?$")
-    two, one = F.col("c.debit").isNotNull() & F.col("c.credit").isNotNull(), F.col("c.amount").isNotNull()
     loose = lambda k: F.coalesce(F.get("numbers", F.lit(k)), F.lit(0))
     debit = F.when(two, F.col("left")).when(~one, loose(0)).when(signed_debit, F.col("single_c")).otherwise(F.lit(0))
     credit = F.when(two, F.col("right")).when(~one, loose(1)).when(signed_debit, F.lit(0)).otherwise(F.col("single_c"))
