@@ -14,6 +14,8 @@ from ledgerloom.operators.lineage import stored as checkpointed
 __all__ = ["bounded_batches", "bounded_sample", "bounded_texts", "checkpointed", "held_out", "row_blocks", "table", "text_buffer"]
 
 CHUNK_BYTES = 1 << 20
+#: Text that a model scores at a time: its arrays of numbers are some sixty times as large, in each worker.
+SCORE_BYTES = 1 << 18
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 

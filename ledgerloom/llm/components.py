@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import checkpointed
+from ledgerloom.operators.lineage import released
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -41,6 +42,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         edges = checkpointed(_small_star(_large_star(edges).distinct()).distinct())
         before, state = state, _state(edges)
+        released(edges.sparkSession)  # a round leaves a file of each task of some eight shuffles, whatever the size of the table
         if state == before:
             return edges
     raise RuntimeError(f"components have not settled after {most_rounds} rounds")

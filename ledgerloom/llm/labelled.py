@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, bounded_sample, bounded_texts, checkpointed, row_blocks, text_buffer
+from ledgerloom.llm.common import SCORE_BYTES, bounded_batches, bounded_sample, bounded_texts, checkpointed, row_blocks, text_buffer
 from ledgerloom.llm.subword import Model, fit
 
 #: Most bytes of text that the training sample holds, half of them of each label; texts are taken whole or not at all.
@@ -52,7 +52,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = text_buffer(batch.column(at))
-            found = [shared.value.probabilities(body, offsets[a : b + 1]) for a, b in row_blocks(offsets)]
+            found = [shared.value.probabilities(body, offsets[a : b + 1]) for a, b in row_blocks(offsets, SCORE_BYTES)]
             out = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out)], names=[*names, name])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_batches, bounded_texts, row_blocks, text_buffer
+from ledgerloom.llm.common import SCORE_BYTES, bounded_batches, bounded_texts, row_blocks, text_buffer
 from ledgerloom.llm.subword import LOWER, spread
 
 #: Most texts, and most bytes of text, that all languages together are learned from.
@@ -133,7 +133,7 @@ def identify(
         for batch in batches:
             body, offsets = text_buffer(batch.column(at))
             read = np.array(batch.columns[-1].to_pylist(), dtype=bool) & bool(model.languages)
-            found = [model.shares(body, offsets[a : b + 1]) for a, b in row_blocks(offsets)] if model.languages else []
+            found = [model.shares(body, offsets[a : b + 1]) for a, b in row_blocks(offsets, SCORE_BYTES)] if model.languages else []
             shares = np.concatenate([x for x, _ in found]) if found else np.zeros((len(read), 1))
             grams = np.concatenate([x for _, x in found]) if found else np.zeros(len(read))
             best, top = shares.argmax(axis=1), np.where(read, shares.max(axis=1), 0.0)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,15 +55,21 @@ class Encoder:
     """The ids that the tokenizer library gives, by the faster engine where the .json allows it and the text suits it."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         self.fast = byte_level_encoding(spec) if merges_alone(spec) else None
 
+    @cached_property
+    def library(self):
+        """Loaded where it is needed: it takes as much of a worker's memory as the engine."""
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self.path)
+        library.no_truncation()
+        library.no_padding()
+        return library
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None:
             try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let the cluster delete shuffles, broadcasts and checkpoints that nothing refers to any more.
+
+    Spark does so when the driver collects its garbage, of which a loop over small tables makes too little.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     """Delete a folder of intermediate rows that nothing reads any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
