@@ -20,13 +20,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import near_copies, simhash
 from ledgerloom.llm.common import checkpointed, held_out, table
 from ledgerloom.llm.components import components
 from ledgerloom.llm.decontamination import decontaminate
 from ledgerloom.llm.language_id import identify, train_languages
-from ledgerloom.llm.near_copies import near_copies
 from ledgerloom.llm.packing import pack
-from ledgerloom.llm.simhash import near_duplicates
 from ledgerloom.llm.toxicity import toxicity_scores, train_toxicity
 from ledgerloom.operators.lineage import removed, shared_folder
 
@@ -53,24 +52,22 @@ def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, KEY, "left_anti")
 
 
-def one_of_each(docs: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """Of keyed `docs` the rows of the smallest key of each group, once; groups are joined over all of `found`.
+def one_of_each(docs: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """Of keyed `docs` the rows of the smallest key of each group, once; a group is what all of `links` connect.
 
-    Each of `found` names a row's component by its smallest key. Only rows that are not that key are links, so this
-    works on copies alone. Rows that repeat a key are reduced to one within each task before they are shuffled, so a
-    hot row costs no more than any other.
+    Each of `links` has pairs (u, v) of keys. Components are found once, over all of them, and this works on copies
+    alone. Rows that repeat a key are reduced to one within each task before they are shuffled, so a hot row costs no
+    more than any other.
     """
-    found = [checkpointed(f.groupBy(KEY).agg(F.first("component_id").alias("component_id"), F.count(F.lit(1)).alias("times"))) for f in found]
-    links = [f.where(F.col(KEY) != F.col("component_id")) for f in found]
-    edges = [f.select(F.xxhash64(KEY).alias("u"), F.xxhash64("component_id").alias("v")) for f in links]
-    names = [f.select(F.explode(F.array(KEY, "component_id")).alias(KEY)) for f in links]
-    tied = components(reduce(DataFrame.unionByName, edges))
-    named = reduce(DataFrame.unionByName, names).distinct().withColumn("u", F.xxhash64(KEY)).join(tied, "u", "left")
+    pairs = checkpointed(reduce(DataFrame.unionByName, links).distinct())
+    tied = components(pairs.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v")))
+    names = pairs.select(F.explode(F.array("u", "v")).alias(KEY)).distinct()
+    named = names.withColumn("u", F.xxhash64(KEY)).join(tied, "u", "left")
     named = checkpointed(named.select(KEY, F.coalesce("v", "u").alias("group")))
     least = named.groupBy("group").agg(F.min(KEY).alias("least"))
     left = without(docs, named.join(least, "group").where(F.col(KEY) != F.col("least")))
 
-    repeated = checkpointed(found[0].where("times > 1").select(KEY))
+    repeated = checkpointed(docs.groupBy(KEY).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(KEY))
     if repeated.isEmpty():
         return left
     many = F.broadcast(repeated) if repeated.count() <= MOST_BROADCAST else repeated
@@ -100,8 +97,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     or more differ by more bits, those of an exact similarity join of the shingles.
     """
     rows = keyed(docs)
-    found = [near_duplicates(rows, KEY, shingle=SHINGLE).select(KEY, "component_id"), near_copies(rows, KEY)]
-    return one_of_each(rows, found).select(*docs.columns)
+    links = [simhash.near_links(rows, KEY, shingle=SHINGLE), near_copies.near_links(rows, KEY)]
+    return one_of_each(rows, links).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

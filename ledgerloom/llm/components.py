@@ -46,3 +46,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             return edges
     raise RuntimeError(f"components have not settled after {most_rounds} rounds")
+
+
+def row_links(rows: DataFrame, leaves: DataFrame, links: DataFrame) -> DataFrame:
+    """For rows (id, fp), the first id of each fp and links (u, v) of fps: links (u, v) of ids that connect the same rows.
+
+    Each row is linked to the first of its fp, and the first rows of linked fps to each other. No components are found
+    here, so that links of several kinds can be joined and need it once.
+    """
+    of = leaves.select("fp", "first_id").repartition(F.xxhash64("fp"))  # by another key, so that both sides of the join are shuffled and a hot leaf can be split
+    own = rows.select("id", "fp").join(of, "fp").where(~F.col("id").eqNullSafe(F.col("first_id"))).select(F.col("id").alias("u"), F.col("first_id").alias("v"))
+    for end in ("u", "v"):
+        links = links.join(leaves.select(F.col("fp").alias(end), F.col("first_id").alias(f"first_{end}")), end)
+    return own.unionByName(links.select(F.col("first_u").alias("u"), F.col("first_v").alias("v")))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import bounded_batches, checkpointed
-from ledgerloom.llm.components import components
+from ledgerloom.llm.components import components, row_links
 
 SHINGLE = 5
 SEED = 42
@@ -39,6 +39,8 @@ MOST_COUNT = 65_535
 SKETCH_BITS = 1024
 #: Rows that a broadcast may hold; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
+#: The same for the centres of prefix groups, whose rows are wider: the driver holds each broadcast several times over.
+MOST_CENTRES = 200_000
 
 
 def shingles(text: str) -> np.ndarray:
@@ -103,9 +105,9 @@ def shingle_counts(docs: DataFrame, text_col: str) -> np.ndarray:
     return out.ravel()
 
 
-def _few(rows: DataFrame) -> DataFrame:
+def _few(rows: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     rows = checkpointed(rows)
-    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def _alike(docs: DataFrame, leaves: DataFrame, id_col: str, text_col: str, pairs: DataFrame) -> DataFrame:
@@ -155,7 +157,7 @@ def shingle_links(docs: DataFrame, leaves: DataFrame, prefixes: DataFrame, id_co
     sketches = leaves.select("fp", F.col("n").cast("int").alias("n"), "sketch")
 
     centre = F.min_by(F.struct("fp", "n", "at"), F.xxhash64("fp", "token")).alias("centre")
-    centres = _few(shared.groupBy("token").agg(centre))
+    centres = _few(shared.groupBy("token").agg(centre), MOST_CENTRES)
     may = _may_be_alike(F.col("n"), F.col("at"), F.col("centre.n"), F.col("centre.at"))
     first = shared.join(centres, "token").where(may & (F.col("fp") != F.col("centre.fp")))
     first = first.select(F.greatest("fp", "centre.fp").alias("u"), F.least("fp", "centre.fp").alias("v")).distinct()
@@ -178,8 +180,8 @@ def shingle_links(docs: DataFrame, leaves: DataFrame, prefixes: DataFrame, id_co
     return links.unionByName(_alike(docs, leaves, id_col, text_col, rest.select(F.col("fp").alias("u"), F.col("other_fp").alias("v")).distinct()))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, component_id (the smallest id reachable over pairs of similarity 0.8 or more). Any type that has an order can be the id."""
+def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, fp) with their sets' keys, the first id of each set, and the links of `shingle_links`."""
     kind = docs.schema[id_col].dataType.simpleString()
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, text_col))
@@ -196,10 +198,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = checkpointed(rows)
     leaves = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     prefixes = rows.groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))  # they are long, and not stored again
-    tied = components(shingle_links(docs, leaves, prefixes, id_col, text_col))
+    return rows.select("id", "fp"), leaves.select("fp", "first_id"), shingle_links(docs, leaves, prefixes, id_col, text_col)
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (u, v) of ids that connect the rows of each component of `near_copies`."""
+    return row_links(*_linked(docs, id_col, text_col))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, component_id (the smallest id reachable over pairs of similarity 0.8 or more). Any type that has an order can be the id."""
+    rows, leaves, links = _linked(docs, id_col, text_col)
+    tied = components(links)
     roots = tied.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(tied.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
-    linked = leaves.select("fp", "first_id").join(roots, "fp")
+    linked = leaves.join(roots, "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select("fp", "least_id")
-    of = leaves.select("fp", "first_id").join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    of = leaves.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
     of = of.repartition(F.xxhash64("fp"))  # by another key, so that both sides of the join are shuffled and a hot set can be split
-    return rows.select("id", "fp").join(of, "fp").select(F.col("id").alias(id_col), "component_id")
+    return rows.join(of, "fp").select(F.col("id").alias(id_col), "component_id")

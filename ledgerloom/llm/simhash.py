@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import bounded_batches, checkpointed
-from ledgerloom.llm.components import components
+from ledgerloom.llm.components import components, row_links
 
 BUDGET = 2
 SHINGLE = 3
@@ -196,3 +196,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     of = of.repartition(F.xxhash64("fp"))  # by another key, so that both sides of the join are shuffled and a hot fingerprint can be split
     return rows.join(of, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """Links (u, v) of ids that connect the rows of each component of `near_duplicates`."""
+    rows = checkpointed(fingerprints(docs, id_col, text_col, shingle))
+    leaves = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
+    return row_links(rows, leaves, link_forest(leaves.select("fp")))
