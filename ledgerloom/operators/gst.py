@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import rules as R
-from ledgerloom.operators.lineage import stored
 
 GSTIN = r"^[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][0-9A-Z][Z][0-9A-Z]$"
 # States by the first two digits of a registration, goods codes by keyword (the first wins), tax slabs.
@@ -101,56 +100,77 @@ def set_off(heads: DataFrame) -> DataFrame:
     return h.withColumn("net_payable_c", c("net_igst_c") + c("net_cgst_c") + c("net_sgst_c")).drop("igst_used", "left1", "left2")
 
 
-def reconcile(statement: DataFrame, register: DataFrame, numbers: bool = False) -> DataFrame:
-    """Statement invoices against the purchase register: one row each, and one for each register row no match used.
+def number(c: Column | str) -> Column:
+    """An invoice number or a registration, as both sides are compared."""
+    return F.upper(F.coalesce(c, F.lit("")))
+
+
+def entries(statement: DataFrame, register: DataFrame) -> DataFrame:
+    """Invoices of both sides in one table, dealt by invoice number.
+
+    Rows have row_no, invoice_no, gstin, itc_c; statement rows also itc_eligible.
+    """
+    given = ["row_no", "invoice_no", "gstin", "itc_c"]
+    both = statement.select(*given, "itc_eligible", F.lit(True).alias("stated")).unionByName(register.select(*given, F.lit(None).cast("boolean").alias("itc_eligible"), F.lit(False).alias("stated")))
+    return both.repartition(number("invoice_no")).withColumn("inv", number("invoice_no"))
+
 
-    Rows have row_no, invoice_no, gstin, itc_c; statement rows also itc_eligible. A register row is found by number and
-    registration (the last one), else by number alone (the first one). `s_itc_c` is the statement's own credit. With
-    `numbers` rows also carry both sides' invoice numbers as given, so that nobody need look them up again.
+def settled(entries: DataFrame, numbers: bool = False) -> DataFrame:
+    """Each entry of both sides with its outcome: `status` is null for register rows that a statement row used.
+
+    A register row is found by number and registration (the last one), else by number alone (the first one). All that
+    is asked about an entry lies among the entries of its number, so entries dealt by `inv` move no more, and nothing
+    is stored. `s_itc_c` and `r_itc_c` are the entry's own credit, as a statement's or a register's row.
+    With `numbers` rows also carry both sides' invoice numbers as given, so that nobody need look them up again.
     """
-    own = lambda name: [F.col("invoice_no").alias(name)] if numbers else []
-    up = lambda c: F.upper(F.coalesce(c, F.lit("")))
-    s = statement.select(F.col("row_no").alias("s_row"), up("invoice_no").alias("inv"), up("gstin").alias("gst"), F.col("itc_c").alias("s_itc"), "itc_eligible", *own("statement_no"))
-    r = register.select(F.col("row_no").alias("r_row"), up("invoice_no").alias("inv"), up("gstin").alias("r_gst"), F.col("itc_c").alias("r_itc"), *own("register_no"))
-    held = ["r_row", "r_gst", "r_itc", *(["register_no"] if numbers else [])]
-    exact = r.groupBy("inv", F.col("r_gst").alias("gst")).agg(F.max_by(F.struct(*held), "r_row").alias("exact"))
-    loose = r.groupBy("inv").agg(F.min_by(F.struct(*held), "r_row").alias("loose"))
-    found = s.join(exact, ["inv", "gst"], "left").join(loose, "inv", "left").withColumn("hit", F.coalesce("exact", "loose"))
-    a, b = F.col("s_itc"), F.col("hit.r_itc")
+    c = F.col
+    gst = number("gstin").alias("gst")
+    rows = entries.select("inv", gst, "stated", "itc_eligible", F.struct("row_no", gst, c("itc_c").alias("itc"), *(["invoice_no"] if numbers else [])).alias("own"))  # once in what is sorted
+    same, of_number = Window.partitionBy("inv", "gst"), Window.partitionBy("inv")
+    place = F.when(~c("stated"), c("own.row_no"))
+    rows = rows.withColumns({"exact": F.max_by("own", place).over(same), "asked": F.max("stated").over(same)})
+    rows = rows.withColumns({"loose": F.min_by("own", place).over(of_number), "missed": F.max(c("stated") & c("exact").isNull()).over(of_number)})
+    used = (c("asked") & (c("own.row_no") == c("exact.row_no"))) | (c("missed") & (c("own.row_no") == c("loose.row_no")))
+    rows = rows.withColumns({"hit": F.when(c("stated"), F.coalesce("exact", "loose")), "used": ~c("stated") & used})
+    a, b = c("own.itc"), c("hit.itc")
     near = (F.abs(a - b) <= F.greatest(a, b) * 0.01) | (F.abs(a - b) <= 100)
-    other = F.col("exact").isNull() & (F.col("hit.r_gst") != "") & (F.col("gst") != "") & (F.col("hit.r_gst") != F.col("gst"))
+    other = c("exact").isNull() & (c("hit.gst") != "") & (c("gst") != "") & (c("hit.gst") != c("gst"))
     status = (
-        F.when(F.col("hit").isNull(), "In GSTR-2B only").when(other, "GSTIN Mismatch").when(near, "Matched").otherwise("Amount Mismatch")
-    )
-    found = found.withColumn("status", status)
-    claim = (
-        F.when(F.col("status") == "Matched", a)
-        .when(F.col("status") == "Amount Mismatch", F.least(a, b))
-        .when((F.col("status") == "In GSTR-2B only") & F.col("itc_eligible"), a)
-        .otherwise(F.lit(0))
-    )
-    diff = F.when(F.col("status") == "Matched", F.lit(0)).when(F.col("hit").isNull(), a).otherwise(a - b)
-    named = ["statement_no", F.col("hit.register_no").alias("register_no")] if numbers else []
-    rows = stored(found.select("s_row", F.col("hit.r_row").alias("r_row"), "status", diff.alias("itc_diff_c"), claim.alias("claim_c"), a.alias("s_itc_c"), *named))
-    used = rows.where("r_row is not null").select("r_row").distinct()
-    unused = r.join(used, "r_row", "left_anti").select(
-        F.lit(None).cast("long").alias("s_row"), "r_row", F.lit("In Purchase Register only").alias("status"), (-F.col("r_itc")).alias("itc_diff_c"), F.lit(0).cast("long").alias("claim_c"),
-        F.lit(None).cast("long").alias("s_itc_c"), *([F.lit(None).cast("string").alias("statement_no"), "register_no"] if numbers else []),
+        F.when(c("used"), None).when(~c("stated"), "In Purchase Register only").when(c("hit").isNull(), "In GSTR-2B only").when(other, "GSTIN Mismatch")
+        .when(near, "Matched").otherwise("Amount Mismatch")
     )
-    return rows.unionByName(unused)
+    rows = rows.withColumn("status", status)
+    is_ = lambda name: c("status") == name
+    claim = F.when(is_("Matched"), a).when(is_("Amount Mismatch"), F.least(a, b)).when(is_("In GSTR-2B only") & c("itc_eligible"), a).otherwise(F.lit(0))
+    diff = F.when(~c("stated"), -a).when(is_("Matched"), F.lit(0)).when(c("hit").isNull(), a).otherwise(a - b)
+    named = [F.when(c("stated"), c("own.invoice_no")).alias("statement_no"), F.when(c("stated"), c("hit.invoice_no")).otherwise(c("own.invoice_no")).alias("register_no")] if numbers else []
+    return rows.select(
+        F.when(c("stated"), c("own.row_no")).alias("s_row"), F.when(c("stated"), c("hit.row_no")).otherwise(c("own.row_no")).alias("r_row"), "status", diff.alias("itc_diff_c"),
+        claim.alias("claim_c"), F.when(c("stated"), a).alias("s_itc_c"), F.when(~c("stated"), a).alias("r_itc_c"), *named,
+    )
+
+
+def reconciled(entries: DataFrame, numbers: bool = False) -> DataFrame:
+    """One row of each statement invoice, and one of each register row that no match used."""
+    return settled(entries, numbers).where("status is not null").drop("r_itc_c")
+
+
+def reconcile(statement: DataFrame, register: DataFrame, numbers: bool = False) -> DataFrame:
+    """Statement invoices against the purchase register, see `entries` and `settled`."""
+    return reconciled(entries(statement, register), numbers)
 
 
 def credit_summary(recon: DataFrame) -> DataFrame:
     return recon.groupBy("status").agg(F.count(F.lit(1)).alias("invoices"), F.sum("claim_c").alias("claim_c"), F.sum(F.abs("itc_diff_c")).alias("diff_c"))
 
 
-def credit_position(statement: DataFrame, register: DataFrame, recon: DataFrame) -> DataFrame:
-    """The reconciliation in one row: credit on both sides, claimable and at risk, match rate, risk level.
+def credit_position(settled: DataFrame) -> DataFrame:
+    """The settled entries in one row: credit on both sides, claimable and at risk, match rate, risk level.
 
     At risk are the differences of mismatched amounts, all credit of mismatched registrations, and what stands in the
     register only.
     """
-    rows = recon.withColumnRenamed("s_itc_c", "s_itc")
+    rows = settled.withColumnRenamed("s_itc_c", "s_itc")
     is_ = lambda name: F.col("status") == name
     total = lambda c, w: F.coalesce(F.sum(F.when(w, c)), F.lit(0))
     only = is_("In Purchase Register only")
@@ -159,8 +179,8 @@ def credit_position(statement: DataFrame, register: DataFrame, recon: DataFrame)
         total(F.col("s_itc"), F.col("s_row").isNotNull()).alias("statement_itc_c"), total(F.col("claim_c"), is_("Matched")).alias("matched_itc_c"),
         total(F.abs("itc_diff_c"), is_("Amount Mismatch")).alias("mismatch_loss_c"), total(F.col("s_itc"), is_("GSTIN Mismatch")).alias("blocked_c"),
         total(F.col("claim_c"), is_("In GSTR-2B only")).alias("only_statement_c"), total(-F.col("itc_diff_c"), only).alias("only_register_c"),
+        F.coalesce(F.sum("r_itc_c"), F.lit(0)).alias("register_itc_c"),
     )
-    out = out.crossJoin(F.broadcast(register.agg(F.coalesce(F.sum("itc_c"), F.lit(0)).alias("register_itc_c"))))  # one row each
     out = out.withColumns({"claimable_c": F.col("matched_itc_c") + F.col("only_statement_c"), "at_risk_c": F.col("mismatch_loss_c") + F.col("blocked_c") + F.col("only_register_c")})
     level = F.when((F.col("at_risk_c") == 0) & (F.col("gstin_mismatches") == 0), "Low").when(F.col("at_risk_c") * 10 < F.col("statement_itc_c"), "Medium").otherwise("High")
     rate = F.round(F.col("matched") * 100.0 / F.greatest("statement_rows", F.lit(1)), 1)

@@ -33,14 +33,19 @@ def pick(index, values: list[str]):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
 
+def dealt(rows: DataFrame, count: int, key) -> DataFrame:
+    """Rows by a key, a large table in as many parts as its rows need, whatever the session's number is."""
+    if count <= ROWS_A_TASK:
+        return rows.repartition(key)
+    return rows.repartition(max(-(-count // ROWS_A_TASK), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def by_account(rows: DataFrame, count: int) -> DataFrame:
     """A large ledger in as many parts as its rows need, so that what a task sorts and groups doesn't grow with the ledger.
 
     The session's number of parts is fixed, and where it is large they are merged by their packed bytes, a small part of what rows take in memory.
     """
-    if count <= ROWS_A_TASK:
-        return rows
-    return rows.repartition(max(-(-count // ROWS_A_TASK), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "account_id")
+    return rows if count <= ROWS_A_TASK else dealt(rows, count, F.col("account_id"))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,17 +90,18 @@ def half_up(numerator, denominator: int):
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as tax invoices: h, invoice_no, supplier and buyer nation, gstin, amounts in paise, party, date."""
+    """Line items as tax invoices: h, invoice_no, date, party, gstin, amounts in paise (`tax_c` is the sum of the three heads), account."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_discount", "l_tax")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    n1 = F.round(F.col("l_extendedprice") * 100).cast("long") * (100 - F.round(F.col("l_discount") * 100).cast("long"))
+    # lines move with the amounts that a query uses, not with what these are worked out from
+    line = line.withColumn("taxable_c", half_up(n1, 100)).withColumn("tax_c", half_up(F.col("taxable_c") * F.round(F.col("l_tax") * 100).cast("long"), 100))
     # orders meet their customers first: they are fewer than lines, which so move once
     placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     rows = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
-    n1 = F.round(F.col("l_extendedprice") * 100).cast("long") * (100 - F.round(F.col("l_discount") * 100).cast("long"))
-    rows = rows.withColumns({"h": F.expr("l_orderkey * 31 + l_linenumber * 7 + l_suppkey * 3 + l_partkey"), "taxable_c": half_up(n1, 100)})
-    rows = rows.withColumn("tax_c", half_up(F.col("taxable_c") * F.round(F.col("l_tax") * 100).cast("long"), 100))
+    rows = rows.withColumn("h", F.expr("l_orderkey * 31 + l_linenumber * 7 + l_suppkey * 3 + l_partkey"))
     away = F.col("s_nationkey") != F.col("c_nationkey")
     half = ((F.col("tax_c") - F.col("tax_c") % 2) / 2).cast("long")
     valid = F.concat(
@@ -114,5 +120,5 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = rows.withColumn("sgst_c", F.col("tax_c") - F.col("igst_c") - F.col("cgst_c"))
     return rows.select(
-        "h", "invoice_no", "date", "party", "gstin_raw", "taxable_c", "cgst_c", "sgst_c", "igst_c", (F.col("taxable_c") + F.col("tax_c")).alias("total_c"), F.col("o_custkey").alias("account_id")
+        "h", "invoice_no", "date", "party", "gstin_raw", "taxable_c", "cgst_c", "sgst_c", "igst_c", "tax_c", (F.col("taxable_c") + F.col("tax_c")).alias("total_c"), F.col("o_custkey").alias("account_id")
     )
